@@ -103,3 +103,8 @@ CATEGORY_SQL = """CASE WHEN {x} <= 50 THEN 'Good' WHEN {x} <= 100 THEN 'Moderate
 
 def category_sql(x: str) -> str:
     return CATEGORY_SQL.format(x=x)
+
+NULL_READINGS_CTE = READINGS_CTE.replace("value AS aqi", "CASE WHEN event_id % 17 <> 0 THEN value END AS aqi") \
+    .replace("CAST(user_id % 45 AS DOUBLE) AS temperature", "CAST(nullif(user_id % 45, 0) AS DOUBLE) AS temperature") \
+    .replace("CAST(user_id % 100 AS DOUBLE) AS humidity", "CAST(nullif(user_id % 100, 0) AS DOUBLE) AS humidity") \
+    .replace("readings AS (", "nreadings AS (", 1)

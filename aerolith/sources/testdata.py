@@ -65,3 +65,12 @@ def hourly_series(rd: DataFrame) -> DataFrame:
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hourly_series(readings(spark, sf_dir))
+
+
+def readings_with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings with deterministic NULL cells (the tables hold none): aqi where
+    event_id % 17 = 0, temperature where it is 0, humidity where it is 0."""
+    rd = readings_from_events(table(spark, sf_dir, "events").withColumn(
+        "value", F.when(F.col("event_id") % 17 != 0, F.col("value"))))
+    return rd.withColumn("temperature", F.when(F.col("temperature") != 0, F.col("temperature"))) \
+             .withColumn("humidity", F.when(F.col("humidity") != 0, F.col("humidity")))
