@@ -159,17 +159,42 @@ def change_and_rolling(df: DataFrame, col: str = "aqi", by=("city",), order="tim
 
 def rolling_stats(df: DataFrame, col: str = "aqi", windows: Sequence[int] = (3, 6, 12, 24),
                   by=("city",), order="timestamp", **kw) -> DataFrame:
-    """Trailing mean / sample std / min / max over the last n rows (partial frames at the start)."""
+    """Trailing mean / sample std / min / max over the last n rows (partial frames at the start).
+
+    Mean and variance are written out over explicit lags in a fixed summation
+    order (two-pass variance), so the value does not depend on how an engine
+    evaluates moving frames.
+    """
+    top = max(windows)
+
     def compute(w):
-        out = {}
+        out = {f"__l{j}": F.lag(col, j).over(w) for j in range(1, top)}
         for n in windows:
             f = w.rowsBetween(-(n - 1), 0)
-            out[f"{col}_roll_mean_{n}"] = F.avg(col).over(f)
-            out[f"{col}_roll_std_{n}"] = F.stddev_samp(col).over(f)
             out[f"{col}_roll_min_{n}"] = F.min(col).over(f)
             out[f"{col}_roll_max_{n}"] = F.max(col).over(f)
         return out
-    return series_shift(df, by, order, compute, back=max(windows) - 1, **kw)
+    d = series_shift(df, by, order, compute, back=top - 1, **kw)
+    vals = [F.col(col)] + [F.col(f"__l{j}") for j in range(1, top)]
+    stats = {}
+    for n in windows:
+        v = vals[:n]
+        cnt = sum((x.isNotNull().cast("int") for x in v[1:]), v[0].isNotNull().cast("int"))
+        tot = F.lit(0.0)
+        for x in v:
+            tot = tot + F.coalesce(x, F.lit(0.0))
+        stats[f"__cnt{n}"] = cnt
+        stats[f"{col}_roll_mean_{n}"] = F.try_divide(tot, cnt.cast("double"))
+    d = d.withColumns(stats)
+    sds = {}
+    for n in windows:
+        mean, cnt = F.col(f"{col}_roll_mean_{n}"), F.col(f"__cnt{n}")
+        ss = F.lit(0.0)
+        for x in vals[:n]:
+            ss = ss + F.coalesce((x - mean) * (x - mean), F.lit(0.0))
+        sds[f"{col}_roll_std_{n}"] = F.when(cnt > 1, F.sqrt(ss / (cnt - 1).cast("double")))
+    d = d.withColumns(sds)
+    return d.drop(*[f"__l{j}" for j in range(1, top)], *[f"__cnt{n}" for n in windows])
 
 
 # --- W6 -----------------------------------------------------------------------------------------------------

@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 DIGITS = 6
+SCALE = float(10 ** DIGITS)
 
 
 def register(name: str, sql: str | None = None):
@@ -40,7 +41,9 @@ def finish(df: DataFrame) -> DataFrame:
         if isinstance(t, (T.IntegerType, T.ShortType, T.ByteType, T.LongType)):
             c = c.cast("long")
         elif isinstance(t, (T.DoubleType, T.FloatType, T.DecimalType)):
-            c = F.round(c.cast("double"), DIGITS)
+            # scale, round half away from zero on the binary value, scale back:
+            # the same IEEE steps as the SQL side, so ties round alike
+            c = F.round(c.cast("double") * SCALE, 0) / SCALE
         elif isinstance(t, (T.TimestampType, T.TimestampNTZType)):
             c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(t, T.DateType):
@@ -53,7 +56,7 @@ def finish(df: DataFrame) -> DataFrame:
 
 def d(expr: str, name: str) -> str:
     """Double column, rounded like ``finish`` (``+ 0.0`` turns -0.0 into 0.0)."""
-    return f"round(CAST({expr} AS DOUBLE), {DIGITS}) + 0.0 AS {name}"
+    return f"round(CAST({expr} AS DOUBLE) * {SCALE!r}) / {SCALE!r} + 0.0 AS {name}"
 
 
 def i(expr: str, name: str) -> str:

@@ -49,17 +49,20 @@ def q_w34(spark, sf):
 
 def _roll_sql(n):
     fr = f'OVER (PARTITION BY city ORDER BY "timestamp" ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)'
-    # moving sums are evaluated in a different order by each engine: compare at 4 places
-    return ", ".join([d(f"round(avg(aqi) {fr}, 4)", f"aqi_roll_mean_{n}"),
-                      d(f"round(stddev_samp(aqi) {fr}, 4)", f"aqi_roll_std_{n}"),
+    v = ["aqi"] + [f"lag(aqi, {j}) {WIN}" for j in range(1, n)]
+    cnt = " + ".join(f"CAST(({x}) IS NOT NULL AS INTEGER)" for x in v)
+    tot = "0.0" + "".join(f" + coalesce({x}, 0.0)" for x in v)
+    mean = f"(({tot}) / CAST(nullif({cnt}, 0) AS DOUBLE))"
+    ss = "0.0" + "".join(f" + coalesce(({x} - {mean}) * ({x} - {mean}), 0.0)" for x in v)
+    std = f"CASE WHEN ({cnt}) > 1 THEN sqrt(({ss}) / CAST(({cnt}) - 1 AS DOUBLE)) END"
+    return ", ".join([d(mean, f"aqi_roll_mean_{n}"), d(std, f"aqi_roll_std_{n}"),
                       d(f"min(aqi) {fr}", f"aqi_roll_min_{n}"), d(f"max(aqi) {fr}", f"aqi_roll_max_{n}")])
 
 
 @register("w5_rolling_stats", f"""WITH {HOURLY_CTE}
 SELECT {_hsel()}, {', '.join(_roll_sql(n) for n in (3, 6, 12, 24))} FROM hourly""")
 def q_w5(spark, sf):
-    r = W.rolling_stats(hourly(spark, sf))
-    return finish(r.withColumns({c: F.round(c, 4) for c in r.columns if "_roll_mean_" in c or "_roll_std_" in c}))
+    return finish(W.rolling_stats(hourly(spark, sf)))
 
 
 @register("w6_dedupe_keep_last", f"""WITH r AS (
