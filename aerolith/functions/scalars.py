@@ -111,13 +111,15 @@ def clip(x, lo: float = 20.0, hi: float = 500.0) -> Column:
 
 
 def round_half_even(x, d: int) -> Column:
-    """Python/NumPy style rounding (banker's)."""
-    return F.bround(_c(x), d)
+    """NumPy-style rounding: scale by 10^d, round half to even on the binary value, scale back."""
+    k = float(10 ** d)
+    return F.bround(_c(x) * k, 0) / k
 
 
 def round_half_up(x, d: int) -> Column:
-    """SQL style rounding."""
-    return F.round(_c(x), d)
+    """SQL-style rounding (half away from zero) on the binary value."""
+    k = float(10 ** d)
+    return F.round(_c(x) * k, 0) / k
 
 
 # Factor tables of the rule-based forecast.  Row "a" is the one

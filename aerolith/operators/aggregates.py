@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.functions.quantiles import exact_quantiles, quantile_columns
-from aerolith.functions.scalars import CATEGORY_ORDER, category_by_threshold
+from aerolith.functions.scalars import category_by_threshold, round_half_even
 from aerolith.functions.util import join_null_safe, unpivot
 
 
@@ -84,7 +84,7 @@ def city_multi_agg(df: DataFrame, spec: dict | None = None, by: Sequence[str] =
     for c, fns in spec.items():
         for fn in fns:
             e = _FN[fn](c)
-            exprs.append((F.bround(e, digits) if digits is not None else e).alias(f"{c}_{fn}"))
+            exprs.append((round_half_even(e, digits) if digits is not None else e).alias(f"{c}_{fn}"))
     return df.groupBy(*by).agg(*exprs)
 
 
@@ -183,7 +183,7 @@ def kpi_row(df: DataFrame, col: str = "aqi", by: Sequence[str] = ()) -> DataFram
 def radar_frame(df: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """Per-city means of four measures and the common axis maximum x 1.1."""
     cols = ["aqi", "pm2_5", "temperature", "humidity"]
-    m = df.groupBy(*by).agg(*[F.bround(F.avg(c), 2).alias(f"{c}_mean") for c in cols])
+    m = df.groupBy(*by).agg(*[round_half_even(F.avg(c), 2).alias(f"{c}_mean") for c in cols])
     axis = F.greatest(*[F.max(f"{c}_mean").over(Window.partitionBy()) for c in cols]) * 1.1
     return m.withColumn("axis_max", axis)
 

@@ -57,10 +57,10 @@ def q_a5(spark, sf):
 
 
 @register("a6_city_multi_agg", f"""WITH {READINGS_CTE}
-SELECT city, {d('round_even(avg(aqi), 2)', 'aqi_mean')}, {d('round_even(stddev_samp(aqi), 2)', 'aqi_std')},
-       {d('round_even(min(aqi), 2)', 'aqi_min')}, {d('round_even(max(aqi), 2)', 'aqi_max')},
-       {d('round_even(avg(pm2_5), 2)', 'pm2_5_mean')}, {d('round_even(stddev_samp(pm2_5), 2)', 'pm2_5_std')},
-       {d('round_even(avg(temperature), 2)', 'temperature_mean')}, {d('round_even(avg(humidity), 2)', 'humidity_mean')}
+SELECT city, {d('round_even(avg(aqi) * 100.0, 0) / 100.0', 'aqi_mean')}, {d('round_even(stddev_samp(aqi) * 100.0, 0) / 100.0', 'aqi_std')},
+       {d('round_even(min(aqi) * 100.0, 0) / 100.0', 'aqi_min')}, {d('round_even(max(aqi) * 100.0, 0) / 100.0', 'aqi_max')},
+       {d('round_even(avg(pm2_5) * 100.0, 0) / 100.0', 'pm2_5_mean')}, {d('round_even(stddev_samp(pm2_5) * 100.0, 0) / 100.0', 'pm2_5_std')},
+       {d('round_even(avg(temperature) * 100.0, 0) / 100.0', 'temperature_mean')}, {d('round_even(avg(humidity) * 100.0, 0) / 100.0', 'humidity_mean')}
 FROM readings GROUP BY city""")
 def q_a6(spark, sf):
     return finish(A.city_multi_agg(readings(spark, sf)))
@@ -204,8 +204,8 @@ def q_a33(spark, sf):
 
 
 @register("a34_radar_frame", f"""WITH {READINGS_CTE},
-m AS (SELECT city, round_even(avg(aqi), 2) AS aqi_mean, round_even(avg(pm2_5), 2) AS pm2_5_mean,
-             round_even(avg(temperature), 2) AS temperature_mean, round_even(avg(humidity), 2) AS humidity_mean
+m AS (SELECT city, round_even(avg(aqi) * 100.0, 0) / 100.0 AS aqi_mean, round_even(avg(pm2_5) * 100.0, 0) / 100.0 AS pm2_5_mean,
+             round_even(avg(temperature) * 100.0, 0) / 100.0 AS temperature_mean, round_even(avg(humidity) * 100.0, 0) / 100.0 AS humidity_mean
       FROM readings GROUP BY city)
 SELECT city, {d('aqi_mean', 'aqi_mean')}, {d('pm2_5_mean', 'pm2_5_mean')}, {d('temperature_mean', 'temperature_mean')},
        {d('humidity_mean', 'humidity_mean')},
