@@ -17,6 +17,7 @@ BASE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
+    "spark.driver.memory": os.environ.get("AEROLITH_DRIVER_MEMORY", "8g"),
     "spark.ui.showConsoleProgress": "false",
 }
 
