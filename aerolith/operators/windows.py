@@ -84,16 +84,16 @@ def halo_window(df: DataFrame, by: Sequence[str], index: str,
     behind and ``fwd`` rows ahead.
     """
     by = list(by)
-    if back > chunk or fwd > chunk:
-        raise ValueError("halo larger than chunk")
     i0 = F.col(index) - 1
     ch = F.floor(i0 / F.lit(chunk)).cast("long")
     pos = F.pmod(i0, F.lit(chunk))
     copies = [F.struct(ch.alias("c"), F.lit(False).alias("h"))]
-    if back:
-        copies.append(F.when(pos >= chunk - back, F.struct((ch + 1).alias("c"), F.lit(True).alias("h"))))
-    if fwd:
-        copies.append(F.when(pos < fwd, F.struct((ch - 1).alias("c"), F.lit(True).alias("h"))))
+    # a row is copied into every later chunk whose first row is at most ``back`` rows
+    # ahead of it, and into every earlier chunk whose last row is at most ``fwd`` behind
+    for k in range(1, -(-back // chunk) + 1 if back else 1):
+        copies.append(F.when(pos >= k * chunk - back, F.struct((ch + k).alias("c"), F.lit(True).alias("h"))))
+    for k in range(1, -(-fwd // chunk) + 1 if fwd else 1):
+        copies.append(F.when(pos < fwd - (k - 1) * chunk, F.struct((ch - k).alias("c"), F.lit(True).alias("h"))))
     if len(copies) == 1:
         d = df.withColumn("__ch", ch).withColumn("__halo", F.lit(False))
     else:
