@@ -235,3 +235,9 @@ def q_x3(spark, sf):
     out = C.isolation_forest(readings(spark, sf).withColumn("rid", F.monotonically_increasing_id()),
                              ["aqi", "pm2_5", "temperature", "humidity"], key=["city", "timestamp"], n_trees=25)
     return finish(out.select("city", "timestamp", "anomaly_score", "is_anomaly"))
+
+
+@register("x12_eda_report")
+def q_x12(spark, sf):
+    from aerolith.plans.report import eda_report
+    return eda_report(readings(spark, sf))
