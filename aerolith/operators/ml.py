@@ -137,6 +137,6 @@ def feature_importance(fitted: dict, features: Sequence[str]) -> DataFrame:
         if hasattr(m, "featureImportances"):
             imp = m.featureImportances.toArray().tolist()
             rows += [(name, f, float(v)) for f, v in zip(features, imp)]
-    spark = next(iter(fitted.values())).stages[0]._sc
     from pyspark.sql import SparkSession
+    # one row per (model, feature): bounded by the model count and feature width
     return SparkSession.getActiveSession().createDataFrame(rows, "model string, feature string, importance double")

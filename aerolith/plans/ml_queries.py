@@ -165,11 +165,12 @@ FEATURES = ["temperature", "humidity", "pressure", "wind_speed", "pm2_5", "pm10"
             "month", "hour_sin", "hour_cos", "aqi_lag_1h", "aqi_lag_24h", "pm25_lag_1h", "temp_lag_1h"]
 
 
-def _train(spark, sf):
+def _train(spark, sf, only=None):
     tf = training_frame(hourly(spark, sf))
     split = W.chronological_split(tf)
     train, test = split.filter(~F.col("is_test")), split.filter(F.col("is_test"))
-    return M.train_all(train, test, FEATURES, "aqi_target_24h", ["city", "timestamp"], small=True), tf
+    models = {k: v for k, v in M.estimators("aqi_target_24h", small=True).items() if only is None or k in only}
+    return M.train_all(train, test, FEATURES, "aqi_target_24h", ["city", "timestamp"], models=models), tf
 
 
 @register("m6_train_all")
@@ -241,3 +242,25 @@ def q_x3(spark, sf):
 def q_x12(spark, sf):
     from aerolith.plans.report import eda_report
     return eda_report(readings(spark, sf))
+
+
+@register("m12_feature_importance")
+def q_m12(spark, sf):
+    (fitted, long, metrics), _ = _train(spark, sf, only=("random_forest", "gradient_boosting"))
+    return finish(M.feature_importance(fitted, FEATURES))
+
+
+@register("s8_read_nested_metrics")
+def q_s8(spark, sf):
+    """Write the per-model metrics of the rule forecasts as one nested document per run
+    ({model: {metric: value}}), then read the documents back into long rows."""
+    from aerolith.session import scratch_path
+    from aerolith.sources.store import read_nested_metrics
+    import uuid
+    runs = rule_runs(spark, sf)
+    doc = runs.groupBy("city").agg(*[
+        F.max_by(F.struct(F.col("test_mae"), F.col("test_rmse"), F.col("test_r2")),
+                 F.when(F.col("model_name") == m, 1).otherwise(0)).alias(m) for m in MODELS])
+    path = scratch_path(spark, f"s8-{uuid.uuid4().hex[:12]}")
+    doc.drop("city").write.mode("overwrite").json(path)
+    return finish(read_nested_metrics(spark, path, multi_line=False).drop("source"))

@@ -416,3 +416,59 @@ def q_j1(spark, sf):
         "city", "timestamp", "event_id", "aqi", "pm2_5")
     out = J.combine_weather_air(w, a, weather_order="timestamp", air_order="event_id")
     return finish(out.drop("event_id"))
+
+
+# --- S11 / S12 / P6 / P7 ------------------------------------------------------------------------------------------
+
+_MD = ["city", "timestamp", "aqi", "pm2_5", "temperature", "humidity"]
+
+
+@register("s11_store_metadata", f"""WITH {NULL_READINGS_CTE}
+SELECT {i('count(*)', 'total_records')}, '{",".join(_MD)}' AS features,
+       {', '.join(i(f'count(*) - count("{c}")', f'missing_{c}') for c in _MD)},
+       strftime(min("timestamp"), '%Y-%m-%dT%H:%M:%S') AS start, strftime(max("timestamp"), '%Y-%m-%dT%H:%M:%S') AS "end"
+FROM nreadings""")
+def q_s11(spark, sf):
+    from aerolith.sources.store import store_metadata
+    m = store_metadata(readings_with_nulls(spark, sf).select(*_MD))
+    return finish(m.select("total_records", F.array_join("features", ",").alias("features"),
+                           *[F.col(f"missing_values.{c}").alias(f"missing_{c}") for c in _MD], "start", "end"))
+
+
+@register("s12_sample_plot_frame")
+def q_s12(spark, sf):
+    from aerolith.sources.store import sample_plot_frame
+    return finish(sample_plot_frame(readings(spark, sf), ["city", "timestamp", "aqi", "pm2_5"], ["city", "timestamp"],
+                                    buckets=20, keep=1))
+
+
+_TFC = ["city", "timestamp"]
+
+
+def _p6_sql():
+    from aerolith.plans.registry import ORACLES
+    from aerolith.plans.series_queries import HCOLS, _LAGS
+    cols = [c for c in HCOLS if c not in ("city", "timestamp")] + ["hour", "day_of_week", "month", "hour_sin", "hour_cos"]
+    cols += [f"{p}_lag_{k}h" for c, p, k in _LAGS]
+    sel = ", ".join(["city", '"timestamp"'] + [f'"{c}"' for c in cols])
+    return f"SELECT {sel} FROM ({ORACLES['w10_training_frame']})"
+
+
+@register("p6_select_features_except", _p6_sql())
+def q_p6(spark, sf):
+    tf = training_frame(hourly(spark, sf))
+    return finish(tf.select(*_TFC, *P.select_features_except(tf)))
+
+
+@register("p7_select_features_allow", f"""WITH {HOURLY_CTE}
+SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('temperature', 'temperature')}, {d('humidity', 'humidity')},
+       {d('pressure', 'pressure')}, {d('wind_speed', 'wind_speed')}, {d('co', 'co')}, {d('no2', 'no2')}, {d('o3', 'o3')},
+       {d('so2', 'so2')}, {d('pm2_5', 'pm2_5')}, {d('pm10', 'pm10')}, {i('hour("timestamp")', 'hour')},
+       {i('isodow("timestamp") - 1', 'day_of_week')}, {i('dayofyear("timestamp")', 'day_of_year')},
+       {i('month("timestamp")', 'month')}, {i('quarter("timestamp")', 'quarter')}, {i('year("timestamp")', 'year')},
+       {d('coalesce(aqi - lag(aqi, 1) OVER (PARTITION BY city ORDER BY "timestamp"), 0)', 'aqi_change_rate')},
+       {d('coalesce(avg(aqi) OVER (PARTITION BY city ORDER BY "timestamp" ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), aqi)', 'aqi_ma_3h')},
+       {d('temperature * humidity', 'temp_humidity_interaction')} FROM hourly""")
+def q_p7(spark, sf):
+    f = ci_features(hourly(spark, sf))
+    return finish(f.select(*_TFC, *P.select_features_allow(f)))

@@ -83,9 +83,13 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def read_nested_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """Nested per-run documents ``{model: {metric: value} | {error}}`` -> long rows."""
-    raw = spark.read.option("multiLine", True).json(path).withColumn("__file", F.input_file_name())
+def read_nested_metrics(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Nested per-run documents ``{model: {metric: value} | {error}}`` -> long rows.
+
+    ``multi_line``: one pretty-printed document per file (the published form);
+    False for JSON-lines files with one run per line.
+    """
+    raw = spark.read.option("multiLine", multi_line).json(path).withColumn("__file", F.input_file_name())
     models = [f.name for f in raw.schema.fields if f.name != "__file"]
     parts = []
     for m in models:
