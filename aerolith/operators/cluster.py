@@ -116,10 +116,11 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     bounded random subsample of ``sample_size`` rows, score every row, flag the top
     ``contamination`` share (above the exact per-group quantile).
 
-    * sampling: each row draws a hash per tree and is kept with probability
-      ~2*sample_size/n_group (filter right after the explode, no shuffle); the
-      tree builder takes the ``sample_size`` smallest hashes, so at most a few
-      hundred rows per tree ever reach Python;
+    * sampling: one hash per row keeps a uniform pool of about
+      2 * n_trees * sample_size rows per group (no per-tree work on the other
+      rows); each pool row then draws a hash per tree, and the tree builder takes
+      the ``sample_size`` smallest, so at most a few hundred rows per tree reach
+      Python;
     * building: ``applyInPandas`` per (group, tree);
     * the forest is bounded (groups x trees x 2*sample_size nodes) and is
       shipped to the scoring closure; scoring is ``mapInPandas`` over all rows
@@ -130,12 +131,14 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     by, cols, key = list(by), list(cols), list(key)
     d = df.na.drop(subset=cols).select(*by, *[k for k in key if k not in by], *cols)
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    p = F.least(F.lit(1.0), F.lit(2.0 * sample_size) / F.col("__n"))
-    u = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cand = (join_null_safe(d, sizes, by)
-            .select(*by, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"), "__n",
-                    *[k for k in key if k not in by])
-            .withColumn("__u", u).filter(F.col("__u") < p))
+    keyh = [F.col(k) for k in key]
+    u0 = F.pmod(F.xxhash64(*keyh, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    pool = (join_null_safe(d, sizes, by)
+            .filter(u0 < F.least(F.lit(1.0), F.lit(2.0 * sample_size * n_trees) / F.col("__n"))))
+    u = F.pmod(F.xxhash64(*keyh, F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    cand = (pool.select(*by, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
+                        *[k for k in key if k not in by])
+                .withColumn("__u", u))
     limit = int(np.ceil(np.log2(max(sample_size, 2))))
     tree_schema = T.StructType([*[d.schema[c] for c in by], T.StructField("tree", T.IntegerType()),
                                 T.StructField("nodes", T.StringType()), T.StructField("n", T.DoubleType())])

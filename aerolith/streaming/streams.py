@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from aerolith.operators.joins import upsert_rows
+from aerolith.operators.windows import change_and_rolling
 from aerolith.session import scratch_path
 from aerolith.sources.testdata import readings_from_events
 
@@ -107,15 +108,17 @@ def stream_change_rate(stream: DataFrame, out: str, carry: str, checkpoint: str,
             u = prev.unionByName(cur)
         except Exception:  # noqa: BLE001 - no carried state yet
             u = cur
-        w = Window.partitionBy(*by).orderBy(ts)
-        f = (u.withColumn(f"{value}_change_rate", F.coalesce(F.col(value) - F.lag(value, 1).over(w), F.lit(0.0)))
-              .withColumn(f"{value}_ma_3h", F.coalesce(F.avg(value).over(w.rowsBetween(-2, 0)), F.col(value))))
-        f = f.checkpoint(eager=True)
+        # the same skew-safe series operator as the batch path (row index + chunked halo windows)
+        f = change_and_rolling(u, value, by=by, order=ts).checkpoint(eager=True)
         (f.filter(~F.col("__carry")).drop("__carry").write.mode("overwrite")
           .parquet(f"{out}/batch={batch_id}"))
-        rn = F.row_number().over(Window.partitionBy(*by).orderBy(F.col(ts).desc()))
-        (u.withColumn("__rn", rn).filter(F.col("__rn") <= 2).drop("__rn", "__carry")
-          .write.mode("overwrite").parquet(f"{carry}/batch={batch_id}"))
+        # carried state: the last two rows per city, picked by aggregates (no per-city window)
+        last = u.groupBy(*by).agg(F.max_by(F.struct(ts, value), F.col(ts)).alias("a"),
+                                  F.max(ts).alias("__m"))
+        prev2 = (u.join(last.select(*by, "__m"), by).filter(F.col(ts) < F.col("__m"))
+                  .groupBy(*by).agg(F.max_by(F.struct(ts, value), F.col(ts)).alias("a")))
+        (last.select(*by, "a.*").unionByName(prev2.select(*by, "a.*"))
+             .write.mode("overwrite").parquet(f"{carry}/batch={batch_id}"))
 
     _run(stream.writeStream.foreachBatch(step), checkpoint)
 
