@@ -38,12 +38,17 @@ def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Col
 
 
 def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence[str] | str = ("timestamp",),
-                   bucket: str | Column | None = "day", index: str = "rn", total: str | None = None) -> DataFrame:
+                   bucket: str | Sequence[str] | Column | None = ("hour", "day"), index: str = "rn",
+                   total: str | None = None) -> DataFrame:
     """Add ``index`` = 1-based position of each row in its ``by`` series ordered by ``order``.
 
     ``order`` must be unique inside a series (add a tie-breaker otherwise).
-    ``bucket`` is a ``date_trunc`` unit applied to the first order column, an
-    explicit bucket expression, or ``None`` for one partition per series.
+    ``bucket`` lists ``date_trunc`` units from fine to coarse (default hour, day):
+    rows are numbered inside (key, hour); the offset of each hour inside its day
+    and of each day inside the series come from count tables, whose windows hold
+    at most 24 hours or one series' days.  So no window task holds more than one
+    (key, hour) of rows, whatever the density of the data.  A single unit or an
+    explicit bucket expression gives one level; ``None`` one partition per series.
     ``total`` optionally names a column holding the series length.
     """
     by, order = list(by), [order] if isinstance(order, str) else list(order)
@@ -53,25 +58,45 @@ def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence
         if total:
             out = out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*by)))
         return out
-    bexpr = F.date_trunc(bucket, F.col(order[0])) if isinstance(bucket, str) else bucket
-    d = df.withColumn("__bk", bexpr)
-    d = d.withColumn("__lr", F.row_number().over(Window.partitionBy(*by, "__bk").orderBy(*order)))
-    counts = d.groupBy(*by, "__bk").agg(F.max("__lr").alias("__c"))
-    cw = Window.partitionBy(*by).orderBy("__bk")
-    offs = counts.select(
-        *[F.col(c).alias(f"__k_{c}") for c in by], F.col("__bk").alias("__k_bk"),
-        F.coalesce(F.sum("__c").over(cw.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"),
-        F.sum("__c").over(Window.partitionBy(*by)).alias("__tot"))
-    cond = None
-    for c in by:
-        e = d[c].eqNullSafe(offs[f"__k_{c}"])
-        cond = e if cond is None else cond & e
-    e = d["__bk"].eqNullSafe(offs["__k_bk"])
-    cond = e if cond is None else cond & e
-    out = d.join(offs, cond, "inner").withColumn(index, F.col("__off") + F.col("__lr"))
+    if isinstance(bucket, Column):
+        levels = [bucket]
+    elif isinstance(bucket, str):
+        levels = [F.date_trunc(bucket, F.col(order[0]))]
+    else:
+        levels = [F.date_trunc(u, F.col(order[0])) for u in bucket]
+    names = [f"__b{k}" for k in range(len(levels))]
+    d = df.withColumns(dict(zip(names, levels)))
+    d = d.withColumn("__lr", F.row_number().over(Window.partitionBy(*by, names[0]).orderBy(*order)))
+    # counts of the finest buckets (one row per (key, bucket), carrying the coarser bucket ids)
+    cnt = d.groupBy(*by, *names).agg(F.max("__lr").alias("__c"))
+    # offset of each bucket inside its parent bucket, level by level; the last level's
+    # parent is the whole series
+    offs = cnt.withColumn("__off", F.lit(0).cast("long"))
+    tables = []
+    for k in range(len(names)):
+        parent = names[k + 1:k + 2]
+        lvl = offs.groupBy(*by, *names[k:]).agg(F.sum("__c").alias("__c")) if k else cnt.select(*by, *names, "__c")
+        w = Window.partitionBy(*by, *parent).orderBy(names[k]).rowsBetween(Window.unboundedPreceding, -1)
+        lvl = lvl.withColumn(f"__o{k}", F.coalesce(F.sum("__c").over(w), F.lit(0)))
+        tables.append(lvl.select(*by, *names[k:], f"__o{k}", *(["__c"] if k == len(names) - 1 else [])))
+        offs = lvl
+    # fold the per-level offsets into one table keyed by the finest bucket
+    acc = tables[0]
+    for k in range(1, len(tables)):
+        acc = join_null_safe_cols(acc, tables[k].drop("__c") if k < len(tables) - 1 else tables[k], by + names[k:])
+    off = sum((F.col(f"__o{k}") for k in range(1, len(names))), F.col("__o0"))
+    acc = acc.select(*by, names[0], off.alias("__off"))
+    out = join_null_safe_cols(d, acc, by + [names[0]]).withColumn(index, F.col("__off") + F.col("__lr"))
     if total:
-        out = out.withColumn(total, F.col("__tot"))
-    return out.drop("__bk", "__lr", "__off", "__tot", "__k_bk", *[f"__k_{c}" for c in by])
+        tot = cnt.groupBy(*by).agg(F.sum("__c").alias(total))
+        out = join_null_safe_cols(out, tot, by)
+    return out.drop("__lr", "__off", *names)
+
+
+def join_null_safe_cols(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Inner equi-join where NULL keys match (series keys may be null)."""
+    from aerolith.functions.util import join_null_safe
+    return join_null_safe(left, right, on, "inner")
 
 
 def halo_window(df: DataFrame, by: Sequence[str], index: str,

@@ -209,3 +209,13 @@ def test_m9_strict_24h(spark):
     runs = spark.createDataFrame([(dt.datetime(2026, 1, 1, 0),)], "trained_at timestamp_ntz")
     as_of = F.lit(dt.datetime(2026, 1, 2, 0)).cast("timestamp_ntz")
     assert needs_training(runs, as_of).first()["needs_training"] is True
+
+
+def test_row_index_multi_level_matches_plain(spark):
+    from aerolith.sources.testdata import readings
+    from tests.conftest import SF001
+    rd = readings(spark, SF001).select("city", "timestamp")
+    a = W.with_row_index(rd, bucket=("minute", "hour", "day"), total="n")
+    b = W.with_row_index(rd, bucket=None, total="n")
+    assert sorted(map(tuple, a.select("city", "timestamp", "rn", "n").collect())) == \
+        sorted(map(tuple, b.select("city", "timestamp", "rn", "n").collect()))
