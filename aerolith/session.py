@@ -30,6 +30,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
     conf = dict(BASE_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
+    if os.environ.get("AEROLITH_TZ"):
+        conf["spark.sql.session.timeZone"] = os.environ["AEROLITH_TZ"]
     for k, v in conf.items():
         b = b.config(k, v)
     spark = b.getOrCreate()

@@ -28,9 +28,18 @@ def event_stream(spark: SparkSession, path: str, schema, max_files: int | None =
     return r.parquet(path)
 
 
+def event_time(ts: str = "timestamp"):
+    """Wall-clock TIMESTAMP_NTZ -> TIMESTAMP read as UTC, whatever the session time zone
+    (watermarks need TIMESTAMP; hour windows then align with wall-clock hours)."""
+    t = F.col(ts)
+    micros = F.second(t).cast("long") * 1000000 + F.date_format(t, "SSSSSS").cast("long")
+    secs = (micros.cast("decimal(14,0)") / F.lit(1000000).cast("decimal(7,0)")).cast("decimal(8,6)")
+    return F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), secs, F.lit("UTC"))
+
+
 def readings_stream(events: DataFrame) -> DataFrame:
     rd = readings_from_events(events)
-    return rd.withColumn("event_time", F.col("timestamp").cast("timestamp"))
+    return rd.withColumn("event_time", event_time("timestamp"))
 
 
 def _run(query_builder, checkpoint: str):
@@ -75,8 +84,9 @@ def stream_hourly_mean(stream: DataFrame, delay: str = "2 hours", value: str = "
     """Tumbling one-hour mean per city, emitted once the watermark closes the window."""
     return (stream.withWatermark("event_time", delay)
                   .groupBy(F.window("event_time", "1 hour").alias("w"), "city")
-                  .agg(F.avg(value).alias(f"{value}_mean"), F.count(F.lit(1)).alias("n"))
-                  .select("city", F.col("w.start").cast("timestamp_ntz").alias("hour_start"), f"{value}_mean", "n"))
+                  .agg(F.min(F.date_trunc("hour", "timestamp")).alias("hour_start"),
+                       F.avg(value).alias(f"{value}_mean"), F.count(F.lit(1)).alias("n"))
+                  .select("city", "hour_start", f"{value}_mean", "n"))
 
 
 def stream_dedupe(stream: DataFrame, key: Sequence[str] = ("city", "event_time"), delay: str = "2 hours") -> DataFrame:
