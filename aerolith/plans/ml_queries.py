@@ -264,3 +264,14 @@ def q_s8(spark, sf):
     path = scratch_path(spark, f"s8-{uuid.uuid4().hex[:12]}")
     doc.drop("city").write.mode("overwrite").json(path)
     return finish(read_nested_metrics(spark, path, multi_line=False).drop("source"))
+
+
+@register("a19_prediction_range", f"""WITH {_PRED_SQL},
+last AS (SELECT model, city, arg_max(prediction, "timestamp") AS prediction FROM pred GROUP BY 1, 2)
+SELECT city, {d('min(prediction)', 'pred_min')}, {d('max(prediction)', 'pred_max')}, {i('count(prediction)', 'n_models')}
+FROM last GROUP BY city""")
+def q_a19(spark, sf):
+    pred = rule_predictions(spark, sf)
+    last = pred.groupBy("model", "city").agg(F.max_by("prediction", "timestamp").alias("prediction"))
+    return finish(last.groupBy("city").agg(F.min("prediction").alias("pred_min"), F.max("prediction").alias("pred_max"),
+                                           F.count("prediction").alias("n_models")))

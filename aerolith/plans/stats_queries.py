@@ -193,3 +193,16 @@ FROM t LEFT JOIN se ON se.city = t.city AND se.phase = t.phase""")
 def q_x7(spark, sf):
     dm = A.daily_mean(readings(spark, sf), by=["city"])
     return finish(X.seasonal_decompose(dm, "aqi_mean", 7))
+
+
+@register("f6_corr_label", f"""WITH {READINGS_CTE}, c AS ({_pairs_sql()})
+SELECT city, feature1, feature2, {d('correlation', 'correlation')},
+       CASE WHEN abs(correlation) > 0.7 THEN 'Strong' WHEN abs(correlation) > 0.5 THEN 'Moderate'
+            WHEN correlation IS NOT NULL THEN 'Weak' END AS strength,
+       CASE WHEN correlation > 0 THEN 'Positive' WHEN correlation IS NOT NULL THEN 'Negative' END AS direction FROM c""")
+def q_f6(spark, sf):
+    from aerolith.functions.scalars import corr_direction, corr_strength
+    c = _corr(spark, sf)
+    return finish(c.select("city", "feature1", "feature2", "correlation",
+                           corr_strength("correlation").alias("strength"),
+                           corr_direction("correlation").alias("direction")))

@@ -472,3 +472,56 @@ SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('temperature', 'temperature'
 def q_p7(spark, sf):
     f = ci_features(hourly(spark, sf))
     return finish(f.select(*_TFC, *P.select_features_allow(f)))
+
+
+@register("f9_round", f"""WITH {HOURLY_CTE}
+SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('round_even(aqi * 10.0, 0) / 10.0', 'aqi_half_even')},
+       {d('round(aqi * 10.0) / 10.0', 'aqi_half_up')}, {d('round(aqi * 1000.0) / 1000.0', 'aqi_3dp')} FROM hourly""")
+def q_f9(spark, sf):
+    h = hourly(spark, sf)
+    return finish(h.select("city", "timestamp", S.round_half_even("aqi", 1).alias("aqi_half_even"),
+                           S.round_half_up("aqi", 1).alias("aqi_half_up"), S.round_half_up("aqi", 3).alias("aqi_3dp")))
+
+
+@register("j5_reindex_weekdays", f"""WITH {READINGS_CTE},
+days AS (SELECT * FROM (VALUES (0, 'Monday'), (1, 'Tuesday'), (2, 'Wednesday'), (3, 'Thursday'), (4, 'Friday'),
+                               (5, 'Saturday'), (6, 'Sunday')) t(day_index, day_name)),
+weeks AS (SELECT DISTINCT city, date_trunc('week', "timestamp") AS week FROM readings),
+a AS (SELECT city, date_trunc('week', "timestamp") AS week, isodow("timestamp") - 1 AS day_index, avg(aqi) AS aqi_mean
+      FROM readings GROUP BY 1, 2, 3)
+SELECT weeks.city, {ts('weeks.week', 'week')}, {i('days.day_index', 'day_index')}, day_name, {d('aqi_mean', 'aqi_mean')}
+FROM weeks CROSS JOIN days LEFT JOIN a ON a.city = weeks.city AND a.week = weeks.week AND a.day_index = days.day_index""")
+def q_j5(spark, sf):
+    """Weekday means per (city, calendar week) re-indexed onto the fixed Monday..Sunday domain:
+    the partial first / last weeks get null rows for their missing days."""
+    from aerolith.operators.aggregates import WEEKDAYS
+    rd = readings(spark, sf).withColumn("week", F.date_trunc("week", "timestamp"))
+    agg = rd.groupBy("city", "week", F.weekday("timestamp").alias("day_index")).agg(F.avg("aqi").alias("aqi_mean"))
+    days = F.inline(F.array(*[F.struct(F.lit(k).alias("day_index"), F.lit(n).alias("day_name"))
+                              for k, n in enumerate(WEEKDAYS)]))
+    grid = rd.select("city", "week").distinct().select("city", "week", days)
+    return finish(grid.join(agg, ["city", "week", "day_index"], "left"))
+
+
+@register("s2_write_readings")
+def q_s2(spark, sf):
+    """Write the readings partitioned by (city, date) twice (idempotent), read them back."""
+    import uuid
+    from aerolith.session import scratch_path
+    from aerolith.sources.store import read_readings, write_readings
+    path = scratch_path(spark, f"s2-{uuid.uuid4().hex[:12]}")
+    rd = readings(spark, sf)
+    write_readings(rd, path)
+    write_readings(rd, path)
+    return finish(read_readings(spark, path).drop("date"))
+
+
+@register("s7_write_report")
+def q_s7(spark, sf):
+    """Write the EDA report document and read it back."""
+    import uuid
+    from aerolith.plans.report import write_eda_report
+    from aerolith.session import scratch_path
+    path = scratch_path(spark, f"s7-{uuid.uuid4().hex[:12]}")
+    write_eda_report(readings(spark, sf), path)
+    return spark.read.json(path)
