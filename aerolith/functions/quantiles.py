@@ -12,8 +12,9 @@ each needed order statistic is located by successive histogram refinement:
    value at the needed rank.
 
 Every shuffle carries at most groups x bins rows; the last step holds only the
-distinct values of a 1/bins^levels slice of one group's range.  The result is
-exact (it equals ``percentile`` / ``quantile_cont``).
+distinct values of a 1/bins^levels slice of one group's range, and the number
+of levels is chosen from the largest group so that slice stays small.  The
+result is exact (it equals ``percentile`` / ``quantile_cont``).
 """
 
 from __future__ import annotations
@@ -26,9 +27,16 @@ from pyspark.sql import functions as F
 from aerolith.functions.util import join_null_safe
 
 
+FINAL_CAP = 1 << 16  # rows of one group that the last step may rank in one task
+
+
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    bins: int = 1024, levels: int = 2) -> DataFrame:
-    """Long result: ``by..., qi (index into probs), p, q``; groups without values are absent."""
+                    bins: int = 1024, levels: int | str = "auto") -> DataFrame:
+    """Long result: ``by..., qi (index into probs), p, q``; groups without values are absent.
+
+    ``levels="auto"`` reads the largest group size (one scalar) and refines just
+    enough that the last step never ranks more than ``FINAL_CAP`` rows of a group.
+    """
     by = list(by)
     if not by:  # one global group: a constant key keeps every join an equi-join
         out = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins, levels)
@@ -37,6 +45,17 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequenc
     base = df.select(*by, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
     stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
                                   F.max("__v").alias("__hi"))
+    if levels == "auto":
+        n_max = stats.agg(F.max("__n")).first()[0] or 0
+        levels = 0
+        while n_max > FINAL_CAP * bins ** levels:
+            levels += 1
+        if levels == 0:
+            # every group is small: one ``percentile`` pass holds at most FINAL_CAP values per group
+            arr = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]))
+            g = base.groupBy(*by).agg(arr.alias("__q"))
+            return g.select(*by, F.posexplode("__q").alias("qi", "q")).select(
+                *by, "qi", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("qi") + 1).alias("p"), "q")
     plist = F.array(*[F.struct(F.lit(k).alias("qi"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)])
     need = (stats.select(*by, "__n", F.inline(plist))
                  .withColumn("__pos", (F.col("__n") - 1).cast("double") * F.col("p"))

@@ -233,7 +233,7 @@ def q_x10(spark, sf):
 
 @register("x3_isolation_forest")
 def q_x3(spark, sf):
-    out = C.isolation_forest(readings(spark, sf).withColumn("rid", F.monotonically_increasing_id()),
+    out = C.isolation_forest(readings(spark, sf),
                              ["aqi", "pm2_5", "temperature", "humidity"], key=["city", "timestamp"], n_trees=25)
     return finish(out.select("city", "timestamp", "anomaly_score", "is_anomaly"))
 

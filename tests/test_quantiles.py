@@ -14,7 +14,9 @@ def test_matches_numpy_linear(spark):
     rows.append(("one", 4.0))
     df = spark.createDataFrame(rows, "g string, v double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = {(r["g"], r["qi"]): r["q"] for r in exact_quantiles(df, ["g"], "v", probs, bins=16).collect()}
+    got = {(r["g"], r["qi"]): r["q"] for r in exact_quantiles(df, ["g"], "v", probs, bins=16, levels=2).collect()}
+    auto = {(r["g"], r["qi"]): r["q"] for r in exact_quantiles(df, ["g"], "v", probs).collect()}
+    assert auto == got
     for g, arr in (("hot", hot), ("dup", dup), ("cold", cold), ("one", np.array([4.0]))):
         want = np.percentile(arr, [p * 100 for p in probs])
         for k, w in enumerate(want):
