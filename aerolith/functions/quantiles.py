@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from aerolith.functions.util import join_null_safe
 
 
-FINAL_CAP = 1 << 16  # rows of one group that the last step may rank in one task
+FINAL_CAP = 1 << 20  # values of one group that the last step may hold in one task (~1M, tens of MB)
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],

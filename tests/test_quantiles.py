@@ -27,3 +27,14 @@ def test_global_group(spark):
     df = spark.range(1, 1001).selectExpr("cast(id as double) v")
     r = exact_quantiles(df, [], "v", [0.5]).first()
     assert r["q"] == 500.5
+
+
+def test_auto_refines_when_groups_exceed_cap(spark, monkeypatch):
+    import aerolith.functions.quantiles as Q
+    monkeypatch.setattr(Q, "FINAL_CAP", 50)
+    rng = np.random.default_rng(3)
+    vals = rng.normal(0, 1, 5000)
+    df = spark.createDataFrame([("a", float(v)) for v in vals], "g string, v double")
+    got = sorted((r["qi"], r["q"]) for r in Q.exact_quantiles(df, ["g"], "v", [0.05, 0.5, 0.99], bins=8).collect())
+    want = np.percentile(vals, [5, 50, 99])
+    assert [abs(q - w) < 1e-12 for (_, q), w in zip(got, want)] == [True] * 3
