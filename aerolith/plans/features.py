@@ -21,6 +21,12 @@ def training_frame(h: DataFrame, ahead: int = 24, days: int | None = None, as_of
         ref = as_of if as_of is not None else h.agg(F.max(ts)).scalar()
         h = h.filter(F.col(ts) >= ref - F.expr(f"INTERVAL {int(days)} DAYS"))
     t = target_ahead(h, "aqi", ahead, by=by, order=ts, chunk=chunk)
+    # the lag stage indexes the surviving rows again and reads its input twice (rows and
+    # per-bucket counts): cut the lineage here (shared checkpoint folder) so the
+    # upstream scan, aggregation and first window stage run once
+    from aerolith.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(t.sparkSession)
+    t = t.checkpoint(eager=True)
     t = calendar_parts(t, ts, parts=["hour", "day_of_week", "month"])
     s, c = cyclic("hour", 24)
     t = t.withColumn("hour_sin", s).withColumn("hour_cos", c)
