@@ -22,9 +22,10 @@ def assemble_scaled(df: DataFrame, cols: Sequence[str], out: str = "features") -
 
 
 def kmeans_auto_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42,
-                  max_iter: int = 20, distance: str = "euclidean"):
-    """Fit k-means for each k; silhouette (Euclidean by default, like the published
-    library) and inertia per k; returns (best k, labelled rows, elbow table)."""
+                  max_iter: int = 20, distance: str = "euclidean", n_init: int = 10):
+    """Fit k-means for each k (best of ``n_init`` seeds by inertia); silhouette from
+    Spark's evaluator (squared Euclidean) and inertia per k; returns (best k, labelled rows,
+    elbow table)."""
     spark = df.sparkSession
     x = assemble_scaled(df, cols).cache()
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean"
@@ -32,7 +33,11 @@ def kmeans_auto_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(
                              "squaredEuclidean")
     rows, best = [], None
     for k in ks:
-        m = KMeans(k=k, seed=seed, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(x)
+        m = None
+        for r in range(n_init):
+            cand = KMeans(k=k, seed=seed + r, maxIter=max_iter, featuresCol="features", predictionCol="cluster").fit(x)
+            if m is None or cand.summary.trainingCost < m.summary.trainingCost:
+                m = cand
         pred = m.transform(x)
         sil = float(ev.evaluate(pred))
         rows.append((int(k), float(m.summary.trainingCost), sil))

@@ -161,9 +161,9 @@ def pm25_to_aqi(c, out_of_range_null: bool = True) -> Column:
 # --- J6 --------------------------------------------------------------------------------------------------------
 
 
-def predictions_with_metrics(pred: DataFrame, metrics: DataFrame, model: str = "model") -> DataFrame:
+def predictions_with_metrics(pred: DataFrame, metrics: DataFrame, on="model") -> DataFrame:
     """Comparison row per model: prediction joined with its metrics (models without metrics kept)."""
-    return pred.join(metrics, model, "left")
+    return pred.join(metrics, on, "left")
 
 
 # --- J8 / J9 ---------------------------------------------------------------------------------------------------

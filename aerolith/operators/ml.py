@@ -13,7 +13,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.scalars import category_by_threshold, clip, round_half_even
+from aerolith.functions.scalars import clip, round_half_even
+from aerolith.operators.joins import category_by_range
 from aerolith.operators.aggregates import regression_metrics
 
 
@@ -97,16 +98,19 @@ def score_batch(fitted: dict, df: DataFrame, key: Sequence[str]) -> DataFrame:
     long = outs[0]
     for o in outs[1:]:
         long = long.unionByName(o)
-    return (long.withColumn("prediction", round_half_even("prediction", 1))
-                .withColumn("category", category_by_threshold("prediction")))
+    long = long.withColumn("prediction", round_half_even("prediction", 1))
+    # the label of a prediction uses the closed-range scale (J3), as the published app does
+    return category_by_range(long, "prediction", prefix="__").withColumnRenamed("__category", "category").drop(
+        "__color", "__css_class", "__description")
 
 
 def ensemble(long: DataFrame, key: Sequence[str]) -> DataFrame:
     """Mean of the valid model predictions per key, with count, range and category."""
     e = long.groupBy(*key).agg(F.avg("prediction").alias("ensemble"), F.count("prediction").alias("n_models"),
                                F.min("prediction").alias("pred_min"), F.max("prediction").alias("pred_max"))
-    return (e.withColumn("ensemble", round_half_even("ensemble", 1))
-             .withColumn("category", category_by_threshold("ensemble")))
+    e = e.withColumn("ensemble", round_half_even("ensemble", 1))
+    return category_by_range(e, "ensemble", prefix="__").withColumnRenamed("__category", "category").drop(
+        "__color", "__css_class", "__description")
 
 
 def needs_training(runs: DataFrame, as_of: Column, hours: int = 24, ts: str = "trained_at",

@@ -14,10 +14,10 @@ from aerolith.operators import aggregates as A
 from aerolith.operators import cluster as C
 from aerolith.operators import ml as M
 from aerolith.operators import topk as O
+from aerolith.operators import joins as J
 from aerolith.operators import windows as W
 from aerolith.plans.features import training_frame
-from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, d, finish, i, register, ts
-from aerolith.plans.table_queries import clip_sql, rule_sql
+from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, clip_sql, d, finish, i, register, rule_sql, ts
 from aerolith.sources.testdata import hourly, readings
 from aerolith.sources.store import model_comparison_table
 
@@ -127,6 +127,9 @@ def q_s9(spark, sf):
 @register("j6_predictions_with_metrics", f"""WITH {_PRED_SQL},
 last AS (SELECT model, city, arg_max(prediction, "timestamp") AS prediction FROM pred GROUP BY 1, 2)
 SELECT last.model, last.city, {d('prediction', 'prediction')},
+       CASE WHEN prediction BETWEEN 0 AND 50 THEN 'Good' WHEN prediction BETWEEN 51 AND 100 THEN 'Moderate'
+            WHEN prediction BETWEEN 101 AND 150 THEN 'Unhealthy for Sensitive Groups' WHEN prediction BETWEEN 151 AND 200 THEN 'Unhealthy'
+            WHEN prediction BETWEEN 201 AND 300 THEN 'Very Unhealthy' ELSE 'Hazardous' END AS category,
        {d('test_mae', 'test_mae')}, {d('test_r2', 'test_r2')}, 'Rule-based' AS method
 FROM last LEFT JOIN runs ON runs.model_name = last.model AND runs.city = last.city""")
 def q_j6(spark, sf):
@@ -134,8 +137,9 @@ def q_j6(spark, sf):
     pred = rule_predictions(spark, sf)
     last = pred.groupBy("model", "city").agg(F.max_by("prediction", "timestamp").alias("prediction"))
     met = rule_runs(spark, sf).select(F.col("model_name").alias("model"), "city", "test_mae", "test_r2")
-    out = last.join(met, ["model", "city"], "left").withColumn("method", F.lit("Rule-based"))
-    return finish(out)
+    out = predictions_with_metrics(last, met, ["model", "city"]).withColumn("method", F.lit("Rule-based"))
+    out = J.category_by_range(out, "prediction", prefix="__").withColumnRenamed("__category", "category")
+    return finish(out.drop("__color", "__css_class", "__description"))
 
 
 @register("m13_multi_horizon", f"""WITH {HOURLY_CTE}
@@ -209,19 +213,19 @@ _KC = ["aqi", "pm2_5", "temperature", "humidity", "no2"]
 
 @register("x8_kmeans_auto_k")
 def q_x8(spark, sf):
-    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10)
+    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10, n_init=2)
     return finish(labelled.select("city", "timestamp", "cluster"))
 
 
 @register("x9_elbow_curve")
 def q_x9(spark, sf):
-    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10)
+    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10, n_init=2)
     return finish(elbow)
 
 
 @register("a27_cluster_profile")
 def q_a27(spark, sf):
-    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10)
+    k, labelled, elbow = C.kmeans_auto_k(hourly(spark, sf), _KC, ks=range(2, 6), max_iter=10, n_init=2)
     return finish(A.cluster_profile(labelled, _KC))
 
 

@@ -111,3 +111,26 @@ NULL_READINGS_CTE = READINGS_CTE.replace("value AS aqi", "CASE WHEN event_id % 1
     .replace("CAST(user_id % 45 AS DOUBLE) AS temperature", "CAST(nullif(user_id % 45, 0) AS DOUBLE) AS temperature") \
     .replace("CAST(user_id % 100 AS DOUBLE) AS humidity", "CAST(nullif(user_id % 100, 0) AS DOUBLE) AS humidity") \
     .replace("readings AS (", "nreadings AS (", 1)
+
+
+# Rule forecast (F10 / F11) in SQL, same factor table as aerolith.functions.scalars.
+_RULE_A = """(coalesce({a}, 50.0)
+  * CASE WHEN hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 17 AND 19 THEN {rush} ELSE {off} END
+  * CASE WHEN coalesce({h}, 60.0) > {hh} THEN {hhf} WHEN coalesce({h}, 60.0) < {hl} THEN {hlf} ELSE 1.0 END
+  * CASE WHEN coalesce({w}, 5.0) < {wl} THEN {wlf} WHEN coalesce({w}, 5.0) > {wh} THEN {whf} ELSE 1.0 END
+  * CASE WHEN coalesce({t}, 25.0) > {th} THEN {thf} WHEN coalesce({t}, 25.0) < {tl} THEN {tlf} ELSE 1.0 END
+  * CASE WHEN month(ts) IN (12, 1, 2) THEN {win} WHEN month(ts) IN (6, 7, 8) THEN {mon} ELSE 1.0 END)"""
+
+
+def rule_sql(variant="a", a="aqi", t="temperature", h="humidity", w="wind_speed", tcol='"timestamp"'):
+    from aerolith.functions.scalars import RULE_FACTORS
+    f = RULE_FACTORS[variant]
+    return _RULE_A.format(a=a, t=t, h=h, w=w, rush=f["rush"], off=f["offpeak"], hh=f["hum_hi"][0], hhf=f["hum_hi"][1],
+                          hl=f["hum_lo"][0], hlf=f["hum_lo"][1], wl=f["wind_lo"][0], wlf=f["wind_lo"][1],
+                          wh=f["wind_hi"][0], whf=f["wind_hi"][1], th=f["temp_hi"][0], thf=f["temp_hi"][1],
+                          tl=f["temp_lo"][0], tlf=f["temp_lo"][1], win=f["winter"], mon=f["monsoon"]
+                          ).replace("(ts)", f"({tcol})")
+
+
+def clip_sql(x):
+    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(20.0, least(500.0, {x})) END"

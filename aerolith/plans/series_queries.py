@@ -9,7 +9,11 @@ from aerolith.functions.scalars import rule_forecast, status4, trend_label
 from aerolith.operators import joins as J
 from aerolith.operators import windows as W
 from aerolith.plans.features import ci_features, training_frame
-from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, d, i, register, s, ts, finish
+from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, clip_sql, d, finish, i, register, rule_sql, s, ts
+
+
+def _clip_rule(v):
+    return f"({clip_sql(rule_sql(v))})"
 from aerolith.sources.testdata import MEASURES, hourly, readings_from_events, table
 
 WIN = 'OVER (PARTITION BY city ORDER BY "timestamp")'
@@ -147,13 +151,20 @@ def q_w11(spark, sf):
 
 
 @register("w12_future_point", f"""WITH {HOURLY_CTE},
-l AS (SELECT city, max("timestamp") AS last_ts, arg_max(aqi, "timestamp") AS last_aqi FROM hourly GROUP BY city)
-SELECT city, {ts('last_ts + INTERVAL 24 HOUR', 'forecast_ts')}, {d('last_aqi', 'last_aqi')} FROM l""")
+l AS (SELECT city, max("timestamp") AS last_ts, arg_max(aqi, "timestamp") AS last_aqi,
+             arg_max(({_clip_rule('a')} + {_clip_rule('b')}) / 2, "timestamp") AS ens FROM hourly GROUP BY city)
+SELECT city, {ts('last_ts + INTERVAL 24 HOUR', 'forecast_ts')}, {d('last_aqi', 'last_aqi')},
+       {d('round_even(ens * 10.0, 0) / 10.0', 'ensemble')} FROM l""")
 def q_w12(spark, sf):
+    """Forecast point: last hour + 24 h per city, paired with the ensemble of the rule forecasts
+    made at that last hour."""
+    from aerolith.functions.scalars import round_half_even
     h = hourly(spark, sf)
     fp = W.future_point(h)
-    last = h.groupBy("city").agg(F.max_by("aqi", "timestamp").alias("last_aqi"))
-    return finish(fp.join(last, "city"))
+    ens = (rule_forecast(variant="a") + rule_forecast(variant="b")) / 2
+    last = h.groupBy("city").agg(F.max_by("aqi", "timestamp").alias("last_aqi"),
+                                 F.max_by(ens, "timestamp").alias("ensemble"))
+    return finish(fp.join(last, "city").withColumn("ensemble", round_half_even("ensemble", 1)))
 
 
 @register("j8_lag_by_time", f"""WITH {HOURLY_CTE}

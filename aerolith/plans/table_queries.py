@@ -11,8 +11,8 @@ from aerolith.operators import joins as J
 from aerolith.operators import setops as U
 from aerolith.operators import topk as O
 from aerolith.plans.features import ci_features, training_frame
-from aerolith.plans.registry import (HOURLY_CTE, NULL_READINGS_CTE, READINGS_CTE, category_sql, d, dt, finish, i,
-                                     register, s, ts)
+from aerolith.plans.registry import (HOURLY_CTE, NULL_READINGS_CTE, READINGS_CTE, category_sql, clip_sql, d, dt,
+                                     finish, i, register, rule_sql, s, ts)
 from aerolith.sources.builders import air_payloads, weather_payloads
 from aerolith.sources.payloads import decode_air, decode_weather
 from aerolith.sources.testdata import hourly, readings, readings_from_events, readings_with_nulls, table
@@ -176,27 +176,6 @@ def q_f5(spark, sf):
     return finish(m.withColumn("status", S.status4("aqi_mean")).withColumn("colour", S.status4_strict("aqi_mean")))
 
 
-_RULE_A = """(coalesce({a}, 50.0)
-  * CASE WHEN hour(ts) BETWEEN 7 AND 9 OR hour(ts) BETWEEN 17 AND 19 THEN {rush} ELSE {off} END
-  * CASE WHEN coalesce({h}, 60.0) > {hh} THEN {hhf} WHEN coalesce({h}, 60.0) < {hl} THEN {hlf} ELSE 1.0 END
-  * CASE WHEN coalesce({w}, 5.0) < {wl} THEN {wlf} WHEN coalesce({w}, 5.0) > {wh} THEN {whf} ELSE 1.0 END
-  * CASE WHEN coalesce({t}, 25.0) > {th} THEN {thf} WHEN coalesce({t}, 25.0) < {tl} THEN {tlf} ELSE 1.0 END
-  * CASE WHEN month(ts) IN (12, 1, 2) THEN {win} WHEN month(ts) IN (6, 7, 8) THEN {mon} ELSE 1.0 END)"""
-
-
-def rule_sql(variant="a", a="aqi", t="temperature", h="humidity", w="wind_speed", tcol='"timestamp"'):
-    f = S.RULE_FACTORS[variant]
-    return _RULE_A.format(a=a, t=t, h=h, w=w, rush=f["rush"], off=f["offpeak"], hh=f["hum_hi"][0], hhf=f["hum_hi"][1],
-                          hl=f["hum_lo"][0], hlf=f["hum_lo"][1], wl=f["wind_lo"][0], wlf=f["wind_lo"][1],
-                          wh=f["wind_hi"][0], whf=f["wind_hi"][1], th=f["temp_hi"][0], thf=f["temp_hi"][1],
-                          tl=f["temp_lo"][0], tlf=f["temp_lo"][1], win=f["winter"], mon=f["monsoon"]
-                          ).replace("(ts)", f"({tcol})")
-
-
-def clip_sql(x):
-    return f"CASE WHEN ({x}) IS NOT NULL THEN greatest(20.0, least(500.0, {x})) END"
-
-
 @register("f10_rule_forecast", f"""WITH {HOURLY_CTE}
 SELECT city, {ts('"timestamp"', '"timestamp"')}, {d(rule_sql('a'), 'raw_forecast')}, {d(clip_sql(rule_sql('a')), 'forecast')},
        {d(f"round_even(({clip_sql(rule_sql('a'))}) * 10.0, 0) / 10.0", 'forecast_1dp')} FROM hourly""")
