@@ -41,6 +41,36 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def delete_from_store(spark: SparkSession, path: str, predicate: Column,
+                      partition_by: Sequence[str] = ("city", "date")) -> int:
+    """S4 on a stored table: rewrite only the partitions holding matching rows, without them.
+
+    The kept rows of the touched partitions are materialised (checkpoint in the
+    shared folder) before the dynamic overwrite, because they are read from the
+    same files.  Partitions left without rows are removed (a dynamic overwrite
+    never receives rows for them).  Returns the number of deleted rows.
+    """
+    part = list(partition_by)
+    store = spark.read.parquet(path)
+    hit = F.coalesce(predicate, F.lit(False))
+    touched = store.filter(hit).select(*part).distinct().checkpoint(eager=True)
+    n_deleted = store.filter(hit).count()
+    if n_deleted == 0:
+        return 0
+    keep = store.join(touched, part, "left_semi").filter(~hit).checkpoint(eager=True)
+    (keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(*part).parquet(path))
+    # partition folders that lost every row: their list is bounded by the partition count
+    emptied = touched.join(keep.select(*part).distinct(), part, "left_anti").collect()
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for row in emptied:
+        sub = "/".join(f"{c}={row[c]}" for c in part)
+        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sub}")
+        p.getFileSystem(conf).delete(p, True)
+    return n_deleted
+
+
 def store_metadata(df: DataFrame, ts: str = "timestamp") -> DataFrame:
     """One-row metadata: total rows, column list, null count per column, first / last timestamp."""
     cols = df.columns

@@ -76,3 +76,22 @@ def test_report_written_as_one_document(spark):
     assert len(files) == 1
     doc = json.loads(open(os.path.join(_local(path), files[0])).readline())
     assert doc["overview"]["cities"] == 5 and len(doc["aqi_categories"]) >= 1
+
+
+def test_delete_from_store_rewrites_only_touched_partitions(spark):
+    path = scratch_path(spark, f"s4-{uuid.uuid4().hex[:8]}")
+    rd = readings(spark, SF001).select("city", "timestamp", "aqi")
+    store.write_readings(rd, path)
+    before = store.read_readings(spark, path)
+    n_before = before.count()
+    n_click = before.filter(F.col("city") == "click").count()
+    n_big = before.filter((F.col("city") == "view") & (F.col("aqi") > 100)).count()
+    # whole city: its partitions disappear
+    assert store.delete_from_store(spark, path, F.col("city") == "click") == n_click
+    # some rows of another city; a NULL predicate keeps the row
+    pred = (F.col("city") == "view") & (F.when(F.col("aqi") > 100, True))
+    assert store.delete_from_store(spark, path, pred) == n_big
+    after = store.read_readings(spark, path)
+    assert after.count() == n_before - n_click - n_big
+    assert after.filter(F.col("city") == "click").count() == 0
+    assert not any(p.startswith("city=click") for p in os.listdir(_local(path)))
