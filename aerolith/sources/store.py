@@ -65,9 +65,12 @@ def delete_from_store(spark: SparkSession, path: str, predicate: Column,
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for row in emptied:
-        sub = "/".join(f"{c}={row[c]}" for c in part)
-        p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{sub}")
-        p.getFileSystem(conf).delete(p, True)
+        levels = [f"{c}={row[c]}" for c in part]
+        for depth in range(len(levels), 0, -1):  # the partition, then parents left empty
+            p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{'/'.join(levels[:depth])}")
+            fs = p.getFileSystem(conf)
+            if depth == len(levels) or (fs.exists(p) and len(fs.listStatus(p)) == 0):
+                fs.delete(p, True)
     return n_deleted
 
 
