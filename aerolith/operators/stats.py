@@ -109,8 +109,8 @@ def node_degrees(edges: DataFrame, nodes: Sequence[str], by: Sequence[str] = ("c
     node_arr = F.array(*[F.lit(x) for x in nodes])
     if by:
         grid = edges.select(*by).distinct().select(*by, F.explode(node_arr).alias("node"))
-    else:
-        grid = edges.limit(1).select(F.explode(node_arr).alias("node"))
+    else:  # one global graph: the node list is the (schema-sized) column list
+        grid = edges.sparkSession.createDataFrame([(x,) for x in nodes], "node string")
     return join_null_safe(grid, deg, list(by) + ["node"], "left").fillna(0, ["degree"])
 
 
