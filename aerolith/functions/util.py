@@ -12,7 +12,7 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     """Equi-join on ``on`` where NULL keys match each other (``<=>``); keeps one copy of the keys."""
     on = list(on)
     if not on:
-        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+        raise ValueError("join keys required (add a constant key for one global group)")
     r = right.select(*[F.col(c).alias(f"__r_{c}") for c in on], *[c for c in right.columns if c not in on])
     cond = None
     for c in on:

@@ -134,6 +134,10 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     from aerolith.functions.quantiles import quantile_columns
     from aerolith.functions.util import join_null_safe
     by, cols, key = list(by), list(cols), list(key)
+    if not by:  # one global forest: a constant group key
+        out = isolation_forest(df.withColumn("__all", F.lit(0)), cols, key, ["__all"], n_trees, sample_size,
+                               contamination, seed)
+        return out.drop("__all")
     d = df.na.drop(subset=cols).select(*by, *[k for k in key if k not in by], *cols)
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     keyh = [F.col(k) for k in key]
@@ -158,13 +162,20 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
         row.update(tree=t, nodes=repr(nodes), n=float(len(x)))
         return pd.DataFrame([row])
 
-    forest_rows = (cand.select(*by, "tree", "__u", *cols).groupBy(*by, "tree")
-                       .applyInPandas(build, tree_schema).collect())
+    forest_df = cand.select(*by, "tree", "__u", *cols).groupBy(*by, "tree").applyInPandas(build, tree_schema)
+    out_schema = T.StructType([*d.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
+    # proven bound on the forest size: groups x trees x (2 * sample_size) nodes
+    n_groups = sizes.count()
+    if n_groups * n_trees * 2 * sample_size > FOREST_SHIP_NODES:
+        scored = _score_cogrouped(d, sizes, forest_df, by, key, cols, out_schema)
+        cut = quantile_columns(scored, by, "anomaly_score", [1 - contamination], ["threshold"])
+        return join_null_safe(scored, cut, by).withColumn("is_anomaly",
+                                                          F.col("anomaly_score") > F.col("threshold"))
+    forest_rows = forest_df.collect()
     import ast
     forests: dict = {}
     for r in forest_rows:
         forests.setdefault(tuple(r[c] for c in by), []).append((_arrays(ast.literal_eval(r["nodes"])), r["n"]))
-    out_schema = T.StructType([*d.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
 
     def score(batches):
         for pdf in batches:
@@ -185,3 +196,36 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     scored = d.mapInPandas(score, out_schema)
     cut = quantile_columns(scored, by, "anomaly_score", [1 - contamination], ["threshold"])
     return join_null_safe(scored, cut, by).withColumn("is_anomaly", F.col("anomaly_score") > F.col("threshold"))
+
+
+FOREST_SHIP_NODES = 20_000_000  # forests up to this many nodes travel with the scoring tasks
+ROWS_PER_SCORING_BUCKET = 1_000_000
+
+
+def _score_cogrouped(d, sizes, forest_df, by, key, cols, out_schema):
+    """Scoring for many groups: rows are hashed into ceil(n / 1M) buckets per group, and each
+    bucket is cogrouped with its group's trees, so a forest travels once per bucket and a hot
+    group is spread over many tasks."""
+    from aerolith.functions.util import join_null_safe
+    nb = F.greatest(F.lit(1), F.ceil(F.col("__n") / F.lit(ROWS_PER_SCORING_BUCKET))).cast("int")
+    sz = sizes.select(*by, nb.alias("__nb"))
+    rows = join_null_safe(d, sz, by).withColumn(
+        "__bucket", F.pmod(F.xxhash64(*[F.col(k) for k in key]), F.col("__nb")).cast("int")).drop("__nb")
+    trees = join_null_safe(forest_df, sz, by).withColumn(
+        "__bucket", F.explode(F.sequence(F.lit(0), F.col("__nb") - 1))).drop("__nb")
+    out_cols = [f.name for f in out_schema.fields]
+    import ast
+
+    def score(rpdf: pd.DataFrame, tpdf: pd.DataFrame) -> pd.DataFrame:
+        if rpdf.empty:
+            return pd.DataFrame(columns=out_cols)
+        x = rpdf[cols].to_numpy(dtype=float)
+        acc = np.zeros(len(x))
+        for _, tr in tpdf.iterrows():
+            acc += _path_lengths(x, _arrays(ast.literal_eval(tr["nodes"])))
+        n = float(tpdf["n"].iloc[0]) if len(tpdf) else 1.0
+        res = np.power(2.0, -(acc / max(len(tpdf), 1)) / _c(n)) if len(tpdf) else np.full(len(x), np.nan)
+        return rpdf.assign(anomaly_score=res)[out_cols]
+
+    return (rows.groupBy(*by, "__bucket").cogroup(trees.groupBy(*by, "__bucket"))
+                .applyInPandas(score, out_schema))

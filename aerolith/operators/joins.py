@@ -42,8 +42,10 @@ def upsert_rows(store: DataFrame, batch: DataFrame, key: Sequence[str], ordinal:
     """
     key = list(key)
     s = store.withColumn("__src", F.lit(0)).withColumn("__ord", F.lit(0).cast("long"))
+    # without an arrival ordinal, in-batch copies of a key are told apart by a content hash:
+    # deterministic under recomputation (any copy may win, as "last" is then undefined)
     b = batch.withColumn("__src", F.lit(1)).withColumn(
-        "__ord", (F.col(ordinal) if ordinal else F.monotonically_increasing_id()).cast("long"))
+        "__ord", (F.col(ordinal) if ordinal else F.xxhash64(*[F.col(c) for c in batch.columns])).cast("long"))
     u = s.unionByName(b, allowMissingColumns=True)
     cols = [c for c in u.columns if c not in key + ["__src", "__ord"]]
     if ordinal and ordinal in cols:

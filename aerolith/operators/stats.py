@@ -119,6 +119,8 @@ def node_degrees(edges: DataFrame, nodes: Sequence[str], by: Sequence[str] = ("c
 
 def iqr_outliers(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("city",), k: float = 1.5) -> DataFrame:
     """Per group and column: Q1, Q3, fences, outlier count and share."""
+    if not by:
+        return iqr_outliers(df.withColumn("__all", F.lit(0)), cols, ["__all"], k).drop("__all")
     long = unpivot(df, by, cols, "variable", "value").filter(F.col("value").isNotNull())
     keys = list(by) + ["variable"]
     q = quantile_columns(long, keys, "value", [0.25, 0.75], ["q1", "q3"])
@@ -135,6 +137,8 @@ def zscore_anomalies(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("c
                      min_rows: int = 10) -> DataFrame:
     """Rows with any |z| > 3 (population std, per group); rows with a null in ``cols`` are
     dropped first; groups with ``min_rows`` rows or fewer are skipped; constant column -> z = 0."""
+    if not by:
+        return zscore_anomalies(df.withColumn("__all", F.lit(0)), cols, ["__all"], z, min_rows).drop("__all")
     d = df.na.drop(subset=list(cols))
     stats = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"),
                                *[F.avg(c).alias(f"__m_{c}") for c in cols],
@@ -172,6 +176,9 @@ def elliptic_envelope(df: DataFrame, a: str, b: str, by: Sequence[str] = ("city"
     (Rousseeuw & Van Driessen 1999).  ``steps=0`` is the classical estimate.
     """
     by = list(by)
+    if not by:  # one global group: a constant key keeps every join an equi-join on a 1-row side
+        out = elliptic_envelope(df.withColumn("__all", F.lit(0)), a, b, ["__all"], contamination, steps)
+        return out.drop("__all")
     from aerolith.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(df.sparkSession)
     d = df.na.drop(subset=[a, b])

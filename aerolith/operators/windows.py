@@ -52,6 +52,9 @@ def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence
     ``total`` optionally names a column holding the series length.
     """
     by, order = list(by), [order] if isinstance(order, str) else list(order)
+    if not by and bucket is not None:  # one global series: a constant key for the offset joins
+        out = with_row_index(df.withColumn("__all", F.lit(0)), ["__all"], order, bucket, index, total)
+        return out.drop("__all")
     if bucket is None:
         w = Window.partitionBy(*by).orderBy(*order)
         out = df.withColumn(index, F.row_number().over(w))

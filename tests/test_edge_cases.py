@@ -219,3 +219,14 @@ def test_row_index_multi_level_matches_plain(spark):
     b = W.with_row_index(rd, bucket=None, total="n")
     assert sorted(map(tuple, a.select("city", "timestamp", "rn", "n").collect())) == \
         sorted(map(tuple, b.select("city", "timestamp", "rn", "n").collect()))
+
+
+def test_global_series_without_key(spark):
+    df = series(spark, [1, 2, None, 4, 5])
+    out = W.change_and_rolling(df.drop("city"), by=())
+    assert col(out, "aqi_change_rate") == [0, 1, 0, 0, 1]
+    from aerolith.operators.stats import elliptic_envelope, iqr_outliers, zscore_anomalies
+    assert iqr_outliers(df, ["aqi"], by=()).count() == 1
+    assert zscore_anomalies(series(spark, range(20)), ["aqi"], by=()).count() == 20
+    assert elliptic_envelope(series(spark, range(20)).withColumn("b", F.col("aqi") * F.col("aqi")), "aqi", "b",
+                             by=(), steps=1).count() == 20
