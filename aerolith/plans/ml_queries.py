@@ -279,3 +279,25 @@ def q_a19(spark, sf):
     last = pred.groupBy("model", "city").agg(F.max_by("prediction", "timestamp").alias("prediction"))
     return finish(last.groupBy("city").agg(F.min("prediction").alias("pred_min"), F.max("prediction").alias("pred_max"),
                                            F.count("prediction").alias("n_models")))
+
+
+@register("s10_save_load_model")
+def q_s10(spark, sf):
+    """Fit a linear model on the training frame, save it with ML persistence, log the run
+    (S8 writer) and score the whole frame with the newest artefact loaded back (S10 / O6)."""
+    import datetime as dt
+    import uuid
+    from aerolith.session import scratch_path
+    from aerolith.sources.store import load_latest_model, log_metrics, read_metrics, save_model
+    (fitted, long, metrics), tf = _train(spark, sf, only=("linear_regression",))
+    base = scratch_path(spark, f"s10-{uuid.uuid4().hex[:12]}")
+    model_path = f"{base}/linear_regression"
+    save_model(fitted["linear_regression"], model_path)
+    runs = (metrics.filter(F.col("split") == "test")
+                   .select(F.col("model").alias("model_name"), F.col("mae").alias("test_mae"),
+                           F.col("rmse").alias("test_rmse"), F.col("r2").alias("test_r2"),
+                           F.lit(model_path).alias("model_path"),
+                           F.lit(dt.datetime.now()).cast("timestamp_ntz").alias("trained_at")))
+    log_metrics(runs, f"{base}/model_runs")
+    model = load_latest_model(spark, read_metrics(spark, f"{base}/model_runs"), "linear_regression")
+    return finish(model.transform(tf).select("city", "timestamp", "aqi_target_24h", "prediction"))
