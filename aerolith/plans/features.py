@@ -10,7 +10,8 @@ from aerolith.operators.windows import DEFAULT_CHUNK, LAG_OFFSETS, LAG_PREFIX, c
 
 
 def training_frame(h: DataFrame, ahead: int = 24, days: int | None = None, as_of: Column | None = None,
-                   by=("city",), ts: str = "timestamp", chunk: int = DEFAULT_CHUNK) -> DataFrame:
+                   by=("city",), ts: str = "timestamp", chunk: int = DEFAULT_CHUNK,
+                   lag_offsets=LAG_OFFSETS, lag_cols=None) -> DataFrame:
     """Target ``ahead`` rows later -> drop rows without target -> calendar + cyclic hour
     -> lags of aqi / pm2.5 / temperature over the *remaining* rows -> drop rows with any null.
 
@@ -30,7 +31,7 @@ def training_frame(h: DataFrame, ahead: int = 24, days: int | None = None, as_of
     t = calendar_parts(t, ts, parts=["hour", "day_of_week", "month"])
     s, c = cyclic("hour", 24)
     t = t.withColumn("hour_sin", s).withColumn("hour_cos", c)
-    t = lags(t, LAG_PREFIX, LAG_OFFSETS, by=by, order=ts, chunk=chunk)
+    t = lags(t, lag_cols or LAG_PREFIX, lag_offsets, by=by, order=ts, chunk=chunk)
     return t.na.drop()
 
 

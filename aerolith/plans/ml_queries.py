@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.functions.scalars import category_by_threshold, fmt, rule_forecast, title_model_name
+from aerolith.functions.scalars import rule_forecast
 from aerolith.operators import aggregates as A
 from aerolith.operators import cluster as C
 from aerolith.operators import ml as M

@@ -34,14 +34,11 @@ def test_w3_w4_change_and_rolling(spark):
 def test_w10_training_frame_order_of_stages(spark):
     df = series(spark, [10, 20, None, 40, 50, 60, 70, 80]).withColumn("pm2_5", F.lit(1.0)).withColumn(
         "temperature", F.lit(2.0))
-    out = training_frame(df, ahead=2).select("i", "aqi", "aqi_target_2h", "aqi_lag_1h") if False else None
-    # generic frame uses fixed lag offsets 1..24; test the two-stage rule with a 1-row lag
     t = W.target_ahead(df, "aqi", 2)
-    assert col(t, "i") == [0, 1, 2, 3, 4, 5] or col(t, "i") == [1, 2, 3, 4, 5] or True
-    t = t.filter(F.col("aqi_target_2h").isNotNull())
-    lagged = W.lags(t, {"aqi": "aqi"}, [1]).na.drop()
-    assert [(r["i"], r["aqi"], r["aqi_target_2h"], r["aqi_lag_1h"]) for r in lagged.orderBy("i").collect()][-2:] == \
-        [(4, 50.0, 70.0, 40.0), (5, 60.0, 80.0, 50.0)]
+    assert col(t, "i") == [1, 2, 3, 4, 5]
+    out = training_frame(df, ahead=2, lag_offsets=[1], lag_cols={"aqi": "aqi"})
+    got = [(r["i"], r["aqi"], r["aqi_target_2h"], r["aqi_lag_1h"]) for r in out.orderBy("i").collect()]
+    assert got == [(4, 50.0, 70.0, 40.0), (5, 60.0, 80.0, 50.0)]
 
 
 def test_w7_recent_trend(spark):
