@@ -14,7 +14,7 @@ from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, clip_sql, d, finis
 
 def _clip_rule(v):
     return f"({clip_sql(rule_sql(v))})"
-from aerolith.sources.testdata import MEASURES, hourly, readings_from_events, table
+from aerolith.sources.testdata import MEASURES, hourly, table
 
 WIN = 'OVER (PARTITION BY city ORDER BY "timestamp")'
 HCOLS = ["city", "timestamp"] + MEASURES + ["n_obs"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators import aggregates as A
 from aerolith.operators import stats as X
-from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, d, dt, finish, i, register, s
+from aerolith.plans.registry import HOURLY_CTE, READINGS_CTE, d, dt, finish, i, register
 from aerolith.sources.testdata import hourly, readings
 
 COLS = ["aqi", "pm2_5", "pm10", "temperature", "humidity", "no2", "o3"]

@@ -3,8 +3,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from aerolith.plans.registry import READINGS_CTE, d, finish, i, register, ts
 from aerolith.streaming import streams as T
 from aerolith.sources.testdata import table

@@ -4,11 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.functions.scalars import category_by_threshold
 from aerolith.operators import aggregates as A
-from aerolith.plans.registry import (HOURLY_CTE, NULL_READINGS_CTE, READINGS_CTE, category_sql, d, dt, finish, i,
-                                     register, s, ts)
-from aerolith.sources.testdata import hourly, readings, readings_with_nulls
+from aerolith.plans.registry import NULL_READINGS_CTE, READINGS_CTE, category_sql, d, dt, finish, i, register, ts
+from aerolith.sources.testdata import readings, readings_with_nulls
 
 NUM7 = ["aqi", "pm2_5", "pm10", "temperature", "humidity", "no2", "o3"]
 

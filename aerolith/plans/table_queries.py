@@ -12,7 +12,7 @@ from aerolith.operators import setops as U
 from aerolith.operators import topk as O
 from aerolith.plans.features import ci_features, training_frame
 from aerolith.plans.registry import (HOURLY_CTE, NULL_READINGS_CTE, READINGS_CTE, category_sql, clip_sql, d, dt,
-                                     finish, i, register, rule_sql, s, ts)
+                                     finish, i, register, rule_sql, ts)
 from aerolith.sources.builders import air_payloads, weather_payloads
 from aerolith.sources.payloads import decode_air, decode_weather
 from aerolith.sources.testdata import hourly, readings, readings_from_events, readings_with_nulls, table
