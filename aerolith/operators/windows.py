@@ -263,3 +263,55 @@ def chronological_split(df: DataFrame, test_fraction: float = 0.2, by=("city",),
 def future_point(df: DataFrame, by=("city",), ts: str = "timestamp", hours: int = 24) -> DataFrame:
     """Last timestamp + ``hours`` per series."""
     return df.groupBy(*by).agg((F.max(ts) + F.expr(f"INTERVAL {int(hours)} HOURS")).alias("forecast_ts"))
+
+
+# --- W5 (time-based frames) ---------------------------------------------------------------------------------
+
+
+def time_rolling_stats(df: DataFrame, col: str = "aqi", hours: Sequence[int] = (3, 24), by=("city",),
+                       ts: str = "timestamp", chunk: str = "day", scale: int | None = None) -> DataFrame:
+    """W5, hour-based form: count / mean / sample std / min / max over ``RANGE BETWEEN
+    INTERVAL h HOURS PRECEDING AND CURRENT ROW``.
+
+    Windows are partitioned by (key, ``chunk`` of time); each chunk also receives
+    the rows of the preceding ``max(hours)`` that its frames reach (a time halo),
+    so results are exact while a window task holds one chunk of one key.  With
+    ``scale`` (e.g. 100 for values with two decimals) sums run on exact integers
+    and mean / variance are one division each, independent of summation order.
+    """
+    by = list(by)
+    unit = {"hour": 1, "day": 24}[chunk]
+    span = max(hours)
+    ch = F.date_trunc(chunk, F.col(ts))
+    copies = [F.struct(ch.alias("c"), F.lit(False).alias("h"))]
+    for k in range(1, -(-span // unit) + 1):
+        nxt = ch + F.expr(f"INTERVAL {k * unit} HOURS")
+        cond = F.col(ts) >= nxt - F.expr(f"INTERVAL {span} HOURS")
+        copies.append(F.when(cond, F.struct(nxt.alias("c"), F.lit(True).alias("h"))))
+    d = (df.withColumn("__cp", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
+           .withColumn("__ch", F.col("__cp.c")).withColumn("__halo", F.col("__cp.h")).drop("__cp"))
+    v = f"CAST(round(`{col}` * {int(scale)}) AS BIGINT)" if scale else f"`{col}`"
+    part = ", ".join([f"`{c}`" for c in by] + ["__ch"])
+    out = {}
+    for h in hours:
+        w = f"OVER (PARTITION BY {part} ORDER BY `{ts}` RANGE BETWEEN INTERVAL {int(h)} HOURS PRECEDING AND CURRENT ROW)"
+        out[f"__n{h}"] = F.expr(f"count({v}) {w}")
+        out[f"{col}_troll_min_{h}h"] = F.expr(f"min(`{col}`) {w}")
+        out[f"{col}_troll_max_{h}h"] = F.expr(f"max(`{col}`) {w}")
+        if scale:
+            out[f"__s{h}"] = F.expr(f"sum({v}) {w}")
+            out[f"__q{h}"] = F.expr(f"sum({v} * {v}) {w}")
+        else:
+            out[f"{col}_troll_mean_{h}h"] = F.expr(f"avg(`{col}`) {w}")
+            out[f"{col}_troll_std_{h}h"] = F.expr(f"stddev_samp(`{col}`) {w}")
+    d = d.withColumns(out).filter(~F.col("__halo"))
+    if scale:
+        k = float(scale)
+        fin = {}
+        for h in hours:
+            n, s1, s2 = F.col(f"__n{h}"), F.col(f"__s{h}"), F.col(f"__q{h}")
+            fin[f"{col}_troll_mean_{h}h"] = F.try_divide(s1.cast("double"), n.cast("double") * k)
+            num = (n * s2 - s1 * s1).cast("double")
+            fin[f"{col}_troll_std_{h}h"] = F.when(n > 1, F.sqrt(num / (n * (n - 1)).cast("double") / (k * k)))
+        d = d.withColumns(fin).drop(*[f"__s{h}" for h in hours], *[f"__q{h}" for h in hours])
+    return d.withColumnsRenamed({f"__n{h}": f"{col}_troll_n_{h}h" for h in hours}).drop("__ch", "__halo")

@@ -185,3 +185,23 @@ FROM g LEFT JOIN hourly h ON h.city = g.city AND h."timestamp" = g."timestamp\""
 def q_j9(spark, sf):
     h = hourly(spark, sf).select("city", "timestamp", "aqi", "n_obs")
     return finish(J.fill_hourly_grid(h))
+
+
+def _troll_sql(h):
+    fr = f'OVER (PARTITION BY city ORDER BY "timestamp" RANGE BETWEEN INTERVAL {h} HOURS PRECEDING AND CURRENT ROW)'
+    c = "CAST(round(aqi * 100) AS BIGINT)"
+    n, s1, s2 = f"count({c}) {fr}", f"sum({c}) {fr}", f"sum({c} * {c}) {fr}"
+    return ", ".join([
+        i(n, f"aqi_troll_n_{h}h"), d(f"min(aqi) {fr}", f"aqi_troll_min_{h}h"), d(f"max(aqi) {fr}", f"aqi_troll_max_{h}h"),
+        d(f"CAST({s1} AS DOUBLE) / (CAST({n} AS DOUBLE) * 100.0)", f"aqi_troll_mean_{h}h"),
+        d(f"CASE WHEN {n} > 1 THEN sqrt(CAST({n} * {s2} - {s1} * {s1} AS DOUBLE) / CAST({n} * ({n} - 1) AS DOUBLE) / 10000.0) END",
+          f"aqi_troll_std_{h}h")])
+
+
+@register("w5_time_rolling_stats", f"""WITH {READINGS_CTE}
+SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('aqi', 'aqi')}, {_troll_sql(3)}, {_troll_sql(24)} FROM readings""")
+def q_w5t(spark, sf):
+    """Hour-based frames over the raw readings (values with two decimals: exact integer sums)."""
+    from aerolith.sources.testdata import readings
+    rd = readings(spark, sf).select("city", "timestamp", "aqi")
+    return finish(W.time_rolling_stats(rd, "aqi", (3, 24), scale=100))

@@ -227,3 +227,21 @@ def test_global_series_without_key(spark):
     assert zscore_anomalies(series(spark, range(20)), ["aqi"], by=()).count() == 20
     assert elliptic_envelope(series(spark, range(20)).withColumn("b", F.col("aqi") * F.col("aqi")), "aqi", "b",
                              by=(), steps=1).count() == 20
+
+
+def test_time_rolling_halo_chunks_agree(spark):
+    from aerolith.sources.testdata import readings
+    from tests.conftest import SF001
+    rd = readings(spark, SF001).select("city", "timestamp", "aqi")
+    a = W.time_rolling_stats(rd, "aqi", (3, 30), chunk="hour", scale=100)
+    b = W.time_rolling_stats(rd, "aqi", (3, 30), chunk="day", scale=100)
+    c = W.time_rolling_stats(rd, "aqi", (3, 30), chunk="day")
+    key = lambda r: (r["city"], r["timestamp"])
+    ra = {key(r): r for r in a.collect()}
+    rb = {key(r): r for r in b.collect()}
+    rc = {key(r): r for r in c.collect()}
+    assert ra.keys() == rb.keys() == rc.keys()
+    for k in ra:
+        assert ra[k] == rb[k]
+        assert ra[k]["aqi_troll_n_30h"] == rc[k]["aqi_troll_n_30h"]
+        assert abs(ra[k]["aqi_troll_mean_30h"] - rc[k]["aqi_troll_mean_30h"]) < 1e-9
