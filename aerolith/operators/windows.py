@@ -70,8 +70,9 @@ def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence
     names = [f"__b{k}" for k in range(len(levels))]
     d = df.withColumns(dict(zip(names, levels)))
     d = d.withColumn("__lr", F.row_number().over(Window.partitionBy(*by, names[0]).orderBy(*order)))
-    # counts of the finest buckets (one row per (key, bucket), carrying the coarser bucket ids)
-    cnt = d.groupBy(*by, *names).agg(F.max("__lr").alias("__c"))
+    # counts of the finest buckets (one row per (key, bucket), carrying the coarser bucket ids),
+    # straight from the input: a map-side combined count, no window in this branch
+    cnt = df.withColumns(dict(zip(names, levels))).groupBy(*by, *names).agg(F.count(F.lit(1)).alias("__c"))
     # offset of each bucket inside its parent bucket, level by level; the last level's
     # parent is the whole series
     offs = cnt.withColumn("__off", F.lit(0).cast("long"))
