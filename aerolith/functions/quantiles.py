@@ -6,8 +6,9 @@ each needed order statistic is located by successive histogram refinement:
 
 1. per group: n, min, max (map-side combined);
 2. each level: bin the rows of the current candidate interval into ``bins``
-   equal-width bins, count per bin (map-side combined), and keep the bin that
-   holds the needed rank together with its exact min/max and rank offset;
+   (65,536) equal-width bins, count per bin (map-side combined), and keep the
+   bin that holds the needed rank together with its exact min/max and rank
+   offset; one level takes a group of up to ~6.5e10 values below the cap;
 3. finally count distinct values inside the narrow interval and read off the
    value at the needed rank.
 
@@ -31,7 +32,7 @@ FINAL_CAP = 1 << 20  # values of one group that the last step may hold in one ta
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    bins: int = 1024, levels: int | str = "auto") -> DataFrame:
+                    bins: int = 1 << 16, levels: int | str = "auto") -> DataFrame:
     """Long result: ``by..., qi (index into probs), p, q``; groups without values are absent.
 
     ``levels="auto"`` reads the largest group size (one scalar) and refines just
