@@ -99,6 +99,7 @@ def category_distribution(df: DataFrame, col: str = "aqi", by: Sequence[str] = (
     """Rows and share (%) per AQI category, count descending."""
     d = df.withColumn("aqi_category", category_by_threshold(col))
     counts = d.groupBy(*by, "aqi_category").agg(F.count(F.lit(1)).alias("count"))
+    # the window runs over the per-category counts (six rows per group), not over the readings
     total = F.sum("count").over(Window.partitionBy(*by)) if by else F.sum("count").over(Window.partitionBy())
     return counts.withColumn("percentage", F.col("count") * 100.0 / total)
 
@@ -184,6 +185,7 @@ def radar_frame(df: DataFrame, by: Sequence[str] = ("city",)) -> DataFrame:
     """Per-city means of four measures and the common axis maximum x 1.1."""
     cols = ["aqi", "pm2_5", "temperature", "humidity"]
     m = df.groupBy(*by).agg(*[round_half_even(F.avg(c), 2).alias(f"{c}_mean") for c in cols])
+    # global window over the per-city means (one row per city)
     axis = F.greatest(*[F.max(f"{c}_mean").over(Window.partitionBy()) for c in cols]) * 1.1
     return m.withColumn("axis_max", axis)
 
@@ -287,4 +289,5 @@ def cluster_profile(df: DataFrame, cols: Sequence[str], cluster: str = "cluster"
     for c in cols:
         exprs += [F.avg(c).alias(f"{c}_mean"), F.stddev_samp(c).alias(f"{c}_std")]
     out = df.groupBy(cluster).agg(*exprs)
+    # global window over the per-cluster aggregate (k rows)
     return out.withColumn("share", F.col("size") * 100.0 / F.sum("size").over(Window.partitionBy()))

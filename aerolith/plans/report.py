@@ -28,6 +28,7 @@ def eda_report(rd: DataFrame, ts: str = "timestamp") -> DataFrame:
         F.sort_array(F.collect_list(F.struct(F.col("aqi_category").alias("category"), "count", "percentage")))
         .alias("v"))
     city = A.city_report(rd)
+    # ranking runs over the per-city aggregate (one row per city)
     ranked = (city.withColumn("rank", F.row_number().over(Window.orderBy("avg_aqi", "city")))
                   .withColumn("status", status4("avg_aqi")))
     cities = ranked.agg(F.sort_array(F.collect_list(F.struct("rank", "city", "records", "avg_aqi", "avg_pm25",
