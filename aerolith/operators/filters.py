@@ -25,7 +25,11 @@ def require_columns(df: DataFrame, cols: Sequence[str] = REQUIRED) -> DataFrame:
                   F.count_if(sum((F.col(c).isNull().cast("int") for c in cols), F.lit(0)) > 0).alias("violating_rows"))
 
 
-def default_column(df: DataFrame, col: str = "city", value="Karachi") -> DataFrame:
+# The city written into readings that arrive without a city column.
+DEFAULT_CITY = "Karachi"
+
+
+def default_column(df: DataFrame, col: str = "city", value=DEFAULT_CITY) -> DataFrame:
     """Add a constant column only when it is absent."""
     return df if col in df.columns else df.withColumn(col, F.lit(value))
 

@@ -40,10 +40,10 @@ def q_p1(spark, sf):
 
 
 @register("p2_default_column", f"""WITH {READINGS_CTE}
-SELECT 'Karachi' AS city, {ts('"timestamp"', '"timestamp"')}, {d('aqi', 'aqi')} FROM readings""")
+SELECT '{P.DEFAULT_CITY}' AS city, {ts('"timestamp"', '"timestamp"')}, {d('aqi', 'aqi')} FROM readings""")
 def q_p2(spark, sf):
     rd = readings(spark, sf).select("timestamp", "aqi")
-    return finish(P.default_column(rd, "city", "Karachi"))
+    return finish(P.default_column(rd, "city"))
 
 
 @register("p3_recent", f"""WITH {READINGS_CTE}
