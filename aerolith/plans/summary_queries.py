@@ -238,3 +238,20 @@ LATERAL (SELECT * FROM (VALUES ('aqi', aqi_nn, aqi_bad), ('temperature', t_nn, t
 def q_a31(spark, sf):
     return finish(A.completeness_gate(readings_with_nulls(spark, sf), ["aqi", "temperature", "humidity", "pm2_5"],
                                       ranges={"aqi": (0, 500), "temperature": (-50, 60), "humidity": (0, 100)}))
+
+
+@register("a29_peak_weekday_and_city", f"""WITH {READINGS_CTE},
+wd AS (SELECT isodow("timestamp") - 1 AS day_index, avg(aqi) AS m FROM readings GROUP BY 1),
+c AS (SELECT city, avg(aqi) AS m FROM readings GROUP BY 1)
+SELECT {i('(SELECT arg_min(day_index, (-m, day_index)) FROM wd)', 'peak_day_index')},
+       {i('(SELECT arg_min(day_index, (m, day_index)) FROM wd)', 'trough_day_index')},
+       (SELECT arg_min(city, (-m, city)) FROM c) AS peak_city, (SELECT arg_min(city, (m, city)) FROM c) AS trough_city""")
+def q_a29b(spark, sf):
+    """A29 over the weekday and the city means (ties to the first key)."""
+    rd = readings(spark, sf)
+    wd = rd.groupBy(F.weekday("timestamp").alias("day_index")).agg(F.avg("aqi").alias("m"))
+    c = rd.groupBy("city").agg(F.avg("aqi").alias("m"))
+    a = A.peak_and_trough(wd, "day_index", "m")
+    b = A.peak_and_trough(c, "city", "m")
+    return finish(a.select(a.peak_day_index, a.trough_day_index, b.select("peak_city").scalar().alias("peak_city"),
+                           b.select("trough_city").scalar().alias("trough_city")))
