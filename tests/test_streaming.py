@@ -52,3 +52,19 @@ def test_upsert_stream_is_replay_safe(spark):
     T.stream_ingest_upsert(T.readings_stream(T.event_stream(spark, src, schema, max_files=1)).select(
         "city", "timestamp", "aqi"), out, ["city", "timestamp"], chk + "-replay")
     assert spark.read.parquet(out).count() == n1 == table(spark, SF001, "events").count()
+
+
+def test_freshness_tracks_latest_per_city(spark):
+    src, schema = _split_events(spark, parts=2)
+    stream = T.readings_stream(T.event_stream(spark, src, schema, max_files=1))
+    out, chk = T.fresh_dirs(spark, "t5-test")
+    T.stream_freshness(stream, out + "_state", out, chk)
+    got = spark.read.parquet(out)
+    last = got.agg(F.max("batch_id")).first()[0]
+    final = {r["city"]: r for r in got.filter(F.col("batch_id") == last).collect()}
+    want = {r["city"]: r["m"] for r in table(spark, SF001, "events").groupBy(F.col("event_type").alias("city"))
+            .agg(F.max("ts").alias("m")).collect()}
+    assert {c: r["last_seen"] for c, r in final.items()} == want
+    newest = max(want.values())
+    for c, r in final.items():
+        assert r["silent"] == ((newest - want[c]).total_seconds() > 3600)
