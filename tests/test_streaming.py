@@ -68,3 +68,21 @@ def test_freshness_tracks_latest_per_city(spark):
     newest = max(want.values())
     for c, r in final.items():
         assert r["silent"] == ((newest - want[c]).total_seconds() > 3600)
+
+
+def test_hourly_mean_stream_emits_closed_windows_across_batches(spark):
+    src, schema = _split_events(spark, parts=3)
+    stream = T.readings_stream(T.event_stream(spark, src, schema, max_files=1))
+    out, chk = T.fresh_dirs(spark, "t2-test")
+    T.run_to_parquet(T.stream_hourly_mean(stream), out, chk)
+    got = {(r["city"], r["hour_start"]): (r["n"], r["aqi_mean"]) for r in spark.read.parquet(out).collect()}
+    rd = readings_from_events(table(spark, SF001, "events"))
+    newest = rd.agg(F.max("timestamp")).first()[0]
+    batch = (rd.groupBy("city", F.date_trunc("hour", "timestamp").alias("h"))
+               .agg(F.count(F.lit(1)).alias("n"), F.avg("aqi").alias("m")).collect())
+    import datetime as dt
+    closed = {(r["city"], r["h"]): (r["n"], r["m"]) for r in batch
+              if r["h"] + dt.timedelta(hours=1) <= newest - dt.timedelta(hours=2)}
+    assert set(closed) <= set(got)
+    for k, (n, m) in closed.items():
+        assert got[k][0] == n and abs(got[k][1] - m) < 1e-9
