@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from aerolith.llm import simhash
-from aerolith.llm.common import table
+from aerolith.llm import decontaminate, langid, sentencepiece, simhash
+from aerolith.llm.common import is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -22,7 +24,32 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op2_benchmark_decontamination", decontaminate.ORACLE)
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every (document, benchmark item) pair with at least 0.8 of the item's 5-word shingles."""
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op3_sentencepiece")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every whole text and the text decoded from them, as digests."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    both = sentencepiece.decode_documents(sentencepiece.encode_documents(docs, path), path)
+    return both.select("doc_id", F.size("token_ids").cast("long").alias("n_tokens"),
+                       F.sha1(F.array_join("token_ids", " ")).alias("ids_digest"),
+                       F.sha1("decoded").alias("decoded_digest"), (F.col("decoded") == F.col("text")).alias("round_trip"))
+
+
 @register("op4_simhash_near_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash classes of all documents: 3-word shingles, links at 3 or fewer differing bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
+
+
+@register("op10_language_id")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned outside the fold crc32(doc_id) mod 3 = 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    scored = langid.predict(docs, langid.train(docs, modulus=3, remainder=1), score="score")
+    return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
