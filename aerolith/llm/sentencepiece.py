@@ -54,6 +54,24 @@ def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
         yield key >> 3, value
 
 
+def _chunk_pattern(pieces: list[str]) -> re.Pattern | None:
+    """Pattern of the chunks that a best path always divides a text into, None if there are none.
+
+    A path divides wherever no piece joins the two characters: before white space that follows
+    something else, and behind a run of letters that no piece has before anything but letters.
+    """
+    if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces):
+        return None
+    pairs = {(a, b) for p in pieces for a, b in zip(p, p[1:])}
+    letters = {c for p in pieces for c in p if c.isalpha()}
+    while joined := {a for a, b in pairs if a in letters and b not in letters}:
+        letters -= joined
+    if not letters:
+        return re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    own = "".join(sorted(letters))
+    return re.compile(f"{SPACE}*[^{SPACE}{own}]*[{own}]+|{SPACE}*[^{SPACE}{own}]+|{SPACE}+")
+
+
 class PieceModel:
     """Pieces, scores and the automaton of one model file."""
 
@@ -82,8 +100,7 @@ class PieceModel:
         normal = [self.scores[i] for i in usable]
         self.unknown_score = min(normal) - UNKNOWN_PENALTY
         self._build(usable)
-        # a piece that has white space after something else would join what the chunks divide
-        self.by_word = not any(re.search(f"[^{SPACE}]{SPACE}", self.pieces[i]) for i in usable)
+        self.chunks = _chunk_pattern([self.pieces[i] for i in usable])
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def _build(self, usable: list[int]) -> None:
@@ -110,40 +127,43 @@ class PieceModel:
                 fail[nxt] = go[f].get(ch, 0)
                 out[nxt] = fail[nxt] if ends[fail[nxt]] >= 0 else out[fail[nxt]]
                 queue.append(nxt)
-        self.go, self.fail, self.out, self.ends = go, fail, out, ends
+        # what the output links of a state lead to, longest piece first: (length, score, piece)
+        links: list[tuple] = [()] * len(go)
+        for state in queue:
+            own = ((len(self.pieces[ends[state]]), self.scores[ends[state]], ends[state]),) if ends[state] >= 0 else ()
+            links[state] = own + links[out[state]]
+        self.go, self.fail, self.links = go, fail, links
 
     def best_path(self, text: str) -> list[int]:
         """Ids of the best segmentation of an escaped text; ties go to the longer last piece."""
-        go, fail, out, ends = self.go, self.fail, self.out, self.ends
-        pieces, scores = self.pieces, self.scores
+        go, fail, links, low = self.go, self.fail, self.links, float("-inf")
+        pieces, unknown = self.pieces, self.unknown
         n = len(text)
-        best = [0.0] + [-np.inf] * n
-        came = [-1] * (n + 1)  # the piece that ends here
-        state = 0
-        for pos, ch in enumerate(text, 1):
-            while state and ch not in go[state]:
+        best = [0.0] * (n + 1)
+        came = [unknown] * (n + 1)  # the piece that ends here
+        state, pos = 0, 0
+        for ch in text:
+            pos += 1
+            nxt = go[state].get(ch)
+            while nxt is None and state:
                 state = fail[state]
-            state = go[state].get(ch, 0)
-            top, by, single = -np.inf, -1, False
-            link = state if ends[state] >= 0 else out[state]
-            while link:
-                piece = ends[link]
-                size = len(pieces[piece])
-                score = best[pos - size] + scores[piece]
-                single = single or size == 1
+                nxt = go[state].get(ch)
+            state = nxt or 0
+            top, by, size = low, unknown, 0
+            for size, score, piece in links[state]:
+                score += best[pos - size]
                 if score > top:
                     top, by = score, piece
-                link = out[link]
-            if not single:  # the character itself is no piece
+            if size != 1:  # the shortest piece is longer than the character, which then is unknown
                 score = best[pos - 1] + self.unknown_score
                 if score > top:
-                    top, by = score, self.unknown
+                    top, by = score, unknown
             best[pos], came[pos] = top, by
         ids: list[int] = []
         pos = n
         while pos:
             piece = came[pos]
-            if piece == self.unknown:
+            if piece == unknown:
                 ids.extend(self.bytes[b] for b in reversed(text[pos - 1].encode("utf-8", "surrogatepass")))
                 pos -= 1
             else:
@@ -157,12 +177,11 @@ class PieceModel:
         if not text:
             return []
         escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
-        if not self.by_word:
+        if self.chunks is None:
             return self.best_path(escaped)
         ids: list[int] = []
         memo = self.memo
-        # no piece crosses from other characters to white space, so the best path divides there
-        for chunk in re.findall(f"{SPACE}*[^{SPACE}]+|{SPACE}+", escaped):
+        for chunk in self.chunks.findall(escaped):
             known = memo.get(chunk)
             if known is None:
                 known = tuple(self.best_path(chunk))
