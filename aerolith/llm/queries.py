@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, sentencepiece, simhash
-from aerolith.llm.common import is_held_out, table
+from aerolith.llm import decontaminate, langid, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm.common import fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,6 +24,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+@register("op1_warc_zip", warc_zip.ORACLE)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to ZIP-packaged archives and read back by ranges."""
+    packages = warc_zip.write_pages(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
+    back = warc_zip.read_records(packages.select("path", "length"))
+    return back.select("page_id", F.coalesce(F.octet_length("payload").cast("long"), "payload_bytes").alias("payload_bytes"),
+                       F.coalesce(F.sha1("payload"), "declared_digest").alias("payload_digest"), "record_type",
+                       F.regexp_extract("refers_to_id", "<urn:page:([0-9-]+):", 1).try_cast("long").alias("refers_to"))
+
+
 @register("op2_benchmark_decontamination", decontaminate.ORACLE)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every (document, benchmark item) pair with at least 0.8 of the item's 5-word shingles."""
@@ -47,6 +57,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+@register("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learned outside the fold crc32(doc_id) mod 3 = 1."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), modulus=3, remainder=1)
+    scored = toxicity.predict(docs, model, threshold=0.7, score="score", label="predicted", evidence="evidence")
+    return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted", "evidence")
+
+
+@register("op8_token_counts")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document through a digest cache (a new one each call: all distinct texts are encoded)."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    counted = token_cache.token_counts(table(spark, sf_dir, "documents"), path, fresh_path(spark, "token-cache"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
 @register("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the fold crc32(doc_id) mod 3 = 1."""
