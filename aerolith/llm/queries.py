@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm import decontaminate, langid, ngram_lm, sentencepiece, simhash, token_cache, toxicity, warc_zip
 from aerolith.llm.common import fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,6 +74,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+@register("op9_lm_scoring")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probability of every document, learned outside the fold crc32(doc_id) mod 7 = 2."""
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"), modulus=7, remainder=2)
+
+
 @register("op10_language_id")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned outside the fold crc32(doc_id) mod 3 = 1."""
