@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, ngram_lm, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm import decontaminate, langid, ngram_lm, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
 from aerolith.llm.common import fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +57,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+@register("op6_embedding_near_dedup", pq_dedup.ORACLE)
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links at a cosine of 0.93 or more among all embeddings of equal label."""
+    return pq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 @register("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, learned outside the fold crc32(doc_id) mod 3 = 1."""
