@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, langid, ngram_lm, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm import decontaminate, html_extract, langid, ngram_lm, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
 from aerolith.llm.common import fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,6 +58,12 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, max_bits=3)
 
 
+@register("op5_html_extraction")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.main_text(table(spark, sf_dir, "pages"))
+
+
 @register("op6_embedding_near_dedup", pq_dedup.ORACLE)
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links at a cosine of 0.93 or more among all embeddings of equal label."""
@@ -92,3 +99,9 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     scored = langid.predict(docs, langid.train(docs, modulus=3, remainder=1), score="score")
     return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
+@register("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language ID, toxicity, near-duplicates, decontamination and encoding over all documents."""
+    return corpus_pipeline.run(spark, sf_dir)
