@@ -11,8 +11,12 @@ from aerolith.llm.common import materialize, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: those rejected are null or have no letter (``und``)."""
-    scored = langid.predict(docs, langid.train(docs), label="__lang", score="__lang_score")
+    """Keep documents with a language: those rejected are null or have no letter (``und``).  Without
+    any label to learn from there is no model, and documents with a letter stay."""
+    model = langid.train(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    scored = langid.predict(docs, model, label="__lang", score="__lang_score")
     return scored.where(F.col("__lang") != langid.UNKNOWN).drop("__lang", "__lang_score")
 
 
