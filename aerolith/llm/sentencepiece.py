@@ -12,7 +12,9 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,9 +101,10 @@ class PieceModel:
         usable = [i for i, t in enumerate(self.types) if t in (NORMAL, USER_DEFINED, UNUSED) and self.pieces[i]]
         normal = [self.scores[i] for i in usable]
         self.unknown_score = min(normal) - UNKNOWN_PENALTY
-        self._build(usable)
+        self.usable, self.go = usable, None  # decoding needs no automaton
         self.chunks = _chunk_pattern([self.pieces[i] for i in usable])
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.spelled: list[bytes] | None = None
 
     def _build(self, usable: list[int]) -> None:
         go: list[dict[str, int]] = [{}]
@@ -177,28 +180,26 @@ class PieceModel:
         if not text:
             return []
         escaped = (SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)
+        if self.go is None:
+            self._build(self.usable)
         if self.chunks is None:
             return self.best_path(escaped)
-        ids: list[int] = []
-        memo = self.memo
-        for chunk in self.chunks.findall(escaped):
-            known = memo.get(chunk)
-            if known is None:
-                known = tuple(self.best_path(chunk))
-                if len(chunk) <= MEMO_CHARS and len(memo) < MEMO:
-                    memo[chunk] = known
-            ids.extend(known)
-        return ids
+        memo, chunks = self.memo, self.chunks.findall(escaped)
+        known = list(map(memo.get, chunks))
+        if None in known:
+            for k, ids in enumerate(known):
+                if ids is None:
+                    chunk = chunks[k]
+                    known[k] = ids = tuple(self.best_path(chunk))
+                    if len(chunk) <= MEMO_CHARS and len(memo) < MEMO:
+                        memo[chunk] = ids
+        return list(chain.from_iterable(known))
 
     def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        types, pieces = self.types, self.pieces
-        for i in ids:
-            if types[i] == BYTE:
-                out.append(int(pieces[i][1:-1], 16))
-            elif types[i] not in (CONTROL, UNKNOWN):
-                out += pieces[i].encode()
-        text = out.decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        if self.spelled is None:
+            self.spelled = [bytes([int(p[1:-1], 16)]) if t == BYTE else b"" if t in (CONTROL, UNKNOWN) else p.encode()
+                            for p, t in zip(self.pieces, self.types)]
+        text = b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
@@ -225,20 +226,30 @@ def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", i
     """
     shared = _broadcast_model(docs, model_path)
 
-    return _with_arrow_column(docs, text_col, ids, "array<int>", lambda t: _apply(t, shared, "encode"))
+    return _with_arrow_column(docs, text_col, ids, "array<int>", lambda t: _encode_column(t, load(shared.value)))
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "token_ids", text: str = "decoded") -> DataFrame:
     """Add the text that an array of piece ids stands for (null for null); all other columns stay."""
     shared = _broadcast_model(docs, model_path)
-    return _with_arrow_column(docs, ids, text, "string", lambda t: _apply(t, shared, "decode"))
+    return _with_arrow_column(docs, ids, text, "string", lambda t: _decode_column(t, load(shared.value)))
+
+
+def _encode_column(column: pa.Array, model: PieceModel) -> pa.Array:
+    """Lists of ids as one flat buffer: no Python list outlives its text."""
+    values, ends, null = array("i"), np.zeros(len(column) + 1, np.int32), np.zeros(len(column), bool)
+    for k, text in enumerate(column):
+        t = text.as_py()
+        null[k] = t is None
+        if t:
+            values.extend(model.encode(t))
+        ends[k + 1] = len(values)
+    flat = pa.array(np.frombuffer(values, np.int32) if values else np.zeros(0, np.int32))
+    return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array(null))
 
 
-def _apply(column: pa.Array, shared, what: str) -> pa.Array:
-    model = load(shared.value)
-    if what == "encode":
-        return pa.array([None if t is None else model.encode(t) for t in column.to_pylist()], pa.list_(pa.int32()))
-    return pa.array([None if v is None else model.decode(v) for v in column.to_pylist()], pa.string())
+def _decode_column(column: pa.Array, model: PieceModel) -> pa.Array:
+    return pa.array([model.decode(v.values.to_numpy(zero_copy_only=False).tolist()) if v.is_valid else None for v in column], pa.string())
 
 
 def _with_arrow_column(docs: DataFrame, source: str, target: str, kind: str, make) -> DataFrame:
