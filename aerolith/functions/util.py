@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -39,3 +39,9 @@ def nan_to_null(c) -> Column:
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     num = ("double", "float", "int", "bigint", "smallint", "tinyint") 
     return [c for c, t in df.dtypes if (t in num or t.startswith("decimal")) and c not in exclude]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder or file exists, on any file system that Spark reads."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)

@@ -3,24 +3,32 @@ metrics log and model artefacts (S1-S4, S7-S12)."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.functions.util import join_null_safe, nan_to_null
 from aerolith.sources.schema import READING_SCHEMA
 
 
 def read_readings(spark: SparkSession, path: str, fmt: str = "parquet", ts: str = "timestamp") -> DataFrame:
-    """Load history with the declared schema (CSV) or the stored one (parquet); cast the timestamp."""
+    """Load history; parquet keeps its stored schema, CSV columns are taken by header name.
+
+    Columns of the declared schema are cast to its types and added as NULL when the file has none;
+    other columns of the file stay as text.  NaN measures become NULL.
+    """
     if fmt == "csv":
-        df = spark.read.schema(READING_SCHEMA).option("header", True).csv(path)
+        raw = spark.read.option("header", True).csv(path)
+        declared = {f.name: f for f in READING_SCHEMA.fields}
+        have = [F.col(f"`{c}`").cast(declared[c].dataType).alias(c) if c in declared else F.col(f"`{c}`") for c in raw.columns]
+        absent = [F.lit(None).cast(f.dataType).alias(n) for n, f in declared.items() if n not in raw.columns]
+        df = raw.select(*have, *absent)
     else:
         df = spark.read.format(fmt).load(path)
     if ts in df.columns:
         df = df.withColumn(ts, F.col(ts).cast("timestamp_ntz"))
-    return df
+    return df.withColumns({c: nan_to_null(c) for c, t in df.dtypes if t in ("double", "float")})
 
 
 def write_readings(df: DataFrame, path: str, ts: str = "timestamp", partition_by: Sequence[str] = ("city", "date")) -> None:
@@ -53,23 +61,25 @@ def delete_from_store(spark: SparkSession, path: str, predicate: Column,
     part = list(partition_by)
     store = spark.read.parquet(path)
     hit = F.coalesce(predicate, F.lit(False))
-    touched = store.filter(hit).select(*part).distinct().checkpoint(eager=True)
-    n_deleted = store.filter(hit).count()
+    touched = store.filter(hit).groupBy(*part).agg(F.count(F.lit(1)).alias("__n")).checkpoint(eager=True)
+    n_deleted = touched.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     if n_deleted == 0:
         return 0
-    keep = store.join(touched, part, "left_semi").filter(~hit).checkpoint(eager=True)
+    keep = join_null_safe(store, touched, part).drop("__n").filter(~hit).checkpoint(eager=True)
     (keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*part).parquet(path))
-    # partition folders that lost every row: their list is bounded by the partition count
-    emptied = touched.join(keep.select(*part).distinct(), part, "left_anti").collect()
+    # partitions that lost every row: at most as many as the store has folders
+    left = keep.groupBy(*part).agg(F.lit(1).alias("__left"))
+    emptied = join_null_safe(touched, left, part, "left").filter(F.col("__left").isNull()).select(*part).collect()
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
+    name = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString
     for row in emptied:
-        levels = [f"{c}={row[c]}" for c in part]
+        levels = [name(c, None if row[c] is None else str(row[c])) for c in part]
         for depth in range(len(levels), 0, -1):  # the partition, then parents left empty
             p = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{'/'.join(levels[:depth])}")
             fs = p.getFileSystem(conf)
-            if depth == len(levels) or (fs.exists(p) and len(fs.listStatus(p)) == 0):
+            if fs.exists(p) and (depth == len(levels) or len(fs.listStatus(p)) == 0):
                 fs.delete(p, True)
     return n_deleted
 
@@ -156,9 +166,3 @@ def load_latest_model(spark: SparkSession, runs: DataFrame, model_name: str):
     row = (runs.filter(F.col("model_name") == model_name)
                .agg(F.max_by("model_path", "trained_at").alias("p")).first())
     return PipelineModel.load(row["p"]) if row and row["p"] else None
-
-
-def write_json_document(obj: dict, path: str) -> None:
-    """Driver-side helper for small documents (e.g. run parameters)."""
-    with open(path, "w") as fh:
-        json.dump(obj, fh, default=str)

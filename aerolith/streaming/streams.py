@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.functions.util import join_null_safe, path_exists
 from aerolith.operators.joins import upsert_rows
 from aerolith.operators.windows import change_and_rolling
 from aerolith.session import scratch_path
@@ -63,12 +64,11 @@ def stream_ingest_upsert(stream: DataFrame, store_path: str, key: Sequence[str],
             return
         b = batch.withColumn("date", F.to_date("timestamp"))
         touched = b.select("city", "date").distinct()
-        try:
-            store = spark.read.parquet(store_path)
-            current = store.join(touched, ["city", "date"], "left_semi")
-        except Exception:  # noqa: BLE001 - first batch: no store yet
-            current = None
-        merged = b if current is None else upsert_rows(current, b, key + ["date"], ordinal=ordinal)
+        if path_exists(spark, store_path):
+            current = join_null_safe(spark.read.schema(b.schema).parquet(store_path), touched, ["city", "date"])
+        else:
+            current = b.limit(0)  # no store yet: the batch is deduplicated like any other
+        merged = upsert_rows(current, b, key + ["date"], ordinal=ordinal)
         # materialise before overwriting the partitions it was read from
         merged = merged.checkpoint(eager=True)
         (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
@@ -113,11 +113,9 @@ def stream_change_rate(stream: DataFrame, out: str, carry: str, checkpoint: str,
         spark = batch.sparkSession
         cur = batch.select(*by, ts, value).withColumn("__carry", F.lit(False))
         prev_path = f"{carry}/batch={batch_id - 1}"
-        try:
-            prev = spark.read.parquet(prev_path).withColumn("__carry", F.lit(True))
-            u = prev.unionByName(cur)
-        except Exception:  # noqa: BLE001 - no carried state yet
-            u = cur
+        u = cur
+        if batch_id > 0:  # a lost carry is an error, not a fresh start
+            u = spark.read.parquet(prev_path).withColumn("__carry", F.lit(True)).unionByName(cur)
         # the same skew-safe series operator as the batch path (row index + chunked halo windows)
         f = change_and_rolling(u, value, by=by, order=ts).checkpoint(eager=True)
         (f.filter(~F.col("__carry")).drop("__carry").write.mode("overwrite")
@@ -145,11 +143,9 @@ def stream_freshness(stream: DataFrame, state: str, out: str, checkpoint: str, s
     def step(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
         latest = batch.groupBy(*by).agg(F.max(ts).alias("last_seen"))
-        try:
+        if batch_id > 0:  # a lost state is an error, not a fresh start
             prev = spark.read.parquet(f"{state}/batch={batch_id - 1}")
             latest = prev.unionByName(latest).groupBy(*by).agg(F.max("last_seen").alias("last_seen"))
-        except Exception:  # noqa: BLE001
-            pass
         latest = latest.checkpoint(eager=True)
         latest.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
         as_of = latest.agg(F.max("last_seen")).scalar()
