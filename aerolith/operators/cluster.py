@@ -8,17 +8,19 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from aerolith.operators.ml import scale_features
+
 
 def assemble_scaled(df: DataFrame, cols: Sequence[str], out: str = "features") -> DataFrame:
-    """Vector of z-scaled columns (mean-centred, unit std)."""
-    v = VectorAssembler(inputCols=list(cols), outputCol="__raw", handleInvalid="skip").transform(df)
-    sc = StandardScaler(inputCol="__raw", outputCol=out, withMean=True, withStd=True).fit(v)
-    return sc.transform(v).drop("__raw")
+    """Vector of z-scaled columns (M1: population std).  Rows with a null in ``cols`` are dropped."""
+    z = scale_features(df.na.drop(subset=list(cols)), cols, suffix="__z")
+    v = VectorAssembler(inputCols=[f"{c}__z" for c in cols], outputCol=out).transform(z)
+    return v.drop(*[f"{c}__z" for c in cols])
 
 
 def kmeans_auto_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(2, 8), seed: int = 42,
@@ -27,7 +29,8 @@ def kmeans_auto_k(df: DataFrame, cols: Sequence[str], ks: Sequence[int] = range(
     Spark's evaluator (squared Euclidean) and inertia per k; returns (best k, labelled rows,
     elbow table)."""
     spark = df.sparkSession
-    x = assemble_scaled(df, cols).cache()
+    # fitted 60 times and read by the labelled rows: one checkpoint, not one scan a fit
+    x = assemble_scaled(df, cols).checkpoint(eager=True)
     ev = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", distanceMeasure="squaredEuclidean"
                              if distance == "squaredEuclidean" else "cosine" if distance == "cosine" else
                              "squaredEuclidean")
@@ -62,9 +65,11 @@ def pca2(df: DataFrame, cols: Sequence[str], k: int = 2):
 # --- X3: isolation forest (Liu, Ting, Zhou 2008) --------------------------------------------------------------
 
 def _c(n: float) -> float:
-    """Average path length of an unsuccessful BST search."""
+    """Average path length of an unsuccessful BST search (1 for two rows)."""
     if n <= 1:
         return 0.0
+    if n == 2:
+        return 1.0
     return 2.0 * (np.log(n - 1.0) + 0.5772156649) - 2.0 * (n - 1.0) / n
 
 
@@ -89,16 +94,13 @@ def _arrays(nodes):
     thr = np.array([nd[1] for nd in nodes], dtype=float)
     left = np.array([max(nd[2], 0) for nd in nodes], dtype=np.int64)
     right = np.array([max(nd[3], 0) for nd in nodes], dtype=np.int64)
-    size = np.array([nd[4] for nd in nodes], dtype=float)
-    return feat, thr, left, right, size
-
-
-_cvec = np.vectorize(_c)
+    tail = np.array([_c(nd[4]) for nd in nodes])  # what a leaf of that size adds to the path
+    return feat, thr, left, right, tail
 
 
 def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
     """Vectorised traversal of one tree for all rows of a batch."""
-    feat, thr, left, right, size = arrays
+    feat, thr, left, right, tail = arrays
     n = len(x)
     cur = np.zeros(n, dtype=np.int64)
     depth = np.zeros(n)
@@ -111,7 +113,23 @@ def _path_lengths(x: np.ndarray, arrays) -> np.ndarray:
         go_left = x[rows, np.maximum(f, 0)] < thr[cur]
         cur = np.where(internal, np.where(go_left, left[cur], right[cur]), cur)
         depth += internal
-    return depth + _cvec(size[cur])
+    return depth + tail[cur]
+
+
+def tree_candidates(d: DataFrame, sizes: DataFrame, by, cols, key, n_trees: int, sample_size: int, seed: int) -> DataFrame:
+    """Rows that each tree of a group may sample, about 2 * sample_size a tree, with their hash ``__u``."""
+    from aerolith.functions.util import join_null_safe
+    keyh = [F.col(k) for k in key]
+    u0 = F.pmod(F.xxhash64(*keyh, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    pool = (join_null_safe(d, sizes, by)
+            .filter(u0 < F.least(F.lit(1.0), F.lit(2.0 * sample_size * n_trees) / F.col("__n"))))
+    u = F.pmod(F.xxhash64(*keyh, F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    return (pool.select(*by, "__n", *cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
+                        *[k for k in key if k not in by])
+                .withColumn("__u", u)
+                # of m pool rows a tree's sample_size smallest hashes lie below 2 * sample_size / m but
+                # for a chance that falls exponentially in sample_size
+                .filter(F.col("__u") < F.least(F.lit(1.0), F.greatest(F.lit(1.0 / n_trees), F.lit(2.0 * sample_size) / F.col("__n")))))
 
 
 def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by: Sequence[str] = ("city",),
@@ -126,10 +144,8 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
       rows); each pool row then draws a hash per tree, and the tree builder takes
       the ``sample_size`` smallest, so at most a few hundred rows per tree reach
       Python;
-    * building: ``applyInPandas`` per (group, tree);
-    * the forest is bounded (groups x trees x 2*sample_size nodes) and is
-      shipped to the scoring closure; scoring is ``mapInPandas`` over all rows
-      with no shuffle.
+    * building: ``applyInPandas`` per (group, tree), about 2 * sample_size rows each;
+    * scoring: rows are hashed into buckets of their group and cogrouped with its trees.
     """
     from aerolith.functions.quantiles import quantile_columns
     from aerolith.functions.util import join_null_safe
@@ -140,14 +156,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
         return out.drop("__all")
     d = df.na.drop(subset=cols).select(*by, *[k for k in key if k not in by], *cols)
     sizes = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
-    keyh = [F.col(k) for k in key]
-    u0 = F.pmod(F.xxhash64(*keyh, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    pool = (join_null_safe(d, sizes, by)
-            .filter(u0 < F.least(F.lit(1.0), F.lit(2.0 * sample_size * n_trees) / F.col("__n"))))
-    u = F.pmod(F.xxhash64(*keyh, F.col("tree"), F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    cand = (pool.select(*by, *cols, F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"),
-                        *[k for k in key if k not in by])
-                .withColumn("__u", u))
+    cand = tree_candidates(d, sizes, by, cols, key, n_trees, sample_size, seed)
     limit = int(np.ceil(np.log2(max(sample_size, 2))))
     tree_schema = T.StructType([*[d.schema[c] for c in by], T.StructField("tree", T.IntegerType()),
                                 T.StructField("nodes", T.StringType()), T.StructField("n", T.DoubleType())])
@@ -164,41 +173,11 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
 
     forest_df = cand.select(*by, "tree", "__u", *cols).groupBy(*by, "tree").applyInPandas(build, tree_schema)
     out_schema = T.StructType([*d.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
-    # proven bound on the forest size: groups x trees x (2 * sample_size) nodes
-    n_groups = sizes.count()
-    if n_groups * n_trees * 2 * sample_size > FOREST_SHIP_NODES:
-        scored = _score_cogrouped(d, sizes, forest_df, by, key, cols, out_schema)
-        cut = quantile_columns(scored, by, "anomaly_score", [1 - contamination], ["threshold"])
-        return join_null_safe(scored, cut, by).withColumn("is_anomaly",
-                                                          F.col("anomaly_score") > F.col("threshold"))
-    forest_rows = forest_df.collect()
-    import ast
-    forests: dict = {}
-    for r in forest_rows:
-        forests.setdefault(tuple(r[c] for c in by), []).append((_arrays(ast.literal_eval(r["nodes"])), r["n"]))
-
-    def score(batches):
-        for pdf in batches:
-            res = np.full(len(pdf), np.nan)
-            groups = pdf.groupby(by, sort=False, dropna=False).indices if by else {(): np.arange(len(pdf))}
-            for g, idx in groups.items():
-                g = g if isinstance(g, tuple) else (g,)
-                trees = forests.get(g)
-                if not trees:
-                    continue
-                x = pdf.iloc[idx][cols].to_numpy(dtype=float)
-                acc = np.zeros(len(idx))
-                for arrays, n in trees:
-                    acc += _path_lengths(x, arrays)
-                res[idx] = np.power(2.0, -(acc / len(trees)) / _c(trees[0][1]))
-            yield pdf.assign(anomaly_score=res)
-
-    scored = d.mapInPandas(score, out_schema)
+    scored = _score_cogrouped(d, sizes, forest_df, by, key, cols, out_schema)
     cut = quantile_columns(scored, by, "anomaly_score", [1 - contamination], ["threshold"])
     return join_null_safe(scored, cut, by).withColumn("is_anomaly", F.col("anomaly_score") > F.col("threshold"))
 
 
-FOREST_SHIP_NODES = 20_000_000  # forests up to this many nodes travel with the scoring tasks
 ROWS_PER_SCORING_BUCKET = 1_000_000
 
 

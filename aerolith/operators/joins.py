@@ -41,7 +41,7 @@ def upsert_rows(store: DataFrame, batch: DataFrame, key: Sequence[str], ordinal:
     combined, so a key with many copies never lands whole in one task.
     """
     key = list(key)
-    s = store.withColumn("__src", F.lit(0)).withColumn("__ord", F.lit(0).cast("long"))
+    s = store.withColumn("__src", F.lit(0)).withColumn("__ord", F.xxhash64(*[F.col(c) for c in store.columns]))
     # without an arrival ordinal, in-batch copies of a key are told apart by a content hash:
     # deterministic under recomputation (any copy may win, as "last" is then undefined)
     b = batch.withColumn("__src", F.lit(1)).withColumn(

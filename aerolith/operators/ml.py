@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.scalars import clip, round_half_even
+from aerolith.functions.scalars import clip, round_half_even, rule_forecast
 from aerolith.operators.joins import category_by_range
 from aerolith.operators.aggregates import regression_metrics
 
@@ -56,24 +56,31 @@ def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], label:
               models: dict | None = None, small: bool = False):
     """M6: fit every model; returns (fitted pipelines, long predictions, metrics with error rows).
 
-    A failing model yields a metrics row with ``error`` set instead of stopping the run.
+    Null features take the mean of the training rows (the imputer is part of each pipeline, so
+    scoring does the same); rows without a label are not trained on.  A failing model yields a
+    metrics row with ``error`` set instead of stopping the run, also when every model fails.
     """
     spark = train.sparkSession
     models = models or estimators(label, small=small)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip")
+    both = (train.withColumn("__split", F.lit("train")).unionByName(test.withColumn("__split", F.lit("test")))
+            .filter(F.col(label).isNotNull()).select(*dict.fromkeys([*key, *features, label]), "__split").checkpoint(eager=True))
+    fit_on = both.filter(F.col("__split") == "train")
     fitted, preds, errors = {}, [], []
     for name, est in models.items():
         try:
-            pm = Pipeline(stages=[assembler, est]).fit(train)
+            pm = Pipeline(stages=[*_inputs(features), est]).fit(fit_on)
             fitted[name] = pm
-            for split, frame in (("train", train), ("test", test)):
-                preds.append(pm.transform(frame).select(*key, F.lit(name).alias("model"), F.lit(split).alias("split"),
-                                                        F.col(label).alias("label"), "prediction"))
+            preds.append(pm.transform(both).select(*key, F.lit(name).alias("model"), F.col("__split").alias("split"),
+                                                   F.col(label).cast("double").alias("label"), "prediction"))
         except Exception as exc:  # noqa: BLE001 - isolate failures per model
             errors.append((name, str(exc)[:500]))
-    long = preds[0]
-    for p in preds[1:]:
-        long = long.unionByName(p)
+    if preds:
+        long = preds[0]
+        for p in preds[1:]:
+            long = long.unionByName(p)
+    else:
+        long = both.limit(0).select(*key, F.lit("").alias("model"), F.col("__split").alias("split"),
+                                    F.col(label).cast("double").alias("label"), F.lit(0.0).alias("prediction"))
     metrics = regression_metrics(long, by=("model", "split")).withColumn("error", F.lit(None).cast("string"))
     if errors:
         err = spark.createDataFrame(errors, "model string, error string")
@@ -81,12 +88,11 @@ def train_all(train: DataFrame, test: DataFrame, features: Sequence[str], label:
     return fitted, long, metrics
 
 
-def metrics_wide(metrics: DataFrame) -> DataFrame:
-    """Per model: train/test MAE, RMSE, R^2 side by side (the nested metrics document, flattened)."""
-    m = metrics.filter(F.col("split").isNotNull())
-    piv = m.groupBy("model").pivot("split", ["train", "test"]).agg(
-        F.first("mae").alias("mae"), F.first("rmse").alias("rmse"), F.first("r2").alias("r2"), F.first("n").alias("n"))
-    return piv
+def _inputs(features: Sequence[str]) -> list:
+    """Pipeline stages from raw columns to the feature vector: cast, mean imputation, assembly."""
+    cast = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{c}` AS DOUBLE) AS `__in_{c}`" for c in features) + " FROM __THIS__")
+    mean = Imputer(strategy="mean", inputCols=[f"__in_{c}" for c in features], outputCols=[f"__im_{c}" for c in features])
+    return [cast, mean, VectorAssembler(inputCols=[f"__im_{c}" for c in features], outputCol="features")]
 
 
 def score_batch(fitted: dict, df: DataFrame, key: Sequence[str]) -> DataFrame:
@@ -113,6 +119,19 @@ def ensemble(long: DataFrame, key: Sequence[str]) -> DataFrame:
         "__color", "__css_class", "__description")
 
 
+def with_rule_fallback(predictions: DataFrame, rows: DataFrame, key: Sequence[str], ts: str = "timestamp") -> DataFrame:
+    """M8: the ensemble for every row of ``rows``; where no model gave a number, the rule forecast
+    (F10) of the row's own measures.  ``source`` says which of the two it is."""
+    from aerolith.functions.util import join_null_safe
+    rule = rows.select(*key, round_half_even(rule_forecast(ts=ts), 1).alias("__rule"))
+    found = predictions.select(*key, "ensemble", "n_models", "pred_min", "pred_max")
+    out = (join_null_safe(rule, found, key, "left")
+           .withColumn("source", F.when(F.col("ensemble").isNotNull(), "models").otherwise("rule"))
+           .withColumn("ensemble", F.coalesce("ensemble", "__rule")).withColumn("n_models", F.coalesce("n_models", F.lit(0))).drop("__rule"))
+    return category_by_range(out, "ensemble", prefix="__").withColumnRenamed("__category", "category").drop(
+        "__color", "__css_class", "__description")
+
+
 def needs_training(runs: DataFrame, as_of: Column, hours: int = 24, ts: str = "trained_at",
                    by: Sequence[str] = ()) -> DataFrame:
     """M9: true when no artefact is younger than ``hours`` (strict: exactly 24 h old -> retrain)."""
