@@ -50,9 +50,9 @@ def q_a23(spark, sf):
     f"SELECT '{t}' AS target, '{f}' AS feature, {_corr_sql(f, t)} AS correlation FROM readings" for t, f in _TGT)}),
 r AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY abs(correlation) DESC NULLS LAST, feature) AS rank FROM c)
 SELECT target, feature, {d('correlation', 'correlation')}, {d('abs(correlation)', 'abs_correlation')}, {i('rank', 'rank')}
-FROM r WHERE rank <= 3""")
+FROM r WHERE rank <= 10""")
 def q_o4(spark, sf):
-    return finish(X.top_features(X.corr_with_target(readings(spark, sf), COLS), k=3))
+    return finish(X.top_features(X.corr_with_target(readings(spark, sf), COLS), k=10))
 
 
 _Q5 = COLS[1:6]
@@ -169,15 +169,20 @@ def q_x5(spark, sf):
     return finish(X.jarque_bera(readings(spark, sf), _JB))
 
 
+_DF = """SELECT '{c}' AS series, city, {c} - lag({c}) OVER (PARTITION BY city ORDER BY "timestamp") AS dy,
+                lag({c}) OVER (PARTITION BY city ORDER BY "timestamp") AS prev FROM hourly"""
+
+
 @register("x6_dickey_fuller", f"""WITH {HOURLY_CTE},
-l AS (SELECT city, aqi - lag(aqi) OVER (PARTITION BY city ORDER BY "timestamp") AS dy,
-             lag(aqi) OVER (PARTITION BY city ORDER BY "timestamp") AS prev FROM hourly),
-g AS (SELECT city, regr_count(dy, prev) AS n, regr_slope(dy, prev) AS slope, regr_sxx(dy, prev) AS sxx,
-             regr_syy(dy, prev) AS syy FROM l GROUP BY city),
+l AS ({_DF.format(c='aqi')} UNION ALL {_DF.format(c='pm2_5')}),
+g AS (SELECT series, city, regr_count(dy, prev) AS n, regr_slope(dy, prev) AS slope, regr_sxx(dy, prev) AS sxx,
+             regr_syy(dy, prev) AS syy FROM l GROUP BY series, city),
 t AS (SELECT *, slope / sqrt((syy - slope * slope * sxx) / (n - 2) / sxx) AS t_stat FROM g)
-SELECT city, {i('n', 'n')}, {d('slope', 'slope')}, {d('t_stat', 't_stat')}, t_stat < -2.86 AS is_stationary FROM t""")
+SELECT series, city, {i('n', 'n')}, {d('slope', 'slope')}, {d('t_stat', 't_stat')}, t_stat < -2.86 AS is_stationary FROM t""")
 def q_x6(spark, sf):
-    return finish(X.dickey_fuller(hourly(spark, sf), "aqi"))
+    h = hourly(spark, sf)
+    both = [X.dickey_fuller(h, c).withColumn("series", F.lit(c)) for c in ("aqi", "pm2_5")]
+    return finish(both[0].unionByName(both[1]))
 
 
 @register("x7_seasonal_decompose", f"""WITH {READINGS_CTE},

@@ -128,9 +128,9 @@ def q_a14(spark, sf):
 
 
 @register("a15_duplicate_rows", f"""WITH {READINGS_CTE}
-SELECT {i('coalesce(sum(n - 1), 0)', 'duplicate_rows')} FROM (SELECT count(*) AS n FROM readings GROUP BY city, temperature, humidity)""")
+SELECT {i('coalesce(sum(n - 1), 0)', 'duplicate_rows')} FROM (SELECT count(*) AS n FROM readings GROUP BY city, "timestamp", aqi, pm2_5, temperature, humidity, pressure, wind_speed, pm10, co, no2, so2, o3)""")
 def q_a15(spark, sf):
-    return finish(A.duplicate_rows(readings(spark, sf).select("city", "temperature", "humidity")))
+    return finish(A.duplicate_rows(readings(spark, sf)))
 
 
 @register("a16_distinct_cities", f"""WITH {READINGS_CTE} SELECT {i('count(DISTINCT city)', 'distinct_city')} FROM readings""")
