@@ -30,8 +30,10 @@ def scale_features(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 
 def hash_split(df: DataFrame, key: Sequence[str], fractions: Sequence[float] = (0.8, 0.2),
                names: Sequence[str] = ("train", "test"), seed: int = 42, col: str = "split") -> DataFrame:
-    """Stable split by key hash (independent of partitioning and retries)."""
-    u = F.pmod(F.xxhash64(*[F.col(k) for k in key], F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
+    """Stable split by key hash (independent of partitioning, retries and engine): the first
+    seven hex digits of the MD5 of the key columns and the seed as text, joined by ``|``."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in key], F.lit(str(seed)))
+    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 7), 16, 10).cast("double") / F.lit(float(16 ** 7))
     e, acc = None, 0.0
     for f, n in zip(fractions[:-1], names[:-1]):
         acc += f

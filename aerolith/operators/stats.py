@@ -215,7 +215,7 @@ DF_CRITICAL_5PCT = -2.86  # published 5 % critical value, constant-only Dickey-F
 
 
 def dickey_fuller(df: DataFrame, col: str, by: Sequence[str] = ("city",), order: str = "timestamp",
-                  bucket="day") -> DataFrame:
+                  bucket=("hour", "day")) -> DataFrame:
     """X6 (re-aimed): Dickey-Fuller t of y_{t-1} in  dy_t = a + b y_{t-1}  (lag order 0) per series."""
     from aerolith.operators.windows import series_shift
     d = series_shift(df.select(*by, order, col), by, order, lambda w: {"__prev": F.lag(col, 1).over(w)}, back=1,

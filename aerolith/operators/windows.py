@@ -135,7 +135,7 @@ def halo_window(df: DataFrame, by: Sequence[str], index: str,
 
 def series_shift(df: DataFrame, by: Sequence[str] = ("city",), order: str = "timestamp",
                  compute: Callable[[Window], dict[str, Column]] | None = None, back: int = 0, fwd: int = 0,
-                 chunk: int = DEFAULT_CHUNK, bucket: str | Column | None = "day",
+                 chunk: int = DEFAULT_CHUNK, bucket: str | Sequence[str] | Column | None = ("hour", "day"),
                  keep_index: bool = False, total: str | None = None) -> DataFrame:
     """Index a series, then evaluate bounded frames over it (index + halo_window)."""
     d = with_row_index(df, by, order, bucket=bucket, index="__rn", total=total)
@@ -243,7 +243,7 @@ def dedupe_keep_last(df: DataFrame, key: Sequence[str], ordinal: str) -> DataFra
 # --- W7 / W9 / W12 ------------------------------------------------------------------------------------------
 
 def recent_trend(df: DataFrame, col: str = "aqi", n: int = 24, by=("city",), order="timestamp",
-                 bucket="day") -> DataFrame:
+                 bucket=("hour", "day")) -> DataFrame:
     """Mean of the last ``n`` rows minus mean of the first ``n`` of the last ``2n`` rows."""
     d = with_row_index(df.select(*by, order, col), by, order, bucket=bucket, index="rn", total="n_rows")
     tail_start = F.greatest(F.col("n_rows") - 2 * n, F.lit(0))
@@ -254,7 +254,7 @@ def recent_trend(df: DataFrame, col: str = "aqi", n: int = 24, by=("city",), ord
 
 
 def chronological_split(df: DataFrame, test_fraction: float = 0.2, by=("city",), order="timestamp",
-                        bucket="day", flag: str = "is_test") -> DataFrame:
+                        bucket=("hour", "day"), flag: str = "is_test") -> DataFrame:
     """The last ceil(f * n) rows of each series are test rows (no shuffling)."""
     d = with_row_index(df, by, order, bucket=bucket, index="__rn", total="__n")
     n_test = F.ceil(F.col("__n") * F.lit(test_fraction))

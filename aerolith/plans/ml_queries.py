@@ -214,13 +214,18 @@ def q_m8_fallback(spark, sf):
     return finish(M.with_rule_fallback(M.ensemble(naive, key), rows, key).select("city", "timestamp", "ensemble", "source"))
 
 
-@register("m5_hash_split")
+_U = """CAST(('0x' || substr(md5(concat_ws('|', city, CAST("timestamp" AS VARCHAR), '42')), 1, 7)) AS BIGINT) / 268435456.0"""
+
+
+@register("m5_hash_split", f"""WITH {HOURLY_CTE}, s AS (SELECT *, CASE WHEN {_U} < 0.8 THEN 'train' ELSE 'test' END AS split FROM hourly)
+SELECT split, {i('count(*)', '"rows"')}, {d('avg(aqi)', 'mean_aqi')} FROM s GROUP BY split""")
 def q_m5(spark, sf):
     h = M.hash_split(hourly(spark, sf).select("city", "timestamp", "aqi"), ["city", "timestamp"])
     return finish(h.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.avg("aqi").alias("mean_aqi")))
 
 
-@register("m14_three_way_split")
+@register("m14_three_way_split", f"""WITH {HOURLY_CTE}
+SELECT city, {ts('"timestamp"', '"timestamp"')}, CASE WHEN {_U} < 0.7 THEN 'train' WHEN {_U} < 0.8 THEN 'validation' ELSE 'test' END AS split FROM hourly""")
 def q_m14(spark, sf):
     h = M.hash_split(hourly(spark, sf).select("city", "timestamp"), ["city", "timestamp"], (0.7, 0.1, 0.2),
                      ("train", "validation", "test"))

@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from aerolith.plans.registry import READINGS_CTE, d, finish, i, register, ts
 from aerolith.streaming import streams as T
 from aerolith.sources.testdata import table
@@ -15,6 +17,25 @@ def _stream(spark, sf):
     return T.readings_stream(T.event_stream(spark, src, schema))
 
 
+def _in_batches(spark, sf, resend: bool = False):
+    """The events as a stream of three micro-batches in event-time order (thirds of their days); with
+    ``resend`` a fourth holds every tenth event again, late and with its value raised by one."""
+    events = table(spark, sf, "events")
+    src, _ = T.fresh_dirs(spark, "batches")
+    span = events.agg(F.min(F.to_date("ts")).alias("lo"), F.max(F.to_date("ts")).alias("hi")).first()
+    third = F.floor(F.date_diff(F.to_date("ts"), F.lit(span.lo)) * 3 / F.lit((span.hi - span.lo).days + 1)).cast("int")
+    for k in range(3):  # one file after the other: the source reads them in the order of their age
+        events.filter(third == k).coalesce(1).write.mode("append").parquet(src)
+    if resend:
+        (events.filter("event_id % 10 = 0").withColumn("value", F.col("value") + 1).coalesce(1).write.mode("append").parquet(src))
+    return T.readings_stream(T.event_stream(spark, src, events.schema, max_files=1), extra=["event_id"])
+
+
+_BATCH_SQL = f"""{READINGS_CTE.replace('SELECT event_type AS city', 'SELECT event_id, event_type AS city')},
+span AS (SELECT min(CAST("timestamp" AS DATE)) AS lo, max(CAST("timestamp" AS DATE)) AS hi FROM readings),
+b AS (SELECT readings.*, CAST(floor((CAST("timestamp" AS DATE) - lo) * 3 / (hi - lo + 1)) AS INTEGER) AS batch FROM readings, span)"""
+
+
 @register("t2_stream_hourly_mean", f"""WITH {READINGS_CTE},
 h AS (SELECT city, date_trunc('hour', "timestamp") AS hour_start, avg(aqi) AS aqi_mean, count(*) AS n FROM readings GROUP BY 1, 2)
 SELECT city, {ts('hour_start', 'hour_start')}, {d('aqi_mean', 'aqi_mean')}, {i('n', 'n')} FROM h
@@ -40,20 +61,27 @@ SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('aqi', 'aqi')},
 FROM readings""")
 def q_t4(spark, sf):
     out, chk = T.fresh_dirs(spark, "t4")
-    T.stream_change_rate(_stream(spark, sf), out, out + "_carry", chk)
+    T.stream_change_rate(_in_batches(spark, sf), out, out + "_carry", chk)
     return finish(spark.read.parquet(out).drop("batch"))
 
 
-@register("t1_stream_ingest_upsert")
+@register("t1_stream_ingest_upsert", f"""WITH {_BATCH_SQL},
+a AS (SELECT *, aqi AS v FROM b UNION ALL SELECT * REPLACE (3 AS batch), aqi + 1 AS v FROM b WHERE event_id % 10 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY city, "timestamp" ORDER BY batch DESC, event_id DESC) AS n FROM a)
+SELECT city, {ts('"timestamp"', '"timestamp"')}, {d('v', 'aqi')}, {d('pm2_5', 'pm2_5')}, {d('temperature', 'temperature')}, {d('humidity', 'humidity')}
+FROM r WHERE n = 1""")
 def q_t1(spark, sf):
     out, chk = T.fresh_dirs(spark, "t1")
-    s = _stream(spark, sf).select("city", "timestamp", "aqi", "pm2_5", "temperature", "humidity")
-    T.stream_ingest_upsert(s, out, ["city", "timestamp"], chk)
-    return finish(spark.read.parquet(out))
+    s = _in_batches(spark, sf, resend=True).select("city", "timestamp", "aqi", "pm2_5", "temperature", "humidity", "event_id")
+    T.stream_ingest_upsert(s, out, ["city", "timestamp"], chk, ordinal="event_id")
+    return finish(spark.read.parquet(out).select("city", "timestamp", "aqi", "pm2_5", "temperature", "humidity"))
 
 
-@register("t5_stream_freshness")
+@register("t5_stream_freshness", f"""WITH {_BATCH_SQL}, k AS (SELECT unnest([0, 1, 2]) AS batch_id),
+l AS (SELECT batch_id, city, max("timestamp") AS last_seen FROM b, k WHERE batch <= batch_id GROUP BY 1, 2)
+SELECT city, {ts('last_seen', 'last_seen')}, last_seen < max(last_seen) OVER (PARTITION BY batch_id) - INTERVAL 1 HOUR AS silent, {i('batch_id', 'batch_id')}
+FROM l""")
 def q_t5(spark, sf):
     out, chk = T.fresh_dirs(spark, "t5")
-    T.stream_freshness(_stream(spark, sf), out + "_state", out, chk)
-    return finish(spark.read.parquet(out))
+    T.stream_freshness(_in_batches(spark, sf), out + "_state", out, chk)
+    return finish(spark.read.parquet(out).drop("batch"))

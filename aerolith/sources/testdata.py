@@ -18,12 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def readings_from_events(events: DataFrame) -> DataFrame:
-    """One reading per event; all columns are derived by native expressions."""
+def readings_from_events(events: DataFrame, extra=()) -> DataFrame:
+    """One reading per event; all columns are derived by native expressions (and ``extra`` kept)."""
     props = F.from_json("props", PROPS_SCHEMA)
     uid, eid = F.col("user_id"), F.col("event_id")
     pm25 = props["k"].cast("double")
     return events.select(
+        *extra,
         F.col("event_type").alias("city"),
         F.col("ts").alias("timestamp"),
         F.col("value").alias("aqi"),

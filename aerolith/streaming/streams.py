@@ -38,8 +38,9 @@ def event_time(ts: str = "timestamp"):
     return F.make_timestamp(F.year(t), F.month(t), F.dayofmonth(t), F.hour(t), F.minute(t), secs, F.lit("UTC"))
 
 
-def readings_stream(events: DataFrame) -> DataFrame:
-    rd = readings_from_events(events)
+def readings_stream(events: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Readings of an event stream with their event time; ``extra`` names event columns to keep."""
+    rd = readings_from_events(events, extra)
     return rd.withColumn("event_time", event_time("timestamp"))
 
 
