@@ -101,7 +101,7 @@ def category_distribution(df: DataFrame, col: str = "aqi", by: Sequence[str] = (
     counts = d.groupBy(*by, "aqi_category").agg(F.count(F.lit(1)).alias("count"))
     # the window runs over the per-category counts (six rows per group), not over the readings
     total = F.sum("count").over(Window.partitionBy(*by)) if by else F.sum("count").over(Window.partitionBy())
-    return counts.withColumn("percentage", F.col("count") * 100.0 / total)
+    return counts.withColumn("percentage", F.col("count") * 100.0 / total).orderBy(*by, F.desc("count"), "aqi_category")
 
 
 def daily_mean(df: DataFrame, col: str = "aqi", by: Sequence[str] = (), ts: str = "timestamp") -> DataFrame:
@@ -135,7 +135,8 @@ def null_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     long = one.unpivot(["__rows"], cols, "column", "missing_count")
     return (long.filter(F.col("missing_count") > 0)
                 .select("column", "missing_count",
-                        (F.col("missing_count") * 100.0 / F.col("__rows")).alias("missing_percent")))
+                        (F.col("missing_count") * 100.0 / F.col("__rows")).alias("missing_percent"))
+                .orderBy(F.desc("missing_percent"), "column"))
 
 
 def null_cells(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

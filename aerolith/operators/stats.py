@@ -48,7 +48,7 @@ def corr_matrix(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) -> D
 
 def corr_with_target(df: DataFrame, features: Sequence[str], targets: Sequence[str] = ("aqi", "pm2_5"),
                      by: Sequence[str] = ()) -> DataFrame:
-    """R and |r| of each feature with each target (one pass)."""
+    """R and |r| of each feature with each target (one pass), |r| descending per target."""
     parts = []
     for t in targets:
         for f in features:
@@ -58,7 +58,7 @@ def corr_with_target(df: DataFrame, features: Sequence[str], targets: Sequence[s
                                   guarded_corr(F.col(f).cast("double"), F.col(t).cast("double")).alias("correlation")))
     wide = df.groupBy(*by).agg(*[p.alias(f"c{k}") for k, p in enumerate(parts)])
     long = wide.select(*by, F.inline(F.array(*[F.col(f"c{k}") for k in range(len(parts))])))
-    return long.withColumn("abs_correlation", F.abs("correlation"))
+    return long.withColumn("abs_correlation", F.abs("correlation")).orderBy(*by, "target", F.desc_nulls_last("abs_correlation"), "feature")
 
 
 def top_features(corr_long: DataFrame, k: int = 10, by: Sequence[str] = ("target",)) -> DataFrame:

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-# Column descriptions of the feature table, as published.
+_UGM3 = "micrograms per cubic metre"
+
+# What each column holds and in which unit (the units are those of the payloads that S5 and S6 decode).
 COLUMN_COMMENTS = {
-    "timestamp": "Date and time of measurement",
-    "city": "City name",
-    "temperature": "Temperature in Celsius",
-    "humidity": "Relative humidity percentage",
-    "pressure": "Atmospheric pressure in hPa",
-    "wind_speed": "Wind speed in m/s",
-    "wind_direction": "Wind direction in degrees",
-    "visibility": "Visibility in meters",
-    "clouds": "Cloud coverage percentage",
-    "weather_main": "Main weather condition",
-    "weather_description": "Detailed weather description",
-    "aqi": "Air Quality Index",
-    "co": "Carbon monoxide concentration",
-    "no": "Nitrogen monoxide concentration",
-    "no2": "Nitrogen dioxide concentration",
-    "o3": "Ozone concentration",
-    "so2": "Sulphur dioxide concentration",
-    "pm2_5": "PM2.5 particulate matter",
-    "pm10": "PM10 particulate matter",
-    "nh3": "Ammonia concentration",
-    "hour": "Hour of day (0-23)",
-    "day_of_week": "Day of week (0=Monday)",
-    "month": "Month (1-12)",
-    "hour_sin": "Sine of hour for cyclical encoding",
-    "hour_cos": "Cosine of hour for cyclical encoding",
+    "timestamp": "when the reading was taken, wall-clock time of the city",
+    "city": "the place that the reading belongs to; key together with timestamp",
+    "temperature": "air temperature, degrees Celsius",
+    "humidity": "relative humidity, percent",
+    "pressure": "air pressure, hectopascal",
+    "wind_speed": "wind speed, metres per second",
+    "wind_direction": "where the wind comes from, degrees clockwise from north",
+    "visibility": "how far one can see, metres",
+    "clouds": "share of the sky under cloud, percent",
+    "weather_main": "weather group of the payload",
+    "weather_description": "the payload's words for the weather",
+    "aqi": "air quality index (0-500 scale, see aqi_category)",
+    **{c: f"{c}, {_UGM3}" for c in ("co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3")},
+    "hour": "hour of the timestamp, 0 to 23 (F1)",
+    "day_of_week": "weekday of the timestamp, Monday is 0 (F1)",
+    "month": "month of the timestamp, 1 to 12 (F1)",
+    "hour_sin": "sine of the hour's angle on a 24-hour circle (F2)",
+    "hour_cos": "cosine of the hour's angle on a 24-hour circle (F2)",
+    "aqi_lag_1h": "aqi one row earlier in the city (W1)",
+    "aqi_lag_24h": "aqi 24 rows earlier in the city (W1)",
+    "pm25_lag_1h": "pm2_5 one row earlier in the city (W1)",
+    "temp_lag_1h": "temperature one row earlier in the city (W1)",
+    "aqi_target_24h": "aqi 24 rows later in the city, what models learn (W2)",
 }
 
 POLLUTANTS = ["co", "no", "no2", "o3", "so2", "pm2_5", "pm10", "nh3"]

@@ -62,8 +62,11 @@ def test_oracle_sample_sf0001(spark, name):
 
 
 def _final_plan(df):
-    df.write.format("noop").mode("overwrite").save()
-    return df._jdf.queryExecution().executedPlan().toString()
+    """The plan that ran: the frame itself is collected, then its own plan is read."""
+    df.collect()
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in p
+    return p.split("== Initial Plan ==")[0]
 
 
 def test_category_lookups_compile_to_expressions(spark):
@@ -95,3 +98,18 @@ def test_correlation_matrix_is_one_aggregate(spark):
     p = _final_plan(E.queries()["a22_corr_matrix"](spark, SF001))
     assert p.count("HashAggregate(keys=[city") + p.count("ObjectHashAggregate(keys=[city") >= 1
     assert "Join" not in p
+
+
+def test_profiles_are_ordered(spark):
+    from aerolith.operators import aggregates as A
+    from aerolith.operators import stats as X
+    from aerolith.sources.testdata import readings, readings_with_nulls
+    rd, nulls = readings(spark, SF001), readings_with_nulls(spark, SF001)
+    counts = [r["count"] for r in A.category_distribution(rd).collect()]
+    assert counts == sorted(counts, reverse=True) and len(counts) > 1
+    shares = [r["missing_percent"] for r in A.null_profile(nulls).collect()]
+    assert shares == sorted(shares, reverse=True) and len(shares) > 1
+    rows = X.corr_with_target(rd, ["aqi", "pm2_5", "temperature", "humidity", "o3"]).collect()
+    for t in ("aqi", "pm2_5"):
+        r = [x.abs_correlation for x in rows if x.target == t]
+        assert r == sorted(r, reverse=True) and len(r) == 4
