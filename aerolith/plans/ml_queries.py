@@ -278,7 +278,9 @@ def q_m12(spark, sf):
     return finish(M.feature_importance(fitted, FEATURES))
 
 
-@register("s8_read_nested_metrics")
+@register("s8_read_nested_metrics", f"""WITH {_PRED_SQL}
+SELECT model_name, {', '.join(f'CAST(NULL AS DOUBLE) AS train_{m}' for m in ('mae', 'rmse', 'r2'))},
+       {d('test_mae', 'test_mae')}, {d('test_rmse', 'test_rmse')}, {d('test_r2', 'test_r2')}, CAST(NULL AS VARCHAR) AS error FROM runs""")
 def q_s8(spark, sf):
     """Write the per-model metrics of the rule forecasts as one nested document per run
     ({model: {metric: value}}), then read the documents back into long rows."""

@@ -15,7 +15,7 @@ from aerolith.plans.registry import (HOURLY_CTE, NULL_READINGS_CTE, READINGS_CTE
                                      finish, i, register, rule_sql, ts)
 from aerolith.sources.builders import air_payloads, weather_payloads
 from aerolith.sources.payloads import decode_air, decode_weather
-from aerolith.sources.testdata import hourly, readings, readings_from_events, readings_with_nulls, table
+from aerolith.sources.testdata import MEASURES, hourly, readings, readings_from_events, readings_with_nulls, table
 
 RCOLS = ["city", "timestamp", "aqi", "pm2_5", "temperature", "humidity", "pressure", "wind_speed", "pm10", "co",
          "no2", "so2", "o3"]
@@ -482,7 +482,8 @@ def q_j5(spark, sf):
     return finish(grid.join(agg, ["city", "week", "day_index"], "left"))
 
 
-@register("s2_write_readings")
+@register("s2_write_readings", f"""WITH {READINGS_CTE}
+SELECT city, {ts('"timestamp"', '"timestamp"')}, {', '.join(d(c, c) for c in MEASURES)} FROM readings""")
 def q_s2(spark, sf):
     """Write the readings partitioned by (city, date) twice (idempotent), read them back."""
     import uuid
