@@ -9,9 +9,9 @@ state's failure arc to the root, whose arcs are all words.  Dirichlet smoothing
 
 so each state's probabilities sum to one with one share for all unknown words.
 
-Texts are dealt into blocks.  A block sends out its distinct words and word pairs once, they meet
-the counts of the corpus in one shuffle, and the block gets back just the arcs that its texts can
-take; then each text is read once from left to right.
+Texts are dealt into blocks.  A block sends out its distinct words and word pairs with its counts;
+they are added up over the corpus in one shuffle, and the block gets back just the arcs that its
+texts can take; then each text is read once from left to right.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from math import log10
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import is_held_out, materialize
@@ -33,7 +33,7 @@ CONTEXT_SHARE = 1e-3
 #: Strength of the root's distribution in a context's.
 PRIOR = 1000.0
 #: Bytes of text in a block, and distinct entries that a task holds before it sends them on.
-BLOCK_BYTES, HELD = 8 << 20, 400_000
+BLOCK_BYTES, HELD = 24 << 20, 1_000_000
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -59,7 +59,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_entries(contexts: dict[bytes, int]):
-    """Distinct words (state ROOT) and word pairs of each block, pairs with their training count."""
+    """Distinct words (state ROOT) and word pairs of each block, with their count in its training texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int, bytes], int] = {}
 
@@ -71,10 +71,11 @@ def _block_entries(contexts: dict[bytes, int]):
             return batch
 
         for batch in batches:
-            for block, text, learn in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), batch.column("learn").to_pylist()):
-                one, state, get = int(learn), BEGIN, contexts.get
+            for block, text, held_out in zip(*(batch.column(c).to_pylist() for c in ("block", "text", "held_out"))):
+                one, state, get = int(not held_out), BEGIN, contexts.get
                 for w in tokens(text):
-                    held[block, ROOT, w] = 0
+                    key = (block, ROOT, w)
+                    held[key] = held.get(key, 0) + one
                     if state != ROOT:
                         key = (block, state, w)
                         held[key] = held.get(key, 0) + one
@@ -148,11 +149,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     blocks = max(1, -(-int(size.bytes or 0) // block_bytes))
     dealt = own.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    entries = dealt.select("block", "text", (~F.col("held_out")).alias("learn")).mapInArrow(
-        _block_entries(contexts), "block int, u int, w binary, n long").repartition("u", "w")
-    pairs = entries.groupBy("u", "w").agg(F.sum("n").alias("c")).where(f"u <> {ROOT} AND c > 0")
-    arcs = pairs.unionByName(vocabulary.select(F.lit(ROOT).alias("u"), "w", "c"))
-    needed = entries.select("block", "u", "w").join(arcs, ["u", "w"])
+    # The texts are shuffled once: both readers take all of their columns, so Spark reuses the
+    # exchange.  A word or pair has one row a block that has it, so no key is hotter than the
+    # number of blocks.
+    entries = dealt.mapInArrow(_block_entries(contexts), "block int, u int, w binary, n long").repartition("u", "w")
+    needed = entries.withColumn("c", F.sum("n").over(Window.partitionBy("u", "w"))).where("c > 0").select("block", "u", "w", "c")
 
     def read(texts: pa.Table, arcs: pa.Table) -> pa.Table:
         automaton = Automaton(arcs, contexts, context_counts, total, words, prior)
