@@ -1,7 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words and six-character word beginnings that are associated with the label (chi-squared
-over the training examples).  Each term's postings are cut into blocks of examples with the
+Terms are words and six-character word beginnings that are associated with label 1 (chi-squared over
+the training examples, and a majority of label 1).  Each term's postings are cut into blocks of examples with the
 block's largest weight; a query takes blocks in the order of their upper bounds and stops when no
 block left can hold a nearer example than the k found.  The nearest examples vote with weights
 that fall with their distance, the votes are calibrated to the share of label 1 by isotonic
@@ -28,8 +28,9 @@ WORD = re.compile(r"[^\W_]+")
 STEM = 6
 #: Bounds of the fit: labelled training rows (those with the lowest id hashes) and terms kept.
 MAX_EXAMPLES, MAX_TERMS = 20_000, 2_000
-#: Least chi-squared for a term, well above what chance gives the best of some millions of terms.
-LEAST_CHI2 = 40.0
+#: Least chi-squared for a term (well above what chance gives the best of some millions of terms), in
+#: all and an example, and least share of label 1 among the examples that have it.
+LEAST_CHI2, LEAST_CHI2_SHARE, LEAST_PRECISION = 40.0, 0.003, 0.5
 NEAREST, BLOCK, EVIDENCE, DISTANCE_FLOOR = 25, 64, 3, 0.05
 
 
@@ -194,7 +195,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     c, d = F.lit(float(n1)) - F.col("a"), F.lit(float(n - n1)) - F.col("b")
     chi2 = (F.lit(float(n)) * F.pow(F.col("a") * d - F.col("b") * c, 2)
             / F.greatest(F.lit(1.0), (F.col("a") + F.col("b")) * (c + d) * (F.col("a") + c) * (F.col("b") + d)))
-    kept = df.withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
+    kept = df.withColumn("chi2", chi2).where(
+        (F.col("chi2") >= max(LEAST_CHI2, LEAST_CHI2_SHARE * n)) & (F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b")))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
     terms = {r.term: log((n + 1) / (r.a + r.b + 0.5)) for r in kept}
 
     def counts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
