@@ -26,6 +26,7 @@ RIDGE = 1e-2
 OTHER = 0  # the symbol of characters outside the landmarks' alphabet
 PIECE = 1 << 18  # characters of a text handled at a time
 MAX_SYMBOLS = 255
+ROWS = 64  # texts scored by one matrix product
 
 
 def _points(text: str) -> np.ndarray:
@@ -51,8 +52,9 @@ class SpectrumModel:
 
     def lookup(self) -> np.ndarray:
         """n-gram code -> position in ``grams`` (the position behind the last: unknown)."""
-        table = np.full(1 << 24, len(self.grams), np.int32)
-        table[self.grams] = np.arange(len(self.grams), dtype=np.int32)
+        kind = np.uint16 if len(self.grams) < 1 << 16 else np.int32
+        table = np.full(1 << 24, len(self.grams), kind)
+        table[self.grams] = np.arange(len(self.grams), dtype=kind)
         return table
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -153,8 +155,8 @@ def predict(docs: DataFrame, model: SpectrumModel | None, text_col: str = "text"
         for texts in batches:
             lang, best = np.full(len(texts), UNKNOWN, object), np.zeros(len(texts))
             known = [i for i, t in enumerate(texts) if m and t is not None and any(map(str.isalpha, t))]
-            for s in range(0, len(known), 512):
-                at = known[s:s + 512]
+            for s in range(0, len(known), ROWS):
+                at = known[s:s + ROWS]
                 p = m.scores(np.stack([m.presence(texts.iloc[i], lookup) for i in at]))
                 top = p.argmax(1)
                 lang[at] = [m.languages[k] for k in top]

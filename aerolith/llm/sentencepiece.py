@@ -30,7 +30,7 @@ CHARSMAP, DUMMY_PREFIX, REMOVE_EXTRA, ESCAPE = 2, 3, 4, 5
 #: What an unknown character costs below the lowest piece score.
 UNKNOWN_PENALTY = 10.0
 #: Chunks up to this length are remembered (at most MEMO of them a task).
-MEMO_CHARS, MEMO = 40, 400_000
+MEMO_CHARS, MEMO = 40, 250_000
 
 
 def _fields(buf: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -215,6 +215,12 @@ def load(model: bytes) -> PieceModel:
     return _MODELS[key]
 
 
+def forget() -> None:
+    """Called when a task ends: an idle worker keeps the automaton, not what it has remembered."""
+    for model in _MODELS.values():
+        model.memo.clear()
+
+
 def encode_documents(docs: DataFrame, model_path: str, text_col: str = "text", ids: str = "token_ids") -> DataFrame:
     """Add an array of piece ids to every row; all other columns stay.
 
@@ -257,6 +263,7 @@ def _with_arrow_column(docs: DataFrame, source: str, target: str, kind: str, mak
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield make(column)
+        forget()
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c != target]
     return docs.select(*keep, run(F.col(source)).alias(target))
