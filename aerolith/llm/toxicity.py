@@ -1,9 +1,11 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Terms are words and six-character word beginnings that are associated with label 1 (chi-squared over
-the training examples, and a majority of label 1).  Each term's postings are cut into blocks of examples with the
-block's largest weight; a query takes blocks in the order of their upper bounds and stops when no
-block left can hold a nearer example than the k found.  The nearest examples vote with weights
+Terms are all words and six-character word beginnings of the training examples.  A term weighs its
+IDF times one plus the root of its chi-squared with the label (in either direction), so no term is
+left out and those that tell the labels apart count more.  Rare terms are added up from their
+postings; common ones, with long postings and little weight, are kept by example, with the largest
+weight in each block of examples.  A block is completed only if its rare terms and its bound can
+reach the k nearest.  The nearest examples vote with weights
 that fall with their distance, the votes are calibrated to the share of label 1 by isotonic
 regression on the examples themselves (each scored without itself), and the nearest are returned
 as evidence.
@@ -13,9 +15,9 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from math import log
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -26,11 +28,12 @@ from aerolith.llm.common import is_held_out, materialize
 
 WORD = re.compile(r"[^\W_]+")
 STEM = 6
-#: Bounds of the fit: labelled training rows (those with the lowest id hashes) and terms kept.
-MAX_EXAMPLES, MAX_TERMS = 20_000, 2_000
-#: Least chi-squared for a term (well above what chance gives the best of some millions of terms), in
-#: all and an example, and least share of label 1 among the examples that have it.
-LEAST_CHI2, LEAST_CHI2_SHARE, LEAST_PRECISION = 40.0, 0.003, 0.5
+#: Bound of the fit: labelled training rows (those with the lowest id hashes).
+MAX_EXAMPLES = 20_000
+#: A term is common from this share of the examples on.
+COMMON_SHARE = 0.05
+#: Texts searched at once.
+BATCH = 64
 NEAREST, BLOCK, EVIDENCE, DISTANCE_FLOOR = 25, 64, 3, 0.05
 
 
@@ -44,69 +47,104 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Positions of all runs, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
 @dataclass
 class NearestExamples:
     """Block-max inverted index of the examples that have at least one term."""
     terms: dict[str, int]
-    idf: np.ndarray
+    weight: np.ndarray                   # per term
     example_ids: np.ndarray
     labels: np.ndarray
     base_rate: float                     # share of label 1 among examples without any term
     k: int = NEAREST
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # per term: examples, weights
-    block_of: list[np.ndarray] = field(default_factory=list)                     # per term: start of each block's run
-    block_ids: list[np.ndarray] = field(default_factory=list)                    # per term: blocks it is in
-    block_max: list[np.ndarray] = field(default_factory=list)                    # per term: largest weight a block
+    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))     # per term: row of block_max, or -1
+    rare: tuple[np.ndarray, ...] = ()    # per term: start of its run; in runs: examples and weights
+    own: tuple[np.ndarray, ...] = ()     # per example: start of its run; in runs: common terms and weights
+    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))       # common term, block: largest weight
+    dense: np.ndarray | None = None      # the common part of all examples, made where it is read
     steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))            # calibration: vote -> probability
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers and normalised weights (1 + ln tf) * idf of a text."""
-        known = sorted((self.terms[t], n) for t, n in counts.items() if t in self.terms)
-        if not known:
-            return np.zeros(0, np.int64), np.zeros(0)
-        at = np.array([t for t, _ in known])
-        w = (1 + np.log([n for _, n in known])) * self.idf[at]
+        """Term numbers and normalised weights (1 + ln tf) * weight of a text."""
+        get = self.terms.get
+        at = np.fromiter([get(t, -1) for t in counts], np.int64, len(counts))
+        n = np.fromiter(counts.values(), np.int64, len(counts))
+        order = np.argsort(at)[np.count_nonzero(at < 0):]
+        at, n = at[order], n[order]
+        w = (1 + np.log(n)) * self.weight[at]
         norm = np.sqrt((w * w).sum())
-        return at, w / norm if norm else w
-
-    def index(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        by_term: list[list[tuple[int, float]]] = [[] for _ in self.terms]
-        for e, (at, w) in enumerate(vectors):
-            for t, x in zip(at, w):
-                by_term[t].append((e, x))
-        for rows in by_term:
-            ids = np.array([e for e, _ in rows], np.int64)
-            w = np.array([x for _, x in rows])
-            blocks, start = np.unique(ids // BLOCK, return_index=True)
-            self.postings.append((ids, w))
-            self.block_of.append(np.append(start, len(ids)))
-            self.block_ids.append(blocks)
-            self.block_max.append(np.maximum.reduceat(w, start) if len(ids) else np.zeros(0))
+        return at, (w / norm if norm else w).astype(np.float32).astype(float)
+
+    def index(self, start: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
+        """Examples as runs of ascending term numbers with their weights."""
+        n, n_terms = len(start) - 1, len(self.weight)
+        held_by = np.bincount(at, minlength=n_terms)
+        names = np.flatnonzero(held_by >= max(BLOCK, COMMON_SHARE * n))
+        self.common = np.full(n_terms, -1, np.int32)
+        self.common[names] = np.arange(len(names))
+        example = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
+        is_common = self.common[at] >= 0
+        e, t, x = example[is_common], self.common[at[is_common]], w[is_common]
+        self.own = (np.append(0, np.cumsum(np.bincount(e, minlength=n))), t, x)
+        self.block_max = np.zeros((len(names), -(-n // BLOCK)), np.float32)
+        np.maximum.at(self.block_max, (t, e // BLOCK), x)
+        e, t, x = example[~is_common], at[~is_common], w[~is_common]
+        order = np.argsort(t, kind="stable")
+        self.rare = (np.append(0, np.cumsum(np.bincount(t, minlength=n_terms))), e[order], x[order])
 
     def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k nearest examples with a cosine above 0 and their cosines, exactly; ties go to the
         earlier example."""
-        n_blocks = -(-len(self.labels) // BLOCK)
-        bound = np.zeros(n_blocks)
-        for t, x in zip(at, w):
-            bound[self.block_ids[t]] += x * self.block_max[t]
-        order = np.argsort(-bound, kind="stable")
-        ids, cos = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or (len(ids) == self.k and bound[b] < cos[-1] - 1e-12):
-                break
-            score = np.zeros(BLOCK)
-            for t, x in zip(at, w):
-                i = np.searchsorted(self.block_ids[t], b)
-                if i < len(self.block_ids[t]) and self.block_ids[t][i] == b:
-                    run = slice(self.block_of[t][i], self.block_of[t][i + 1])
-                    score[self.postings[t][0][run] - b * BLOCK] += x * self.postings[t][1][run]
-            found = np.flatnonzero(score > 0)
-            found = found[found + b * BLOCK != without]
-            ids, cos = np.append(ids, found + b * BLOCK), np.append(cos, score[found])
+        return self.nearest_of([(at, w)], without)[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query; from ``without`` on, each without the example of its own number."""
+        n, (n_common, n_blocks) = len(self.labels), self.block_max.shape
+        if not n:
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        if self.dense is None:
+            self.dense = np.zeros((n_blocks * BLOCK, n_common), np.float32)
+            self.dense[np.repeat(np.arange(n), np.diff(self.own[0])), self.own[1]] = self.own[2]
+        start, examples, weights = self.rare
+        part = np.zeros((len(queries), n_blocks * BLOCK))
+        common = np.zeros((len(queries), n_common), np.float32)
+        for i, (at, w) in enumerate(queries):
+            rows = self.common[at]
+            common[i, rows[rows >= 0]] = w[rows >= 0]
+            at, w = at[rows < 0], w[rows < 0]
+            length = start[at + 1] - start[at]
+            run = spread(start[at], length)
+            part[i, :n] = np.bincount(examples[run], weights[run] * np.repeat(w, length), minlength=n)
+            if without >= 0:
+                part[i, without + i] = -np.inf
+        # a block is completed if its bound can reach the k-th best block of some query of the batch
+        best = part.reshape(len(queries), n_blocks, BLOCK).max(2)
+        bound = best + common @ self.block_max * np.float32(1 + 1e-5)
+        least = np.partition(best, -self.k, 1)[:, -self.k] if n_blocks >= self.k else np.zeros(len(queries))
+        blocks = np.flatnonzero((bound >= np.maximum(least, 0)[:, None]).any(0))
+        about = part.astype(np.float32)
+        if len(blocks) == n_blocks:
+            about += common @ self.dense.T
+        elif len(blocks):
+            cols = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            about[:, cols] += common @ self.dense[cols].T
+        out = []
+        best = about.reshape(len(queries), n_blocks, BLOCK).max(2)
+        first, names, own = self.own
+        for i in range(len(queries)):
+            row = about[i]
+            kth = np.partition(best[i], -self.k)[-self.k] if n_blocks >= self.k else 0.0
+            ids = np.flatnonzero(row > max(0.0, kth - 1e-5))  # single precision: completed again below
+            length = first[ids + 1] - first[ids]
+            run = spread(first[ids], length)
+            cos = part[i, ids] + np.bincount(np.repeat(np.arange(len(ids)), length), common[i, names[run]].astype(float) * own[run], minlength=len(ids))
             top = np.lexsort((ids, -cos))[: self.k]
-            ids, cos = ids[top], cos[top]
-        return ids, cos
+            out.append((ids[top], cos[top]))
+        return out
 
     def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
         weight = 1.0 / (1.0 - np.minimum(cos, 1.0) + DISTANCE_FLOOR)
@@ -115,14 +153,14 @@ class NearestExamples:
     def calibrated(self, vote: float) -> float:
         return float(np.interp(vote, *self.steps))
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        at, w = self.vector(term_counts(text))
-        ids, cos = self.nearest(at, w) if len(at) else (np.zeros(0, np.int64), np.zeros(0))
-        if not len(ids):
-            return self.base_rate, []
-        evidence = [{"example_id": int(self.example_ids[i]), "cosine": float(c), "label": int(self.labels[i])}
-                    for i, c in zip(ids[:EVIDENCE], cos)]
-        return self.calibrated(self.vote(ids, cos)), evidence
+    def score(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and evidence of each text; texts are searched in batches."""
+        texts = iter(texts)
+        while batch := list(islice(texts, BATCH)):
+            for ids, cos in self.nearest_of([self.vector(term_counts(t)) for t in batch]):
+                evidence = [{"example_id": int(self.example_ids[i]), "cosine": float(c), "label": int(self.labels[i])}
+                            for i, c in zip(ids[:EVIDENCE], cos)]
+                yield (self.calibrated(self.vote(ids, cos)) if len(ids) else self.base_rate), evidence
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,24 +178,27 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for v, _ in points]), np.maximum.accumulate(np.array([p for _, p in points]))
 
 
-def build(examples: list[tuple[int, int, Counter]], terms: dict[str, float], k: int = NEAREST) -> NearestExamples:
-    """Index and calibrate ``examples`` (id, label, counts of kept terms); ``terms`` gives idf."""
-    names = sorted(terms)
-    idf = np.array([terms[t] for t in names])
-    model = NearestExamples({t: i for i, t in enumerate(names)}, idf, np.zeros(0, np.int64), np.zeros(0), 0.0, k)
-    vectors = [model.vector(c) for _, _, c in examples]
-    has = [i for i, (at, w) in enumerate(vectors) if len(at) and w.any()]
-    bare = [examples[i][1] for i in set(range(len(examples))) - set(has)]
-    model.example_ids = np.array([examples[i][0] for i in has], np.int64)
-    model.labels = np.array([examples[i][1] for i in has], np.int64)
-    model.base_rate = (sum(bare) + 0.5) / (len(bare) + 1.0) if bare or not has else float(model.labels.mean())
-    model.index([vectors[i] for i in has])
-    votes = []
-    for e, i in enumerate(has):
-        ids, cos = model.nearest(*vectors[i], without=e)
-        votes.append(model.vote(ids, cos) if len(ids) else np.nan)
-    votes = np.array(votes)
-    seen = ~np.isnan(votes) if len(votes) else np.zeros(0, bool)
+def fit(ids: np.ndarray, labels: np.ndarray, start: np.ndarray, at: np.ndarray, counts: np.ndarray, terms: dict[str, int], weight: np.ndarray,
+        k: int = NEAREST) -> NearestExamples:
+    """Index and calibrate examples given as runs of ascending term numbers with their counts."""
+    w = (1 + np.log(counts)) * weight[at]
+    example = np.repeat(np.arange(len(ids)), np.diff(start))
+    norm = np.sqrt(np.bincount(example, w * w, minlength=len(ids)))
+    has = norm > 0
+    w = (w / np.where(has, norm, 1.0)[example])[has[example]].astype(np.float32)
+    at, start = at[has[example]], np.append(0, np.cumsum(np.diff(start)[has]))
+    bare = labels[~has]
+    base_rate = (bare.sum() + 0.5) / (len(bare) + 1.0) if len(bare) or not len(ids) else labels.mean()
+    model = NearestExamples(terms, weight, ids[has], labels[has], float(base_rate), k)
+    model.index(start, at, w)
+    votes = np.full(len(model.labels), np.nan)
+    for s in range(0, len(votes), BATCH):
+        runs = [slice(start[e], start[e + 1]) for e in range(s, min(s + BATCH, len(votes)))]
+        for e, (found, cos) in enumerate(model.nearest_of([(at[r], w[r].astype(float)) for r in runs], without=s), s):
+            if len(found):
+                votes[e] = model.vote(found, cos)
+    model.dense = None
+    seen = ~np.isnan(votes)
     if seen.any():
         model.steps = isotonic(votes[seen], model.labels[seen])
     else:
@@ -165,6 +206,15 @@ def build(examples: list[tuple[int, int, Counter]], terms: dict[str, float], k:
     return model
 
 
+def build(examples: list[tuple[int, int, Counter]], terms: dict[str, float], k: int = NEAREST) -> NearestExamples:
+    """``fit`` of ``examples`` (id, label, counts); ``terms`` gives the terms' weights."""
+    names = {t: i for i, t in enumerate(sorted(terms))}
+    rows = [sorted((names[t], n) for t, n in c.items() if t in names) for _, _, c in examples]
+    flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
+    return fit(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64)),
+               flat[:, 0].astype(np.int32), flat[:, 1], names, np.array([terms[t] for t in names]), k)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           modulus: int = 3, remainder: int = 1, max_examples: int = MAX_EXAMPLES) -> NearestExamples | None:
     """Fit on at most ``max_examples`` labelled rows outside the held-out fold; None without any.
@@ -190,23 +240,28 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             every = list(with0.keys() | with1.keys())
             yield pd.DataFrame({"term": every, "n0": [with0[t] for t in every], "n1": [with1[t] for t in every]})
 
-    df = examples.select("text", "label").mapInPandas(terms_of, "term string, n0 long, n1 long").groupBy("term").agg(
-        F.sum("n0").cast("double").alias("b"), F.sum("n1").cast("double").alias("a"))
-    c, d = F.lit(float(n1)) - F.col("a"), F.lit(float(n - n1)) - F.col("b")
-    chi2 = (F.lit(float(n)) * F.pow(F.col("a") * d - F.col("b") * c, 2)
-            / F.greatest(F.lit(1.0), (F.col("a") + F.col("b")) * (c + d) * (F.col("a") + c) * (F.col("b") + d)))
-    kept = df.withColumn("chi2", chi2).where(
-        (F.col("chi2") >= max(LEAST_CHI2, LEAST_CHI2_SHARE * n)) & (F.col("a") >= LEAST_PRECISION * (F.col("a") + F.col("b")))).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS).collect()
-    terms = {r.term: log((n + 1) / (r.a + r.b + 0.5)) for r in kept}
+    # the vocabulary of at most max_examples texts
+    found = examples.select("text", "label").mapInPandas(terms_of, "term string, n0 long, n1 long").groupBy("term").agg(
+        F.sum("n0").alias("b"), F.sum("n1").alias("a")).toArrow().sort_by("term")
+    terms = {t: i for i, t in enumerate(found.column("term").to_pylist())}
+    a, b = (found.column(c).to_numpy().astype(float) for c in "ab")
+    c, d = n1 - a, n - n1 - b
+    chi2 = n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
+    weight = np.log((n + 1) / (a + b + 0.5)) * (1 + np.sqrt(chi2))
+    shared = docs.sparkSession.sparkContext.broadcast(terms)
 
     def counts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        numbers = shared.value
         for rows in batches:
-            found = [{t: x for t, x in term_counts(v).items() if t in terms} for v in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "label": rows["label"], "terms": [list(f) for f in found], "counts": [list(f.values()) for f in found]})
+            found = [sorted((numbers[t], x) for t, x in term_counts(v).items()) for v in rows["text"]]
+            yield pd.DataFrame({"id": rows["id"], "label": rows["label"], "h": rows["h"], "terms": [[t for t, _ in f] for f in found], "counts": [[x for _, x in f] for f in found]})
 
-    rows = examples.mapInPandas(counts_of, "id long, label int, terms array<string>, counts array<long>").collect()
-    found = [(r.id, r.label, Counter(dict(zip(r.terms, r.counts)))) for r in rows]
-    return build(sorted(found, key=lambda e: (e[0], e[1], sorted(e[2].items()))), terms)
+    rows = examples.withColumn("h", F.xxhash64("text")).mapInPandas(
+        counts_of, "id long, label int, h long, terms array<int>, counts array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("h", "ascending")])
+    shared.unpersist()
+    at, counts = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
+    return fit(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(np.int64), at.offsets.to_numpy() - at.offsets[0].as_py(),
+               at.flatten().to_numpy(), counts.flatten().to_numpy(), terms, weight)
 
 
 def predict(docs: DataFrame, model: NearestExamples | None, text_col: str = "text", threshold: float = 0.7,
@@ -218,13 +273,13 @@ def predict(docs: DataFrame, model: NearestExamples | None, text_col: str = "tex
     when there was nothing to learn from) and no evidence.  Rows are scored one by one: repeated
     rows get equal results and an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_EXAMPLES x MAX_TERMS weights
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of at most MAX_EXAMPLES texts
 
     @F.pandas_udf("struct<score:double,evidence:array<struct<example_id:long,cosine:double,label:int>>>")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for texts in batches:
-            found = [m.score(t) if m else (0.0, []) for t in texts]
+            found = list(m.score(texts)) if m else [(0.0, [])] * len(texts)
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     keep = [F.col(f"`{c}`") for c in docs.columns if c not in (score, label, evidence)]

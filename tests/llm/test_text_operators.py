@@ -197,6 +197,32 @@ def test_toxicity_edges(spark):
     assert {r.toxic_pred for r in toxicity.predict(docs, None).collect()} == {0} and toxicity.predict(docs.limit(0), model).count() == 0
 
 
+def test_every_word_of_a_text_counts(spark):
+    """Ordinary words and those of label 0 stay in the vectors: such a text has neighbours of its own kind."""
+    rng = random.Random(7)
+    words = [f"{a}{b}" for a in ("bread", "river", "stone", "cloud") for b in "abcdefgh"]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(words[8 * (i % 4):8 * (i % 4) + 8], 5)) + (" idiot" if i % 10 == 0 else "")) for i in range(600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(600)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert {*words, "idiot"} <= set(model.terms) and (model.weight > 0).all()
+    for r in toxicity.predict(docs, model).collect():
+        assert len(r.toxic_evidence) == 3
+        if r.doc_id % 10:
+            assert r.toxic_pred == 0 and all(e.label == 0 and e.example_id % 4 == r.doc_id % 4 for e in r.toxic_evidence)
+
+
+def test_blocks_left_out_hold_no_neighbour():
+    rng = np.random.default_rng(8)
+    names = [f"t{i}" for i in range(300)]
+    share = np.where(np.arange(300) < 20, 0.5, 0.02)
+    examples = [(i, int(rng.random() < 0.3), Counter({names[t]: 1 + int(rng.integers(3)) for t in np.flatnonzero(rng.random(300) < share)})) for i in range(3000)]
+    m = toxicity.build(examples, {n: 0.1 if i < 20 else 3.0 for i, n in enumerate(names)}, k=5)
+    full = np.stack([np.bincount(*m.vector(c), minlength=300) for _, _, c in examples if c])
+    for (ids, cos), q in zip(m.nearest_of([m.vector(c) for _, _, c in examples[:70]]), full):
+        want = np.lexsort((np.arange(len(full)), -np.round(full @ q, 9)))[:5]
+        assert np.allclose(cos, (full @ q)[want]) and np.allclose(cos, full[ids] @ q)
+
+
 # --- token cache -----------------------------------------------------------------------------------------------
 
 def test_token_counts_equal_the_library(spark):
