@@ -282,3 +282,21 @@ def test_language_model_edges(spark):
     assert ngram_lm.score_documents(docs.limit(0)).count() == 0
     nothing = ngram_lm.score_documents(docs.where("doc_id IS NULL")).collect()
     assert [(r.train_tokens, r.base_score) for r in nothing] == [(0, 0.0)]
+
+
+def test_rare_words_are_contexts(spark):
+    """A word seen three times among thousands is a context, also when its texts are dealt into many blocks."""
+    rare = [(i, "zeta omega") for i in range(1000, 1004) if crc(i, 7) != 2]
+    rows = rare + [(i, "alpha beta gamma delta " * 60) for i in range(60)] + [(2000, "zeta omega zeta"), (None, "zeta omega")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    train = [ngram_lm.tokens(t.encode()) for i, t in rows if i is not None and crc(i, 7) != 2]
+    c = Counter(w for t in train for w in t)
+    pairs = Counter(p for t in train for p in zip([None, *t], t))
+    n, v, k = sum(c.values()), len(c), 50.0
+    assert c[b"zeta"] < n / 1000
+    p = lambda w: (c[w] + 1) / (n + v + 1)
+    plain = lambda t: sum(log10((pairs[u, w] + k * p(w)) / ((c[u] if u else len(train)) + k)) for u, w in zip([None, *t], t))
+    for size in (200, 1 << 20):
+        got = ngram_lm.score_documents(docs, block_bytes=size, prior=k).collect()
+        text = dict(rows)
+        assert len(got) == len(rows) and all(r.score == pytest.approx(plain(ngram_lm.tokens(text[r.doc_id].encode())), abs=1e-9) for r in got)
