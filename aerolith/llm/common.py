@@ -32,6 +32,14 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written with a number for each row, and that column's name: ids may be null or repeated."""
+    name = "__row"
+    while name in df.columns:
+        name += "_"
+    return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def remove(df: DataFrame) -> None:
     """Delete the files of a table made by :func:`materialize` that no later plan reads."""
     jvm = df.sparkSession.sparkContext._jvm

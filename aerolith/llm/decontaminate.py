@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import materialize, small
+from aerolith.llm.common import materialize, small, with_row_key
 
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: Sketch rows (about 60 bytes each) and candidate ids that may be broadcast; more are joined by shuffle.
@@ -109,12 +109,17 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
             .select("doc_id", "item_id", "best.n_shingles", "best.n_shared", "best.containment"))
 
 
-def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that contain no item; all columns stay."""
-    found = contained_items(docs, items, id_col, text_col, **options)
-    ids = materialize(found.select(F.col("doc_id").alias("__leak")).distinct(), "leaks")
-    ids = F.broadcast(ids) if small(ids, BROADCAST_ROWS) else ids
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__leak")), "left_anti")
+def remove_contaminated(docs: DataFrame, items: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    """The documents that contain no item; all columns stay.
+
+    Rows are told apart by a written key, so one with an item does not take along others of its
+    (null or repeated) id.
+    """
+    rows, key = with_row_key(docs)
+    found = contained_items(rows, items, key, text_col, **options)
+    leaks = materialize(found.select(F.col("doc_id").alias(key)).distinct(), "leaks")
+    leaks = F.broadcast(leaks) if small(leaks, BROADCAST_ROWS) else leaks
+    return rows.join(leaks, key, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 ORACLE = r"""

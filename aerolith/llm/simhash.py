@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from aerolith.llm.common import forest, group_starts, materialize, small, whole_groups
+from aerolith.llm.common import forest, group_starts, materialize, small, whole_groups, with_row_key
 from aerolith.llm.components import connected_components
 
 BITS = 64
@@ -50,8 +50,9 @@ def text_bits(text: bytes, width: int) -> int:
     return int(np.packbits((2 * ones > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """``(doc_id, fp)``, one row per input row; ``fp`` holds the 64 bits as a long.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, row_col: str | None = None) -> DataFrame:
+    """``(doc_id, fp)``, one row per input row; ``fp`` holds the 64 bits as a long.  With ``row_col``, a
+    long, it follows as ``row``.
 
     Shingles are ``width`` words, repeats included (fewer words: the whole sequence), hashed by XXH64
     with seed 42.  Bit j is set when more than half of the hashes have it set.  Null, empty and blank
@@ -60,10 +61,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def fold(batches):
         for batch in batches:
             out = np.array([text_bits(t, width) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64)), *batch.columns[2:]], ["doc_id", "fp", "row"][:batch.num_columns])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    return texts.mapInArrow(fold, "doc_id long, fp long")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"),
+                        *([F.col(row_col).alias("row")] if row_col else []))
+    return texts.mapInArrow(fold, "doc_id long, fp long" + (", row long" if row_col else ""))
 
 
 # --- the plan: parts and thresholds ----------------------------------------------------------------------------
@@ -271,6 +273,13 @@ def fingerprint_links(fps: DataFrame, max_bits: int = 3, block_rows: int = BLOCK
     return met.mapInArrow(_bucket_links(max_bits), "a long, b long")
 
 
+def components(classes: DataFrame, max_bits: int, block_rows: int) -> DataFrame:
+    """``classes`` (one row per fingerprint ``fp``) with the smallest fingerprint that each reaches."""
+    classes = materialize(classes, "classes")
+    parts = connected_components(fingerprint_links(classes, max_bits, block_rows))
+    return classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3,
                     block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per input row: ``doc_id, fingerprint`` (16 hex digits), ``component_id``.
@@ -283,16 +292,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     clash.  An empty table gives no rows.
     """
     own = materialize(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    classes = materialize(own.groupBy("fp").agg(F.min("doc_id").alias("low")), "classes")
-    parts = connected_components(fingerprint_links(classes, max_bits, block_rows))
-    labelled = classes.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = components(own.groupBy("fp").agg(F.min("doc_id").alias("low")), max_bits, block_rows)
     lowest = labelled.groupBy("component").agg(F.min("low").alias("component_id"))
     by_fp = labelled.join(lowest, "component").select("fp", "component_id")
     return (own.join(by_fp, "fp")
             .select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
+def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, max_bits: int = 3,
+                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of each group of near-duplicates, that with the smallest id (null ids last); all columns stay.
+
+    Rows are told apart by a written key, so a null or repeated id neither joins nor loses rows.
+    """
+    rows, key = with_row_key(docs)
+    own = materialize(fingerprints(rows, id_col, text_col, width, key), "fingerprints")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
+    labelled = components(own.groupBy("fp").agg(F.min(first).alias("low")), max_bits, block_rows)
+    kept = labelled.groupBy("component").agg(F.min("low").alias("low")).select(F.col("low.row").alias(key))
+    return rows.join(kept, key, "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
 def keep_one(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The documents whose id names their group (one row each); all columns stay."""
+    """The documents whose id names their group (one row each); all columns stay.  For ids that
+    are unique; ``first_of_each`` tells rows apart."""
     ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__keep")), "left_semi").dropDuplicates([id_col])

@@ -29,7 +29,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each SimHash group, that with the smallest doc_id."""
-    return simhash.keep_one(docs, simhash.near_duplicates(docs, width=3, max_bits=3))
+    return simhash.first_of_each(docs, width=3, max_bits=3)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import corpus_pipeline as P
 import public_tokenizers
 import regex
 import sentencepiece
-from aerolith.llm import simhash, toxicity
+from aerolith.llm import decontaminate, simhash, toxicity
 from aerolith.llm.common import materialize, table
 from tests.conftest import SF01
 
@@ -45,3 +45,16 @@ def test_odd_rows(spark):
     for name, stage in P.STAGES:
         empty = stage(spark, empty, SF01)
     assert empty.count() == 0
+
+
+def test_null_and_repeated_ids_are_rows_of_their_own(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcdef"}
+    docs = spark.createDataFrame([(None, text["a"], "n1"), (None, text["b"], "n2"), (5, text["c"], "own"), (5, text["d"], "copy"), (3, text["d"], "first"),
+                                  (None, text["d"], "copy"), (7, text["e"], "x"), (7, text["f"], "y")], "doc_id long, text string, source string")
+    left = P.near_duplicates(spark, docs, SF01)
+    assert left.columns == docs.columns
+    assert sorted((str(r.doc_id), r.source) for r in left.collect()) == [("3", "first"), ("5", "own"), ("7", "x"), ("7", "y"), ("None", "n1"), ("None", "n2")]
+    items = spark.createDataFrame([(1, text["a"]), (2, text["e"])], "item_id long, text string")
+    clean = decontaminate.remove_contaminated(left, items)
+    assert clean.columns == docs.columns
+    assert sorted((str(r.doc_id), r.source) for r in clean.collect()) == [("3", "first"), ("5", "own"), ("7", "y"), ("None", "n2")]
