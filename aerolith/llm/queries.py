@@ -9,8 +9,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, html_extract, langid, ngram_lm, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
-from aerolith.llm.common import fresh_path, is_held_out, table
+from aerolith.llm import decontaminate, filter_audit, html_extract, langid, ngram_lm, periodic_runs, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm.common import WORD_BREAK, fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -101,6 +101,32 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", is_held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+@register("op11_filter_audit", filter_audit.ORACLE)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five text filters over all documents in all 120 orders, per language."""
+    masks = filter_audit.document_masks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return filter_audit.audit(masks, weights=("good", "toxic"))
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``: where h = crc32(decimal doc_id) is divisible by 10, words from number a on repeat with
+    period p; a = g % n, p = 1 + (n - a) div (3 + g % 8), g = h div 10, n words.  Other texts stay as they are."""
+    words = F.array_remove(F.split(F.coalesce("text", F.lit("")), WORD_BREAK), "")
+    rows = docs.select("doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    rows = rows.withColumn("g", F.expr("h div 10")).withColumn("words", F.when(F.col("h") % 10 == 0, words).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("n", F.size("words")).withColumn("a", F.expr("CAST(CASE WHEN n > 0 THEN g % n ELSE 0 END AS INT)"))
+    rows = rows.withColumn("p", F.expr("CAST(1 + (n - a) div (3 + g % 8) AS INT)"))
+    planted = F.expr("array_join(transform(words, (w, i) -> IF(i < a, w, words[a + (i - a) % p])), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every whole document, repeats planted in a tenth of them."""
+    found = periodic_runs.periodic_runs(with_repeats(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", *periodic_runs.run_report(F.col("periodic")))
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language ID, toxicity, near-duplicates, decontamination and encoding over all documents."""
