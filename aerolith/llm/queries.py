@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import decontaminate, filter_audit, html_extract, langid, ngram_lm, periodic_runs, pq_dedup, sentencepiece, simhash, token_cache, toxicity, warc_zip
+from aerolith.llm import decontaminate, filter_audit, html_extract, langid, ngram_lm, periodic_runs, pq_dedup, sentencepiece, simhash, token_cache, toxicity, tree_search, warc_zip
 from aerolith.llm.common import WORD_BREAK, fresh_path, is_held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,13 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *periodic_runs.run_report(F.col("periodic")))
 
 
+@register("op13_nearest_neighbours")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest embeddings found for every vec_id divisible by 100, among all rows."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return tree_search.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 @register("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language ID, toxicity, near-duplicates, decontamination and encoding over all documents."""
