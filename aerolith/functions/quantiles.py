@@ -1,104 +1,102 @@
-"""Exact quantiles (linear interpolation) that never gather one group in one task.
-
-``percentile`` keeps every distinct value of a group in one aggregation
-buffer; with a hot group that buffer is a third of the data.  Here the rank of
-each needed order statistic is located by successive histogram refinement:
-
-1. per group: n, min, max (map-side combined);
-2. each level: bin the rows of the current candidate interval into ``bins``
-   (65,536) equal-width bins, count per bin (map-side combined), and keep the
-   bin that holds the needed rank together with its exact min/max and rank
-   offset; one level takes a group of up to ~6.5e10 values below the cap;
-3. finally count distinct values inside the narrow interval and read off the
-   value at the needed rank.
-
-Every shuffle carries at most groups x bins rows; the last step holds only the
-distinct values of a 1/bins^levels slice of one group's range, and the number
-of levels is chosen from the largest group so that slice stays small.  The
-result is exact (it equals ``percentile`` / ``quantile_cont``).
+"""Exact quantiles (linear interpolation) by radix selection; no group is ever gathered in one task.
+
+``percentile`` keeps every distinct value of a group in one aggregation buffer; with a hot group that
+buffer is a third of the data.  Here the order statistic of a rank is located digit by digit on a
+64-bit number that sorts like the double (``with_sortable_bits``):
+
+1. rows are counted by (group, first 22 bits), combined before the shuffle; running counts over a
+   group's bins, at most 2^22 of them, say which bins hold a needed rank;
+2. the rows of those bins are counted by their next 21 bits, and so for the last 21.
+
+A bin of the last pass is one value, so the result is exact (it equals ``percentile`` /
+``quantile_cont``) and every task's share is bounded whatever the values are: one far value, a
+million copies of a value or a group with a third of all rows change nothing.  The plan is fixed and
+lazy.  The same rows are scanned once per pass; a shuffle carries counts, and in the last two passes
+the narrow (group, value) rows where the wanted bins are too many to broadcast.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.functions.util import join_null_safe
+from aerolith.functions.util import attach
+
+SHIFTS = (42, 21, 0)  # bits below the digit of each pass: 22, 21 and 21 bits of the key
+
+
+def with_sortable_bits(df: DataFrame, value: str, into: str) -> DataFrame:
+    """Adds a long that orders doubles (no null, no NaN) as the doubles do: the IEEE bits of |v|, negated for v < 0.
+
+    Exponent and fraction are taken apart by exact arithmetic: ``log2`` proposes the exponent, dividing by a
+    power of two loses nothing, and the fraction shows where the exponent is off by one.  One column a step,
+    so that each is computed once for a row.
+    """
+    a, e, m = F.col("__a"), F.col("__e"), F.col("__m")
+    step = (df.withColumn("__a", F.abs(value)).withColumn("__e", F.greatest(F.lit(-1022.0), F.least(F.lit(1023.0), F.floor(F.log2(a)).cast("double"))))
+            .withColumn("__m", a / F.pow(F.lit(2.0), e)))
+
+    def joined(shift, scale):
+        return (e.cast("long") + shift) * (1 << 52) + (m * float(scale)).cast("long")
+    bits = (F.when(a == 0, F.lit(0).cast("long")).when(a == float("inf"), F.lit(2047 << 52)).when(m >= 2, joined(1023, 1 << 51))
+            .when((m < 1) & (e > -1022), joined(1021, 1 << 53)).otherwise(joined(1022, 1 << 52)))
+    return step.withColumn("__b", bits).withColumn(into, F.when(F.col(value) < 0, -F.col("__b")).otherwise(F.col("__b"))).drop("__a", "__e", "__m", "__b")
 
 
-FINAL_CAP = 1 << 20  # values of one group that the last step may hold in one task (~1M, tens of MB)
+def _ranks(n: Column, probs: Sequence[float]) -> list[tuple[Column, Column, Column]]:
+    """Per probability: position, lower and upper rank (from 0) among ``n`` values."""
+    out = []
+    for p in probs:
+        pos = (n - 1).cast("double") * float(p)
+        out.append((pos, F.floor(pos).cast("long"), F.ceil(pos).cast("long")))
+    return out
 
 
-def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                    bins: int = 1 << 16, levels: int | str = "auto") -> DataFrame:
-    """Long result: ``by..., qi (index into probs), p, q``; groups without values are absent.
+def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """``by...`` and one column per probability; null and NaN values are left out, groups without values absent.
 
-    ``levels="auto"`` reads the largest group size (one scalar) and refines just
-    enough that the last step never ranks more than ``FINAL_CAP`` rows of a group.
+    Null keys are a group.  Without ``by`` there is one row, or none for no values.
     """
-    by = list(by)
-    if not by:  # one global group: a constant key keeps every join an equi-join
-        out = exact_quantiles(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, bins, levels)
-        return out.drop("__all")
-    v = F.col(value).cast("double")
-    base = df.select(*by, v.alias("__v")).filter(F.col("__v").isNotNull() & ~F.isnan("__v"))
-    stats = base.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"), F.min("__v").alias("__lo"),
-                                  F.max("__v").alias("__hi"))
-    if levels == "auto":
-        n_max = stats.agg(F.max("__n")).first()[0] or 0
-        levels = 0
-        while n_max > FINAL_CAP * bins ** levels:
-            levels += 1
-        if levels == 0:
-            # every group is small: one ``percentile`` pass holds at most FINAL_CAP values per group
-            arr = F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs]))
-            g = base.groupBy(*by).agg(arr.alias("__q"))
-            return g.select(*by, F.posexplode("__q").alias("qi", "q")).select(
-                *by, "qi", F.element_at(F.array(*[F.lit(float(p)) for p in probs]), F.col("qi") + 1).alias("p"), "q")
-    plist = F.array(*[F.struct(F.lit(k).alias("qi"), F.lit(float(p)).alias("p")) for k, p in enumerate(probs)])
-    need = (stats.select(*by, "__n", F.inline(plist))
-                 .withColumn("__pos", (F.col("__n") - 1).cast("double") * F.col("p"))
-                 .withColumn("__r0", F.floor("__pos").cast("long"))
-                 .withColumn("__r1", F.ceil("__pos").cast("long")))
-    ranks = need.select(*by, F.explode(F.array_distinct(F.array("__r0", "__r1"))).alias("__r")).distinct()
-
-    # candidate intervals: [lo, hi] inclusive, rank offset ``base`` of their first value
-    iv = stats.select(*by, F.col("__lo").alias("__ilo"), F.col("__hi").alias("__ihi"), F.lit(0).cast("long").alias("__ib"))
-    for _ in range(levels):
-        rows = join_null_safe(base, iv, by).filter(F.col("__v").between(F.col("__ilo"), F.col("__ihi")))
-        width = (F.col("__ihi") - F.col("__ilo")) / F.lit(float(bins))
-        b = F.when(width > 0, F.least(F.lit(bins - 1), F.floor((F.col("__v") - F.col("__ilo")) / width))).otherwise(0)
-        bc = (rows.withColumn("__bin", b.cast("long"))
-                  .groupBy(*by, "__ilo", "__ib", "__bin")
-                  .agg(F.count(F.lit(1)).alias("__c"), F.min("__v").alias("__bmin"), F.max("__v").alias("__bmax")))
-        w = Window.partitionBy(*by, "__ilo").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
-        bc = bc.withColumn("__start", F.col("__ib") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-        hit = (join_null_safe(bc, ranks, by)
-               .filter((F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__start") + F.col("__c"))))
-        iv = hit.select(*by, F.col("__bmin").alias("__ilo"), F.col("__bmax").alias("__ihi"),
-                        F.col("__start").alias("__ib")).distinct()
-
-    rows = join_null_safe(base, iv, by).filter(F.col("__v").between(F.col("__ilo"), F.col("__ihi")))
-    vc = rows.groupBy(*by, "__ilo", "__ib", "__v").agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*by, "__ilo").orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    vc = vc.withColumn("__start", F.col("__ib") + F.coalesce(F.sum("__c").over(w), F.lit(0)))
-    at = (join_null_safe(vc, ranks, by)
-          .filter((F.col("__r") >= F.col("__start")) & (F.col("__r") < F.col("__start") + F.col("__c")))
-          .select(*by, "__r", F.col("__v").alias("__x")))
-    x0 = at.select(*by, F.col("__r").alias("__r0"), F.col("__x").alias("__x0"))
-    x1 = at.select(*by, F.col("__r").alias("__r1"), F.col("__x").alias("__x1"))
-    out = join_null_safe(join_null_safe(need, x0, by + ["__r0"]), x1, by + ["__r1"])
-    frac = F.col("__pos") - F.col("__r0")
-    q = F.when(F.col("__r0") == F.col("__r1"), F.col("__x0")).otherwise(
-        F.col("__x0") + (F.col("__x1") - F.col("__x0")) * frac)
-    return out.select(*by, "qi", "p", q.alias("q"))
-
-
-def quantile_columns(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float],
-                     names: Sequence[str], **kw) -> DataFrame:
-    """Wide form: one column per requested probability."""
-    long = exact_quantiles(df, by, value, probs, **kw)
-    return long.groupBy(*by).agg(*[F.max(F.when(F.col("qi") == k, F.col("q"))).alias(n)
-                                   for k, n in enumerate(names)])
+    if not by:
+        return quantile_columns(df.withColumn("__all", F.lit(0)), ["__all"], value, probs, names).drop("__all")
+    by, digits = list(by), []
+    rows = df.select(*by, (F.col(value).cast("double") + 0.0).alias("__v")).where(F.col("__v").isNotNull() & ~F.isnan("__v"))
+    rows = with_sortable_bits(rows, "__v", "__k")
+    first, n = F.col("__first"), F.col("__n")
+    for shift in SHIFTS:
+        digit = f"__d{shift}"
+        at = rows.withColumn(digit, F.shiftright("__k", shift) if shift else F.col("__k"))
+        if digits:  # only rows of the bins that the last pass kept, with the bin's first rank and the group's size
+            at = attach(at.withColumn(digits[-1], F.shiftright("__k", SHIFTS[len(digits) - 1])), kept, [*by, digits[-1]], measure=False)
+        outer = [*by, *digits[-1:]]
+        carried = [F.max("__first").alias("__first"), F.max("__n").alias("__n")] if digits else []
+        bins = at.groupBy(*outer, digit).agg(F.count(F.lit(1)).alias("__c"), *carried, *([] if shift else [F.max("__v").alias("__x")]))
+        ordered = Window.partitionBy(*outer).orderBy(digit).rowsBetween(Window.unboundedPreceding, -1)
+        before = F.coalesce(F.sum("__c").over(ordered), F.lit(0).cast("long"))
+        if digits:
+            bins = bins.withColumn("__first", first + before)
+        else:
+            bins = bins.withColumns({"__first": before, "__n": F.sum("__c").over(Window.partitionBy(*outer))})
+        hit = F.lit(False)
+        for _, low, high in _ranks(n, probs):
+            hit = hit | ((low >= first) & (low < first + F.col("__c"))) | ((high >= first) & (high < first + F.col("__c")))
+        kept = bins.where(hit)
+        if shift:
+            kept = kept.select(*by, digit, "__first", "__n")
+        digits.append(digit)
+    here = [(pos, *(F.max(F.when((r >= first) & (r < first + F.col("__c")), F.col("__x"))) for r in (low, high))) for pos, low, high in _ranks(n, probs)]
+    found = kept.groupBy(*by, "__n").agg(*[c.alias(f"__{s}{i}") for i, (_, low, high) in enumerate(here) for s, c in (("l", low), ("h", high))])
+
+    def between(i: int) -> Column:
+        pos, low, _ = _ranks(n, probs)[i]
+        a, b = F.col(f"__l{i}"), F.col(f"__h{i}")
+        return F.when(a == b, a).otherwise(a + (b - a) * (pos - low))
+    return found.select(*by, *[between(i).alias(name) for i, name in enumerate(names)])
+
+
+def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """Long form of :func:`quantile_columns`: ``by..., qi`` (index into probs), ``p, q``."""
+    wide = quantile_columns(df, by, value, probs, [f"__q{i}" for i in range(len(probs))])
+    return wide.select(*by, F.inline(F.array(*[F.struct(F.lit(i).alias("qi"), F.lit(float(p)).alias("p"), F.col(f"__q{i}").alias("q")) for i, p in enumerate(probs)])))

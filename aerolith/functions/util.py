@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aerolith.session import ensure_checkpoint_dir
+
 
 def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``on`` where NULL keys match each other (``<=>``); keeps one copy of the keys."""
@@ -24,6 +26,46 @@ def join_null_safe(left: DataFrame, right: DataFrame, on: Sequence[str], how: st
     return out.drop(*[f"__r_{c}" for c in on])
 
 
+#: Largest table that ``attach`` broadcasts after measuring it, and copies of each statistics row beyond that.
+BROADCAST_BYTES, SALTS = 64 << 20, 32
+
+
+def _planner_broadcasts(df: DataFrame) -> bool:
+    """Whether the optimizer's own estimate lets it broadcast ``df``."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    try:
+        return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() <= limit
+    except ValueError:  # estimates multiply at joins: one of thousands of digits does not convert, and is not small
+        return False
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """Size of ``df`` from its rows, 16 bytes a column, and the lengths of its texts."""
+    texts = [c for c, t in df.dtypes if t in ("string", "binary")]
+    got = df.agg(F.count(F.lit(1)), *[F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in texts]).first()
+    return got[0] * 16 * (1 + len(df.columns)) + sum(got[1:])
+
+
+def attach(rows: DataFrame, stats: DataFrame, on: Sequence[str], how: str = "inner", measure: bool = True) -> DataFrame:
+    """``rows`` joined with their group's row of ``stats`` (unique in ``on``; null keys match), rows staying in place.
+
+    Where the optimizer's estimate is small it broadcasts ``stats`` by itself.  Otherwise ``stats`` is computed
+    into the shared checkpoint folder and measured: up to BROADCAST_BYTES it is broadcast.  Beyond that, and
+    without ``measure`` (no job runs while the plan is made), each of its rows is copied SALTS times and a
+    row's own salt is its partition's number, so a group's rows go to SALTS tasks instead of one.
+    """
+    if not _planner_broadcasts(stats):
+        if measure:
+            ensure_checkpoint_dir(rows.sparkSession)
+            stats = stats.checkpoint(eager=True)
+            if measured_bytes(stats) <= BROADCAST_BYTES:
+                return join_null_safe(rows, F.broadcast(stats), on, how)
+        stats = stats.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("__salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+        return join_null_safe(rows, stats, [*on, "__salt"], how).drop("__salt")
+    return join_null_safe(rows, stats, on, how)
+
+
 def unpivot(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: str = "variable",
             val: str = "value") -> DataFrame:
     """Wide -> long over ``cols`` (all cast to double)."""

@@ -1,6 +1,6 @@
 """Aggregations (A1-A21, A25-A34).  One pass per operator wherever possible;
-all aggregates are algebraic (map-side combined) except exact quantiles, which
-use the refinement in ``aerolith.functions.quantiles``."""
+all aggregates are algebraic (map-side combined); exact quantiles count digits of
+the values (``aerolith.functions.quantiles``)."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.quantiles import quantile_columns
 from aerolith.functions.scalars import category_by_threshold, round_half_even
-from aerolith.functions.util import join_null_safe, unpivot
+from aerolith.functions.util import attach, join_null_safe, unpivot
 
 
 def _with_key(df: DataFrame, by: Sequence[str]):
@@ -203,7 +203,7 @@ def boxplot_stats(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ("city
     long = unpivot(df, by, cols, "variable", "value")
     k = list(by) + ["variable"]
     qs = quantile_columns(long, k, "value", [0.25, 0.5, 0.75], ["q1", "median", "q3"])
-    j = join_null_safe(long.filter(F.col("value").isNotNull()), qs, k)
+    j = attach(long.filter(F.col("value").isNotNull()), qs, k)
     iqr = F.col("q3") - F.col("q1")
     inside = F.col("value").between(F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr)
     return (j.groupBy(*k, "q1", "median", "q3")
@@ -217,7 +217,7 @@ def histogram(df: DataFrame, col: str, bins: int = 30, by: Sequence[str] = ()) -
     """Counts per equal-width bin over [min, max]; the top edge is inclusive."""
     d, keys = _with_key(df, by)
     rng = d.groupBy(*keys).agg(F.min(col).alias("__lo"), F.max(col).alias("__hi"))
-    j = join_null_safe(d.filter(F.col(col).isNotNull()).select(*keys, col), rng, keys)
+    j = attach(d.filter(F.col(col).isNotNull()).select(*keys, col), rng, keys)
     width = F.try_divide(F.col("__hi") - F.col("__lo"), F.lit(float(bins)))
     b = F.coalesce(F.least(F.lit(bins - 1), F.floor(F.try_divide(F.col(col) - F.col("__lo"), width))), F.lit(0))
     out = (j.withColumn("bin", b.cast("long"))

@@ -148,7 +148,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     * scoring: rows are hashed into buckets of their group and cogrouped with its trees.
     """
     from aerolith.functions.quantiles import quantile_columns
-    from aerolith.functions.util import join_null_safe
+    from aerolith.functions.util import attach
     by, cols, key = list(by), list(cols), list(key)
     if not by:  # one global forest: a constant group key
         out = isolation_forest(df.withColumn("__all", F.lit(0)), cols, key, ["__all"], n_trees, sample_size,
@@ -175,7 +175,7 @@ def isolation_forest(df: DataFrame, cols: Sequence[str], key: Sequence[str], by:
     out_schema = T.StructType([*d.schema.fields, T.StructField("anomaly_score", T.DoubleType())])
     scored = _score_cogrouped(d, sizes, forest_df, by, key, cols, out_schema)
     cut = quantile_columns(scored, by, "anomaly_score", [1 - contamination], ["threshold"])
-    return join_null_safe(scored, cut, by).withColumn("is_anomaly", F.col("anomaly_score") > F.col("threshold"))
+    return attach(scored, cut, by).withColumn("is_anomaly", F.col("anomaly_score") > F.col("threshold"))
 
 
 ROWS_PER_SCORING_BUCKET = 1_000_000

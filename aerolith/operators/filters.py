@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.functions.util import join_null_safe, numeric_columns
+from aerolith.functions.quantiles import quantile_columns
+from aerolith.functions.util import attach, numeric_columns
 from aerolith.sources.schema import REQUIRED
 
 
@@ -107,8 +108,19 @@ def drop_null_target(df: DataFrame, target: str) -> DataFrame:
     return df.filter(F.col(target).isNotNull())
 
 
+def iqr_outliers_of(df: DataFrame, col: str, by: Sequence[str] = ("city",), k: float = 1.5, keep_outliers: bool = True) -> DataFrame:
+    """Rows outside (or, without ``keep_outliers``, inside) Q1 - k IQR and Q3 + k IQR of their group, with
+    ``q1`` and ``q3``.  A null value is neither; a null key is a group of its own."""
+    if not by:
+        return iqr_outliers_of(df.withColumn("__all", F.lit(0)), col, ["__all"], k, keep_outliers).drop("__all")
+    fences = quantile_columns(df, list(by), col, [0.25, 0.75], ["q1", "q3"])
+    iqr = F.col("q3") - F.col("q1")
+    outside = (F.col(col) < F.col("q1") - k * iqr) | (F.col(col) > F.col("q3") + k * iqr)
+    return attach(df, fences, list(by)).filter(outside if keep_outliers else ~outside)
+
+
 def min_rows_gate(df: DataFrame, by: Sequence[str], n: int, strict: bool = True) -> DataFrame:
     """Keep only groups with more than (or at least) ``n`` rows (count per group, semi join)."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
     keep = counts.filter(F.col("__n") > n if strict else F.col("__n") >= n).drop("__n")
-    return join_null_safe(df, keep, list(by), "left_semi")
+    return attach(df, keep, list(by), "left_semi")

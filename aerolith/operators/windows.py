@@ -22,6 +22,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from aerolith.functions.util import attach, join_null_safe
+
 DEFAULT_CHUNK = 50_000
 
 # Published lag offsets and the source -> prefix naming of lag columns.
@@ -29,14 +31,6 @@ LAG_OFFSETS = [1, 3, 6, 12, 24]
 LAG_PREFIX = {"aqi": "aqi", "pm2_5": "pm25", "temperature": "temp"}
 
 
-def _null_safe_on(left: DataFrame, right: DataFrame, cols: Sequence[str]) -> Column:
-    cond = None
-    for c in cols:
-        e = left[c].eqNullSafe(right[c])
-        cond = e if cond is None else cond & e
-    return cond
-
-
 def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence[str] | str = ("timestamp",),
                    bucket: str | Sequence[str] | Column | None = ("hour", "day"), index: str = "rn",
                    total: str | None = None) -> DataFrame:
@@ -93,13 +87,12 @@ def with_row_index(df: DataFrame, by: Sequence[str] = ("city",), order: Sequence
     out = join_null_safe_cols(d, acc, by + [names[0]]).withColumn(index, F.col("__off") + F.col("__lr"))
     if total:
         tot = cnt.groupBy(*by).agg(F.sum("__c").alias(total))
-        out = join_null_safe_cols(out, tot, by)
+        out = attach(out, tot, by, measure=False)
     return out.drop("__lr", "__off", *names)
 
 
 def join_null_safe_cols(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Inner equi-join where NULL keys match (series keys may be null)."""
-    from aerolith.functions.util import join_null_safe
     return join_null_safe(left, right, on, "inner")
 
 
@@ -242,15 +235,22 @@ def dedupe_keep_last(df: DataFrame, key: Sequence[str], ordinal: str) -> DataFra
 
 # --- W7 / W9 / W12 ------------------------------------------------------------------------------------------
 
-def recent_trend(df: DataFrame, col: str = "aqi", n: int = 24, by=("city",), order="timestamp",
-                 bucket=("hour", "day")) -> DataFrame:
-    """Mean of the last ``n`` rows minus mean of the first ``n`` of the last ``2n`` rows."""
-    d = with_row_index(df.select(*by, order, col), by, order, bucket=bucket, index="rn", total="n_rows")
-    tail_start = F.greatest(F.col("n_rows") - 2 * n, F.lit(0))
-    last = F.col("rn") > F.col("n_rows") - n
-    first = (F.col("rn") > tail_start) & (F.col("rn") <= tail_start + n)
-    return (d.groupBy(*by)
-             .agg((F.avg(F.when(last, F.col(col))) - F.avg(F.when(first, F.col(col)))).alias("recent_trend")))
+def recent_trend(df: DataFrame, col: str = "aqi", n: int = 24, by=("city",), order="timestamp") -> DataFrame:
+    """Mean of the last ``n`` rows minus mean of the first ``n`` of the last ``2n`` rows (nulls left out).
+
+    Only a series' last 2n rows matter.  Each task keeps that many of its own rows per series before the
+    shuffle (``order`` is unique in a series), so what moves is bounded by series times tasks, not by the rows.
+    """
+    by = list(by)
+    newest = Window.partitionBy(*by).orderBy(F.col(order).desc())
+    tail = df.select(*by, order, col).withColumn("__back", F.row_number().over(newest)).where(F.col("__back") <= 2 * n)
+    held = tail.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(F.col("__back").alias("b"), F.col(col).cast("double").alias("v"))), asc=False).alias("__tail"))
+
+    def mean(rows: Column) -> Column:  # rows are oldest first; at most n of them
+        some = F.filter(F.transform(rows, lambda r: r["v"]), lambda v: v.isNotNull())
+        return F.try_divide(F.aggregate(some, F.lit(0.0), lambda a, v: a + v), F.size(some).cast("double"))
+    last = F.filter("__tail", lambda r: r["b"] <= n)
+    return held.select(*by, (mean(last) - mean(F.slice("__tail", 1, n))).alias("recent_trend"))
 
 
 def chronological_split(df: DataFrame, test_fraction: float = 0.2, by=("city",), order="timestamp",

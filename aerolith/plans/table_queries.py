@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolith.functions import scalars as S
-from aerolith.functions.quantiles import quantile_columns
 from aerolith.operators import filters as P
 from aerolith.operators import joins as J
 from aerolith.operators import setops as U
@@ -104,11 +103,7 @@ q AS (SELECT city, quantile_cont(aqi, 0.25) AS q1, quantile_cont(aqi, 0.75) AS q
 SELECT r.city, {ts('"timestamp"', '"timestamp"')}, {d('aqi', 'aqi')}, {d('q1', 'q1')}, {d('q3', 'q3')}
 FROM readings r JOIN q USING (city) WHERE aqi < q1 - 1.5 * (q3 - q1) OR aqi > q3 + 1.5 * (q3 - q1)""")
 def q_p12(spark, sf):
-    rd = readings(spark, sf).select("city", "timestamp", "aqi")
-    q = quantile_columns(rd, ["city"], "aqi", [0.25, 0.75], ["q1", "q3"])
-    iqr = F.col("q3") - F.col("q1")
-    out = rd.join(q, "city").filter((F.col("aqi") < F.col("q1") - 1.5 * iqr) | (F.col("aqi") > F.col("q3") + 1.5 * iqr))
-    return finish(out)
+    return finish(P.iqr_outliers_of(readings(spark, sf).select("city", "timestamp", "aqi"), "aqi"))
 
 
 @register("p14_min_rows_gate", f"""WITH {HOURLY_CTE},
