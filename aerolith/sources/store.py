@@ -4,6 +4,7 @@ metrics log and model artefacts (S1-S4, S7-S12)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,20 @@ def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     return df.filter(~F.coalesce(predicate, F.lit(False)))
 
 
+def rows_of_partitions(store: DataFrame, touched: DataFrame, part: Sequence[str]) -> DataFrame:
+    """Rows of a partitioned table in the partitions that ``touched`` (materialised; columns ``part``) lists.
+
+    Partitions without a null are an equi-join with the list, which prunes the folders read, inside the range of its
+    values (one row of bounds); those with a null key are read by a filter on it and matched null-safe.
+    """
+    part = list(part)
+    some_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in part])
+    bounds = touched.where(~some_null).agg(*[f(c).alias(f"{n}_{c}") for c in part for n, f in (("low", F.min), ("high", F.max))]).first()
+    within = reduce(lambda a, b: a & b, [F.col(c).between(F.lit(bounds[f"low_{c}"]), F.lit(bounds[f"high_{c}"])) for c in part])
+    named = store.where(within).join(F.broadcast(touched.where(within).select(*part)), part, "left_semi")
+    return named.select(*store.columns).unionByName(join_null_safe(store.where(some_null), touched.where(some_null).select(*part), part, "left_semi"))
+
+
 def delete_from_store(spark: SparkSession, path: str, predicate: Column,
                       partition_by: Sequence[str] = ("city", "date")) -> int:
     """S4 on a stored table: rewrite only the partitions holding matching rows, without them.
@@ -65,7 +80,7 @@ def delete_from_store(spark: SparkSession, path: str, predicate: Column,
     n_deleted = touched.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
     if n_deleted == 0:
         return 0
-    keep = join_null_safe(store, touched, part).drop("__n").filter(~hit).checkpoint(eager=True)
+    keep = rows_of_partitions(store, touched, part).filter(~hit).checkpoint(eager=True)
     (keep.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
          .partitionBy(*part).parquet(path))
     # partitions that lost every row: at most as many as the store has folders

@@ -11,13 +11,16 @@ from __future__ import annotations
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupStateTimeout
 
-from aerolith.functions.util import join_null_safe, path_exists
+from aerolith.functions.util import path_exists
 from aerolith.operators.joins import upsert_rows
-from aerolith.operators.windows import change_and_rolling
 from aerolith.session import scratch_path
+from aerolith.sources.payloads import decode_air, decode_weather
+from aerolith.sources.store import rows_of_partitions
 from aerolith.sources.testdata import readings_from_events
 
 
@@ -53,10 +56,30 @@ def _run(query_builder, checkpoint: str):
 # --- T1 -----------------------------------------------------------------------------------------------------------
 
 
+def stream_combine_payloads(weather: DataFrame, air: DataFrame, delay: str = "2 hours", air_order: str = "event_id") -> DataFrame:
+    """J1 on two streams of raw payloads (``city, timestamp, event_time, payload``): one reading per city and hour.
+
+    Each side keeps, per city and hour, the payload it would keep in a batch (weather: newest timestamp; air: largest
+    ``air_order``) until the watermark closes the hour, either side arriving up to ``delay`` late.  The two closed
+    hours are joined, one row each, and decoded (S5, S6); on equal names the air side wins.  Rows without a
+    city match nothing, as in the batch form.
+    """
+    def closed(stream, order, name):
+        return (stream.withWatermark("event_time", delay).groupBy(F.window("event_time", "1 hour").alias("w"), "city")
+                .agg(F.max_by(F.struct("timestamp", "payload"), F.col(order)).alias(name)))
+    both = closed(weather, "timestamp", "__weather").join(closed(air, air_order, "__air"), ["w", "city"])
+    flat = both.select("city", F.col("__air.timestamp").alias("timestamp"), F.col("__weather.payload").alias("__wp"), F.col("__air.payload").alias("__ap"))
+    flat = decode_weather(flat, "__wp", keep=["city", "timestamp", "__ap"])
+    names = [c for c in flat.columns if c != "__ap"]
+    air_side = decode_air(flat, "__ap", keep=names)
+    return air_side.withColumn("hour_ts", F.date_trunc("hour", "timestamp"))
+
+
 def stream_ingest_upsert(stream: DataFrame, store_path: str, key: Sequence[str], checkpoint: str,
                          ordinal: str | None = None) -> None:
-    """Each micro-batch is upserted (J2a) into a parquet store partitioned by (city, date);
-    only the partitions the batch touches are rewritten (dynamic overwrite)."""
+    """Each micro-batch is upserted (J2a) into a parquet store partitioned by (city, date).
+
+    Only the partitions that the batch touches are read and rewritten (dynamic overwrite)."""
     key = list(key)
 
     def upsert(batch: DataFrame, batch_id: int):
@@ -64,11 +87,10 @@ def stream_ingest_upsert(stream: DataFrame, store_path: str, key: Sequence[str],
         if batch.isEmpty():
             return
         b = batch.withColumn("date", F.to_date("timestamp"))
-        touched = b.select("city", "date").distinct()
+        current = b.limit(0)  # no store yet: the batch is deduplicated like any other
         if path_exists(spark, store_path):
-            current = join_null_safe(spark.read.schema(b.schema).parquet(store_path), touched, ["city", "date"])
-        else:
-            current = b.limit(0)  # no store yet: the batch is deduplicated like any other
+            touched = b.select("city", "date").distinct().checkpoint(eager=True)
+            current = rows_of_partitions(spark.read.schema(b.schema).parquet(store_path), touched, ["city", "date"])
         merged = upsert_rows(current, b, key + ["date"], ordinal=ordinal)
         # materialise before overwriting the partitions it was read from
         merged = merged.checkpoint(eager=True)
@@ -100,60 +122,99 @@ def run_to_parquet(df: DataFrame, out: str, checkpoint: str, mode: str = "append
     _run(df.writeStream.format("parquet").option("path", out).outputMode(mode), checkpoint)
 
 
-# --- T4 -----------------------------------------------------------------------------------------------------------
+# --- T4 / T5: keyed state with event-time timers ------------------------------------------------------------------
 
 
-def stream_change_rate(stream: DataFrame, out: str, carry: str, checkpoint: str, value: str = "aqi",
-                       by: Sequence[str] = ("city",), ts: str = "timestamp") -> None:
-    """T4: W3 + W4 on a stream.  The state carried between micro-batches is the last two rows
-    per city, kept as a small table written per batch id (replay-safe).  Rows inside a batch
-    are ordered by event time; batches are assumed to arrive in event-time order."""
-    by = list(by)
+def _columns_of(df: DataFrame, cols: Sequence[str]) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*cols).schema.fields)
 
-    def step(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        cur = batch.select(*by, ts, value).withColumn("__carry", F.lit(False))
-        prev_path = f"{carry}/batch={batch_id - 1}"
-        u = cur
-        if batch_id > 0:  # a lost carry is an error, not a fresh start
-            u = spark.read.parquet(prev_path).withColumn("__carry", F.lit(True)).unionByName(cur)
-        # the same skew-safe series operator as the batch path (row index + chunked halo windows)
-        f = change_and_rolling(u, value, by=by, order=ts).checkpoint(eager=True)
-        (f.filter(~F.col("__carry")).drop("__carry").write.mode("overwrite")
-          .parquet(f"{out}/batch={batch_id}"))
-        # carried state: the last two rows per city, picked by aggregates (no per-city window)
-        last = u.groupBy(*by).agg(F.max_by(F.struct(ts, value), F.col(ts)).alias("a"),
-                                  F.max(ts).alias("__m"))
-        prev2 = (u.join(last.select(*by, "__m"), by).filter(F.col(ts) < F.col("__m"))
-                  .groupBy(*by).agg(F.max_by(F.struct(ts, value), F.col(ts)).alias("a")))
-        (last.select(*by, "a.*").unionByName(prev2.select(*by, "a.*"))
-             .write.mode("overwrite").parquet(f"{carry}/batch={batch_id}"))
-
-    _run(stream.writeStream.foreachBatch(step), checkpoint)
-
-
-# --- T5 -----------------------------------------------------------------------------------------------------------
-
-
-def stream_freshness(stream: DataFrame, state: str, out: str, checkpoint: str, silent_hours: int = 1,
-                     by: Sequence[str] = ("city",), ts: str = "timestamp") -> None:
-    """T5: after each micro-batch, the latest timestamp per city (carried table) and the cities
-    silent for more than ``silent_hours`` relative to the newest reading seen."""
-    by = list(by)
 
-    def step(batch: DataFrame, batch_id: int):
-        spark = batch.sparkSession
-        latest = batch.groupBy(*by).agg(F.max(ts).alias("last_seen"))
-        if batch_id > 0:  # a lost state is an error, not a fresh start
-            prev = spark.read.parquet(f"{state}/batch={batch_id - 1}")
-            latest = prev.unionByName(latest).groupBy(*by).agg(F.max("last_seen").alias("last_seen"))
-        latest = latest.checkpoint(eager=True)
-        latest.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        as_of = latest.agg(F.max("last_seen")).scalar()
-        status = latest.withColumn("silent", F.col("last_seen") < as_of - F.expr(f"INTERVAL {int(silent_hours)} HOURS"))
-        status.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
-    _run(stream.writeStream.foreachBatch(step), checkpoint)
+def _micros(frame: pd.Series) -> list[int]:
+    return frame.astype("datetime64[us]").astype("int64").tolist()
+
+
+def stream_change_rate(stream: DataFrame, value: str = "aqi", by: Sequence[str] = ("city",), ts: str = "timestamp",
+                       tie: str | None = None, delay: str = "2 hours") -> DataFrame:
+    """T4: W3 + W4 on a stream: ``by, ts, value, {value}_change_rate, {value}_ma_3h`` in append mode.
+
+    The state of a series is its rows that the watermark has not passed and the last two values sent.  Rows wait
+    until no earlier one can arrive: when the watermark passes them they are sent in (``ts``, ``tie``) order,
+    woken by an event-time timer if the series brings no rows of its own.  So rows up to ``delay`` late, in any
+    order and over any batches, get the neighbours that the batch form gives them; later ones are dropped by the
+    watermark.  ``tie`` (a whole number) orders rows of one time; null and NaN values count as null, a null key is a series.
+    A series' state holds its rows of the last ``delay`` of event time.
+    """
+    by = list(by)
+    tied = F.col(tie).cast("long") if tie else F.lit(0).cast("long")
+    rows = stream.withWatermark("event_time", delay).select(*by, "event_time", F.col(ts).alias("__ts"), tied.alias("__tie"), F.col(value).cast("double").alias("__v"))
+    names = [*by, ts, value, f"{value}_change_rate", f"{value}_ma_3h"]
+
+    def step(key, frames, state):
+        waiting: list[tuple[int, int, float | None]] = []
+        recent: list[float | None] = []
+        if state.exists:
+            at, ties, values, recent = (list(x) for x in state.get)
+            waiting = list(zip(at, ties, values))
+        for frame in frames:
+            values = [None if v is None or v != v else float(v) for v in frame["__v"]]
+            waiting.extend(zip(_micros(frame["__ts"]), frame["__tie"].tolist(), values))
+        waiting.sort(key=lambda r: (r[0], r[1]))
+        passed = state.getCurrentWatermarkMs() * 1000
+        n = sum(at < passed for at, _, _ in waiting)
+        out = []
+        for at, _, v in waiting[:n]:
+            before = recent[-1] if recent else None
+            held = [x for x in (*recent, v) if x is not None]
+            out.append((*key, at, v, 0.0 if v is None or before is None else v - before, sum(held) / len(held) if held else None))
+            recent = [*recent, v][-2:]
+        waiting = waiting[n:]
+        state.update(([r[0] for r in waiting], [r[1] for r in waiting], [r[2] for r in waiting], recent))
+        if waiting:
+            state.setTimeoutTimestamp(waiting[0][0] // 1000)
+        if out:
+            frame = pd.DataFrame(out, columns=names)
+            frame[ts] = pd.to_datetime(frame[ts], unit="us")
+            yield frame.astype({c: "float64" for c in names[-3:]})
+
+    kept = "at array<bigint>, tie array<bigint>, value array<double>, recent array<double>"
+    sent = (rows.groupBy(*by).applyInPandasWithState(step, f"{_columns_of(rows, by)}, `{ts}` timestamp_ntz, {', '.join(f'`{c}` double' for c in names[-3:])}",
+                                                     kept, "append", GroupStateTimeout.EventTimeTimeout))
+    return sent.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in names[-3:]})
+
+
+def stream_freshness(stream: DataFrame, silent_hours: float = 1, by: Sequence[str] = ("city",), ts: str = "timestamp", delay: str = "0 seconds") -> DataFrame:
+    """T5: ``by, last_seen, silent`` in append mode: a row with ``silent`` false whenever a series' newest time advances,
+    one with true when the watermark (the newest time of all series less ``delay``) passes it by more than ``silent_hours``.
+
+    The second comes from an event-time timer of the series: no reading of its own is needed, any series that
+    moves the watermark on sets it off, once per silence (a micro-batch that ends the silence tells of both).  A null
+    key is a series.
+    """
+    by, silence = list(by), int(silent_hours * 3_600_000_000)
+    rows = stream.withWatermark("event_time", delay).select(*by, "event_time", F.col(ts).alias("__ts"))
+    names = [*by, "last_seen", "silent"]
+
+    def step(key, frames, state):
+        last, told = state.get if state.exists else (None, False)
+        out, passed = [], state.getCurrentWatermarkMs() * 1000
+        newest = max((max(_micros(f["__ts"])) for f in frames if len(f)), default=None)
+        advances = newest is not None and (last is None or newest > last)
+        if last is not None and not told and last + silence < passed:
+            told = True
+            out.append((*key, last, True))
+        if advances:
+            last, told = newest, False
+            out.append((*key, last, False))
+        state.update((last, told))
+        if not told:
+            state.setTimeoutTimestamp(max((last + silence) // 1000, passed // 1000))
+        if out:
+            frame = pd.DataFrame(out, columns=names)
+            frame["last_seen"] = pd.to_datetime(frame["last_seen"], unit="us")
+            yield frame
+
+    return rows.groupBy(*by).applyInPandasWithState(step, f"{_columns_of(rows, by)}, last_seen timestamp_ntz, silent boolean", "last bigint, told boolean", "append",
+                                                    GroupStateTimeout.EventTimeTimeout)
 
 
 def fresh_dirs(spark: SparkSession, name: str) -> tuple[str, str]:
