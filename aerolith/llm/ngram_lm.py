@@ -90,14 +90,24 @@ def arcs_of(texts: Iterable[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def count_arcs(texts: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Tokens of each text, the block's distinct arcs (ascending), their counts in its training texts,
     and the arcs' numbers (a row from the root, a row from the words before)."""
-    n, root, pair = arcs_of(t.as_py() for t in texts.column("text"))
-    both = np.concatenate([root, pair])
-    del root, pair
-    arcs, number = np.unique(both, return_inverse=True)
-    del both
-    number = number.astype(np.int32).reshape(2, -1)
+    n, *rows = arcs_of(t.as_py() for t in texts.column("text"))
     learned = np.repeat(~texts.column("held_out").to_numpy().astype(bool), n)
-    return n, arcs, sum(np.bincount(x[learned], minlength=len(arcs)) for x in number), number
+    found, counted, number = [], [], np.zeros((2, len(learned)), np.int32)
+    for i in range(2):  # one row of arcs at a time: sorting is what takes the memory
+        arcs, at = np.unique(rows[i], return_inverse=True)
+        rows[i] = None
+        number[i] = at
+        del at
+        found.append(arcs)
+        counted.append(np.bincount(number[i][learned], minlength=len(arcs)))
+    arcs, count = np.concatenate(found), np.concatenate(counted)
+    order = np.argsort(arcs, kind="stable")
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    number[1] += len(found[0])
+    for row in number:
+        row[:] = place[row]
+    return n, arcs[order], count[order], number
 
 
 def pack(x: np.ndarray) -> bytes:
