@@ -32,11 +32,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` is called so (Spark does not tell cases apart)."""
+    while name.lower() in (c.lower() for c in df.columns):
+        name += "_"
+    return name
+
+
+def without(df: DataFrame, *names: str) -> list[Column]:
+    """The columns of ``df`` but those called like one of ``names``, in any case."""
+    gone = {n.lower() for n in names}
+    return [F.col(f"`{c}`") for c in df.columns if c.lower() not in gone]
+
+
 def with_row_key(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written with a number for each row, and that column's name: ids may be null or repeated."""
-    name = "__row"
-    while name in df.columns:
-        name += "_"
+    name = unused(df, "__row")
     return materialize(df.withColumn(name, F.monotonically_increasing_id()), "rows"), name
 
 

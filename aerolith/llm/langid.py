@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import is_held_out
+from aerolith.llm.common import is_held_out, unused, without
 
 UNKNOWN = "und"
 #: Bounds of the fit: labelled rows a language (those with the lowest text hashes) and in all, and
@@ -120,14 +120,14 @@ def fit(texts: list[str], langs: list[str], per_lang: int = LANDMARKS_PER_LANG)
 
 def training_sample(docs: DataFrame, text_col: str, lang_col: str, held_out, per_lang: int) -> DataFrame:
     """At most ``per_lang`` labelled texts of each language outside the held-out fold (fewer where the
-    languages together would pass SAMPLE_ROWS): those with the lowest text hashes, in whole."""
+    languages together would pass SAMPLE_ROWS): those with the lowest text hashes, in whole, copies once."""
     rows = docs.where(~held_out & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("h"))
     # thin each language by hash first, so that the ranking below meets a bounded number of rows a language
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
+    counts = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_ROWS)
     per_lang = max(1, min(per_lang, SAMPLE_ROWS // max(1, counts.count())))
     some = rows.join(F.broadcast(counts), "lang").where(
-        F.pmod("h", F.lit(1 << 30)) <= F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("n")))
+        F.pmod("h", F.lit(1 << 30)) <= F.lit(float(1 << 30)) * F.least(F.lit(1.0), F.lit(4.0 * per_lang) / F.col("n"))).dropDuplicates(["lang", "h"])
     ranked = some.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= per_lang)
     return ranked.select("lang", "text", "r").orderBy("lang", "r")
 
@@ -163,6 +163,6 @@ def predict(docs: DataFrame, model: SpectrumModel | None, text_col: str = "text"
                 best[at] = p[np.arange(len(at)), top]
             yield pd.DataFrame({"lang": lang, "score": best})
 
-    keep = [c for c in docs.columns if c not in (label, score)]
-    scored = docs.withColumn("__langid", classify(F.col(text_col)))
-    return scored.select(*[F.col(f"`{c}`") for c in keep], F.col("__langid.lang").alias(label), F.col("__langid.score").alias(score))
+    keep, found = without(docs, label, score), unused(docs, "__langid")
+    scored = docs.select(*keep, classify(F.col(text_col)).alias(found))
+    return scored.select(*keep, F.col(found)["lang"].alias(label), F.col(found)["score"].alias(score))

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from aerolith.llm.common import without
+
 SPACE = "▁"
 # Fixed values of the model file's format: field numbers and piece types.
 PIECES, NORMALIZER = 1, 3
@@ -265,7 +267,7 @@ def _with_arrow_column(docs: DataFrame, source: str, target: str, kind: str, mak
             yield make(column)
         forget()
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c != target]
+    keep = without(docs, target)
     return docs.select(*keep, run(F.col(source)).alias(target))
 
 

@@ -4,8 +4,9 @@ Terms are all words and six-character word beginnings of the training examples.
 IDF times one plus the root of its chi-squared with the label (in either direction), so no term is
 left out and those that tell the labels apart count more.  Rare terms are added up from their
 postings; common ones, with long postings and little weight, are kept by example, with the largest
-weight in each block of examples.  A block is completed only if its rare terms and its bound can
-reach the k nearest.  The nearest examples vote with weights
+weight in each block of like examples.  A block is completed only if its rare terms and its bound can
+reach the k nearest.  Tasks count the terms, make the index and find the examples' own neighbours; the
+driver holds one copy of the examples' vectors.  The nearest examples vote with weights
 that fall with their distance, the votes are calibrated to the share of label 1 by isotonic
 regression on the examples themselves (each scored without itself), and the nearest are returned
 as evidence.
@@ -15,16 +16,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterable, Iterator, Sequence
+from dataclasses import dataclass
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import is_held_out, materialize
+from aerolith.llm.common import is_held_out, materialize, unused, without
 
 WORD = re.compile(r"[^\W_]+")
 STEM = 6
@@ -32,8 +35,10 @@ STEM = 6
 MAX_EXAMPLES = 20_000
 #: A term is common from this share of the examples on.
 COMMON_SHARE = 0.05
-#: Texts searched at once.
-BATCH = 64
+#: Texts searched at once, texts from which those alike are put together, and kinds of examples.
+BATCH, POOL, KINDS = 64, 2048, 16
+#: Blocks of the best bounds that each text completes first.
+FIRST = 24
 NEAREST, BLOCK, EVIDENCE, DISTANCE_FLOOR = 25, 64, 3, 0.05
 
 
@@ -54,19 +59,29 @@ def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 @dataclass
 class NearestExamples:
-    """Block-max inverted index of the examples that have at least one term."""
+    """The examples that have at least one term, as runs of ascending terms with normalised weights, and the
+    block-max inverted index that is made of them where it is first searched."""
     terms: dict[str, int]
     weight: np.ndarray                   # per term
     example_ids: np.ndarray
     labels: np.ndarray
     base_rate: float                     # share of label 1 among examples without any term
+    start: np.ndarray                    # per example: start of its run; in runs: terms and weights
+    at: np.ndarray
+    w: np.ndarray
     k: int = NEAREST
-    common: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))     # per term: row of block_max, or -1
-    rare: tuple[np.ndarray, ...] = ()    # per term: start of its run; in runs: examples and weights
-    own: tuple[np.ndarray, ...] = ()     # per example: start of its run; in runs: common terms and weights
-    block_max: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))       # common term, block: largest weight
-    dense: np.ndarray | None = None      # the common part of all examples, made where it is read
-    steps: tuple[np.ndarray, np.ndarray] = (np.zeros(1), np.zeros(1))            # calibration: vote -> probability
+    steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # calibration: vote -> probability
+    shared: Broadcast | None = None      # these examples as sent to the tasks
+    indexed: Index | None = None
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "shared": None, "indexed": None}
+
+    @property
+    def index(self) -> Index:
+        if self.indexed is None:
+            self.indexed = Index(self.start, self.at, self.w, len(self.weight))
+        return self.indexed
 
     def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers and normalised weights (1 + ln tf) * weight of a text."""
@@ -79,88 +94,168 @@ class NearestExamples:
         norm = np.sqrt((w * w).sum())
         return at, (w / norm if norm else w).astype(np.float32).astype(float)
 
-    def index(self, start: np.ndarray, at: np.ndarray, w: np.ndarray) -> None:
-        """Examples as runs of ascending term numbers with their weights."""
-        n, n_terms = len(start) - 1, len(self.weight)
+    def nearest(self, at: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The k nearest examples with a cosine above 0 and their cosines, exactly; ties go to the
+        earlier example."""
+        return self.nearest_of([(at, w)])[0]
+
+    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: Sequence[int] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+        """``nearest`` of each query, each ``without`` the example of that number."""
+        if not len(self.labels):
+            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
+        return self.index.nearest_of(queries, self.k, without)
+
+    def searched(self, queries: Iterable[tuple[np.ndarray, np.ndarray]], without: Iterable[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``nearest_of`` of many queries in their order, those alike searched together."""
+        queries, without = iter(queries), iter(without) if without is not None else None
+        while pool := list(islice(queries, POOL)):
+            out: list = [None] * len(pool)
+            leave = list(islice(without, POOL)) if without is not None else []
+            kind = self.index.kinds(pool) if len(self.labels) else np.zeros(len(pool), np.int64)
+            for rows in (np.flatnonzero(kind == x) for x in np.unique(kind)):
+                for s in range(0, len(rows), BATCH):
+                    own = rows[s:s + BATCH].tolist()
+                    for i, found in zip(own, self.nearest_of([pool[i] for i in own], [leave[i] for i in own] if leave else ())):
+                        out[i] = found
+            yield from out
+
+    def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
+        weight = 1.0 / (1.0 - np.minimum(cos, 1.0) + DISTANCE_FLOOR)
+        return float((weight * self.labels[ids]).sum() / weight.sum())
+
+    def calibrated(self, vote: float) -> float:
+        return float(np.interp(vote, *self.steps))
+
+    def score(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[dict]]]:
+        """Score and evidence of each text."""
+        for ids, cos in self.searched(self.vector(term_counts(t)) for t in texts):
+            evidence = [{"example_id": int(self.example_ids[i]), "cosine": float(c), "label": int(self.labels[i])}
+                        for i, c in zip(ids[:EVIDENCE], cos)]
+            yield (self.calibrated(self.vote(ids, cos)) if len(ids) else self.base_rate), evidence
+
+
+class Index:
+    """Block-max inverted index of examples (runs of ascending terms with weights).
+
+    Examples are ordered by groups of like common terms, so that a block of 64 holds examples of one kind (a
+    language, say) and its largest weights say something about all of them; results carry the given numbers.
+    """
+
+    def __init__(self, start: np.ndarray, at: np.ndarray, w: np.ndarray, n_terms: int):
+        n = len(start) - 1
         held_by = np.bincount(at, minlength=n_terms)
         names = np.flatnonzero(held_by >= max(BLOCK, COMMON_SHARE * n))
-        self.common = np.full(n_terms, -1, np.int32)
+        self.common = np.full(n_terms, -1, np.int32)  # per term: its number among the common ones, or -1
         self.common[names] = np.arange(len(names))
         example = np.repeat(np.arange(n, dtype=np.int32), np.diff(start))
         is_common = self.common[at] >= 0
-        e, t, x = example[is_common], self.common[at[is_common]], w[is_common]
-        self.own = (np.append(0, np.cumsum(np.bincount(e, minlength=n))), t, x)
-        self.block_max = np.zeros((len(names), -(-n // BLOCK)), np.float32)
-        np.maximum.at(self.block_max, (t, e // BLOCK), x)
-        e, t, x = example[~is_common], at[~is_common], w[~is_common]
+        blocks = -(-n // BLOCK)
+        given = np.zeros((n, len(names)), np.float32)
+        given[example[is_common], self.common[at[is_common]]] = w[is_common]
+        self.centres = _centres(given)
+        self.order = np.argsort(self._kind(given), kind="stable")  # given number of each place
+        self.place = np.empty(n, np.int32)
+        self.place[self.order] = np.arange(n, dtype=np.int32)
+        self.dense = np.zeros((blocks * BLOCK, len(names)), np.float32)
+        self.dense[:n] = given[self.order]
+        del given
+        self.block_max = self.dense.reshape(blocks, BLOCK, -1).max(1).T.copy()  # common term, block: largest weight
+        e, t, x = self.place[example[~is_common]], at[~is_common], w[~is_common]
+        del example, is_common
         order = np.argsort(t, kind="stable")
+        # per rare term: start of its run; in runs: places and weights
         self.rare = (np.append(0, np.cumsum(np.bincount(t, minlength=n_terms))), e[order], x[order])
+        self.n, self.needed, self.seen = n, 0, 0  # pairs of text and block that were completed, and all
 
-    def nearest(self, at: np.ndarray, w: np.ndarray, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k nearest examples with a cosine above 0 and their cosines, exactly; ties go to the
-        earlier example."""
-        return self.nearest_of([(at, w)], without)[0]
+    def _kind(self, common: np.ndarray) -> np.ndarray:
+        return (common @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(common), np.int64)
 
-    def nearest_of(self, queries: list[tuple[np.ndarray, np.ndarray]], without: int = -1) -> list[tuple[np.ndarray, np.ndarray]]:
-        """``nearest`` of each query; from ``without`` on, each without the example of its own number."""
-        n, (n_common, n_blocks) = len(self.labels), self.block_max.shape
-        if not n:
-            return [(np.zeros(0, np.int64), np.zeros(0))] * len(queries)
-        if self.dense is None:
-            self.dense = np.zeros((n_blocks * BLOCK, n_common), np.float32)
-            self.dense[np.repeat(np.arange(n), np.diff(self.own[0])), self.own[1]] = self.own[2]
-        start, examples, weights = self.rare
-        part = np.zeros((len(queries), n_blocks * BLOCK))
-        common = np.zeros((len(queries), n_common), np.float32)
+    def _common_of(self, queries) -> np.ndarray:
+        out = np.zeros((len(queries), self.dense.shape[1]), np.float32)
         for i, (at, w) in enumerate(queries):
             rows = self.common[at]
-            common[i, rows[rows >= 0]] = w[rows >= 0]
-            at, w = at[rows < 0], w[rows < 0]
+            out[i, rows[rows >= 0]] = w[rows >= 0]
+        return out
+
+    def kinds(self, queries) -> np.ndarray:
+        """The group of examples that each query is like."""
+        return self._kind(self._common_of(queries))
+
+    def nearest_of(self, queries, k: int, without: Sequence[int] = ()) -> list[tuple[np.ndarray, np.ndarray]]:
+        n_blocks = self.block_max.shape[1]
+        start, places, weights = self.rare
+        part = np.zeros((len(queries), n_blocks * BLOCK))
+        common = self._common_of(queries)
+        for i, (at, w) in enumerate(queries):
+            rare = self.common[at] < 0
+            at, w = at[rare], w[rare]
             length = start[at + 1] - start[at]
             run = spread(start[at], length)
-            part[i, :n] = np.bincount(examples[run], weights[run] * np.repeat(w, length), minlength=n)
-            if without >= 0:
-                part[i, without + i] = -np.inf
-        # a block is completed if its bound can reach the k-th best block of some query of the batch
+            part[i, :self.n] = np.bincount(places[run], weights[run] * np.repeat(w, length), minlength=self.n)
+        if len(without):
+            part[np.arange(len(queries)), self.place[np.asarray(without)]] = -np.inf
+        # blocks of the best bounds are completed first, then those whose bound can still reach the k-th best
+        # block of some query of the batch; a block without any term in common never is
         best = part.reshape(len(queries), n_blocks, BLOCK).max(2)
         bound = best + common @ self.block_max * np.float32(1 + 1e-5)
-        least = np.partition(best, -self.k, 1)[:, -self.k] if n_blocks >= self.k else np.zeros(len(queries))
-        blocks = np.flatnonzero((bound >= np.maximum(least, 0)[:, None]).any(0))
-        about = part.astype(np.float32)
-        if len(blocks) == n_blocks:
-            about += common @ self.dense.T
-        elif len(blocks):
-            cols = (blocks[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            about[:, cols] += common @ self.dense[cols].T
+        about, done, wanted = part.astype(np.float32), np.zeros(n_blocks, bool), bound > 0
+        for first in (True, False):
+            least = np.zeros(len(queries))
+            if n_blocks >= k:
+                best = np.maximum(best, about.reshape(len(queries), n_blocks, BLOCK).max(2) - 1e-5)
+                least = np.partition(best, -k, 1)[:, -k]
+            wanted &= bound >= least[:, None]
+            ask = wanted
+            if first and n_blocks > FIRST:
+                ask = wanted & (bound >= np.partition(bound, -FIRST, 1)[:, -FIRST, None])
+            blocks = np.flatnonzero(ask.any(0) & ~done)
+            done[blocks] = True
+            for low, high in _runs(blocks):  # neighbouring blocks are one product
+                own = slice(low * BLOCK, high * BLOCK)
+                about[:, own] += common @ self.dense[own].T
+        self.needed, self.seen = self.needed + int(done.sum()) * len(queries), self.seen + wanted.size
         out = []
         best = about.reshape(len(queries), n_blocks, BLOCK).max(2)
-        first, names, own = self.own
         for i in range(len(queries)):
             row = about[i]
-            kth = np.partition(best[i], -self.k)[-self.k] if n_blocks >= self.k else 0.0
-            ids = np.flatnonzero(row > max(0.0, kth - 1e-5))  # single precision: completed again below
-            length = first[ids + 1] - first[ids]
-            run = spread(first[ids], length)
-            cos = part[i, ids] + np.bincount(np.repeat(np.arange(len(ids)), length), common[i, names[run]].astype(float) * own[run], minlength=len(ids))
-            top = np.lexsort((ids, -cos))[: self.k]
+            kth = np.partition(best[i], -k)[-k] if n_blocks >= k else 0.0
+            at = np.flatnonzero(row > max(0.0, kth - 1e-5))  # single precision: completed again below
+            terms = np.flatnonzero(common[i])
+            cos = part[i, at] + self.dense[np.ix_(at, terms)].astype(float) @ common[i, terms].astype(float)
+            ids = self.order[at]
+            top = np.lexsort((ids, -cos))[:k]
             out.append((ids[top], cos[top]))
         return out
 
-    def vote(self, ids: np.ndarray, cos: np.ndarray) -> float:
-        weight = 1.0 / (1.0 - np.minimum(cos, 1.0) + DISTANCE_FLOOR)
-        return float((weight * self.labels[ids]).sum() / weight.sum())
 
-    def calibrated(self, vote: float) -> float:
-        return float(np.interp(vote, *self.steps))
-
-    def score(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[dict]]]:
-        """Score and evidence of each text; texts are searched in batches."""
-        texts = iter(texts)
-        while batch := list(islice(texts, BATCH)):
-            for ids, cos in self.nearest_of([self.vector(term_counts(t)) for t in batch]):
-                evidence = [{"example_id": int(self.example_ids[i]), "cosine": float(c), "label": int(self.labels[i])}
-                            for i, c in zip(ids[:EVIDENCE], cos)]
-                yield (self.calibrated(self.vote(ids, cos)) if len(ids) else self.base_rate), evidence
+def _runs(blocks: np.ndarray) -> list[tuple[int, int]]:
+    """Ascending numbers as ranges [low, high)."""
+    if not len(blocks):
+        return []
+    cut = np.flatnonzero(np.diff(blocks) > 1) + 1
+    return [(int(part[0]), int(part[-1]) + 1) for part in np.split(blocks, cut)]
+
+
+def _centres(common: np.ndarray) -> np.ndarray:
+    """Directions of at most KINDS groups of rows: k-means by cosine from rows far apart."""
+    rows = common[np.linspace(0, len(common) - 1, min(len(common), 4096)).astype(int)] if len(common) and common.shape[1] else common[:0]
+    norm = np.sqrt((rows * rows).sum(1))
+    rows = rows[norm > 0] / norm[norm > 0, None]
+    if not len(rows):
+        return rows
+    chosen = [0]  # each next one is the least like those before
+    near = rows @ rows[0]
+    while len(chosen) < min(KINDS, len(rows)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, rows @ rows[chosen[-1]])
+    centres = rows[chosen]
+    for _ in range(5):
+        own = (rows @ centres.T).argmax(1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, own, rows)
+        size = np.sqrt((sums * sums).sum(1))
+        centres = np.where(size[:, None] > 0, sums / np.where(size > 0, size, 1)[:, None], centres)
+    return centres
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,46 +273,53 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([v for v, _ in points]), np.maximum.accumulate(np.array([p for _, p in points]))
 
 
-def fit(ids: np.ndarray, labels: np.ndarray, start: np.ndarray, at: np.ndarray, counts: np.ndarray, terms: dict[str, int], weight: np.ndarray,
-        k: int = NEAREST) -> NearestExamples:
-    """Index and calibrate examples given as runs of ascending term numbers with their counts."""
-    w = (1 + np.log(counts)) * weight[at]
-    example = np.repeat(np.arange(len(ids)), np.diff(start))
-    norm = np.sqrt(np.bincount(example, w * w, minlength=len(ids)))
-    has = norm > 0
-    w = (w / np.where(has, norm, 1.0)[example])[has[example]].astype(np.float32)
-    at, start = at[has[example]], np.append(0, np.cumsum(np.diff(start)[has]))
+def unit(start: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of weights scaled to length 1 (in single precision), and which runs are not empty or zero."""
+    row = np.repeat(np.arange(len(start) - 1), np.diff(start))
+    norm = np.sqrt(np.bincount(row, w * w, minlength=len(start) - 1))
+    return (w / np.where(norm > 0, norm, 1.0)[row]).astype(np.float32), norm > 0
+
+
+def assemble(ids: np.ndarray, labels: np.ndarray, start: np.ndarray, at: np.ndarray, w: np.ndarray, terms: dict[str, int], weight: np.ndarray,
+             k: int = NEAREST) -> NearestExamples:
+    """Examples given as runs of ascending term numbers with normalised weights; those without a term give the base rate."""
+    has = np.diff(start) > 0
     bare = labels[~has]
     base_rate = (bare.sum() + 0.5) / (len(bare) + 1.0) if len(bare) or not len(ids) else labels.mean()
-    model = NearestExamples(terms, weight, ids[has], labels[has], float(base_rate), k)
-    model.index(start, at, w)
-    votes = np.full(len(model.labels), np.nan)
-    for s in range(0, len(votes), BATCH):
-        runs = [slice(start[e], start[e + 1]) for e in range(s, min(s + BATCH, len(votes)))]
-        for e, (found, cos) in enumerate(model.nearest_of([(at[r], w[r].astype(float)) for r in runs], without=s), s):
-            if len(found):
-                votes[e] = model.vote(found, cos)
-    model.dense = None
+    return NearestExamples(terms, weight, ids[has], labels[has], float(base_rate), np.append(0, np.cumsum(np.diff(start)[has])), at, w, k)
+
+
+def left_out_votes(model: NearestExamples, numbers: Iterable[int]) -> Iterator[float]:
+    """Vote on each example of these numbers by all others (NaN: no neighbour)."""
+    numbers = list(numbers)
+    runs = (slice(model.start[e], model.start[e + 1]) for e in numbers)
+    for ids, cos in model.searched(((model.at[r], model.w[r].astype(float)) for r in runs), numbers):
+        yield model.vote(ids, cos) if len(ids) else float("nan")
+
+
+def calibrate(model: NearestExamples, votes: np.ndarray) -> None:
     seen = ~np.isnan(votes)
     if seen.any():
         model.steps = isotonic(votes[seen], model.labels[seen])
-    else:
-        model.steps = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
-    return model
 
 
 def build(examples: list[tuple[int, int, Counter]], terms: dict[str, float], k: int = NEAREST) -> NearestExamples:
-    """``fit`` of ``examples`` (id, label, counts); ``terms`` gives the terms' weights."""
+    """Model of a few ``examples`` (id, label, counts); ``terms`` gives the terms' weights."""
     names = {t: i for i, t in enumerate(sorted(terms))}
+    weight = np.array([terms[t] for t in names])
     rows = [sorted((names[t], n) for t, n in c.items() if t in names) for _, _, c in examples]
     flat = np.array([x for r in rows for x in r], np.int64).reshape(-1, 2)
-    return fit(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64)),
-               flat[:, 0].astype(np.int32), flat[:, 1], names, np.array([terms[t] for t in names]), k)
+    start = np.append(0, np.cumsum([len(r) for r in rows], dtype=np.int64))
+    w, _ = unit(start, (1 + np.log(flat[:, 1])) * weight[flat[:, 0]])
+    model = assemble(np.array([e[0] for e in examples], np.int64), np.array([e[1] for e in examples], np.int64), start, flat[:, 0].astype(np.int32), w, names, weight, k)
+    calibrate(model, np.array(list(left_out_votes(model, range(len(model.labels)))), float))
+    return model
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
           modulus: int = 3, remainder: int = 1, max_examples: int = MAX_EXAMPLES) -> NearestExamples | None:
-    """Fit on at most ``max_examples`` labelled rows outside the held-out fold; None without any.
+    """Fit on at most ``max_examples`` different labelled rows outside the held-out fold (lowest hashes of the id, then
+    the text, where ids are shared); None without any.
 
     A document with several labels counts as 1 if any is 1.  Null labels, ids and texts give no
     example.
@@ -226,7 +328,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     own = (own.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(F.when(F.col(label_col) == 1, 1).otherwise(0)).alias("label"))
            .orderBy(F.xxhash64("id"), "id").limit(max_examples))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    examples = materialize(texts.join(F.broadcast(own), "id"), "examples")  # own: at most max_examples ids
+    joined = texts.join(F.broadcast(own), "id").dropDuplicates()  # own: at most max_examples ids; rows repeated are one example
+    examples = materialize(joined.orderBy(F.xxhash64("id"), "id", F.xxhash64("text")).limit(max_examples), "examples")
     totals = {r.label: r.n for r in examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n, n1 = sum(totals.values()), totals.get(1, 0)
     if not n:
@@ -245,23 +348,41 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         F.sum("n0").alias("b"), F.sum("n1").alias("a")).toArrow().sort_by("term")
     terms = {t: i for i, t in enumerate(found.column("term").to_pylist())}
     a, b = (found.column(c).to_numpy().astype(float) for c in "ab")
+    del found
     c, d = n1 - a, n - n1 - b
     chi2 = n * (a * d - b * c) ** 2 / np.maximum(1.0, (a + b) * (c + d) * (a + c) * (b + d))
     weight = np.log((n + 1) / (a + b + 0.5)) * (1 + np.sqrt(chi2))
-    shared = docs.sparkSession.sparkContext.broadcast(terms)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast((terms, weight))
 
-    def counts_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        numbers = shared.value
+    def weights_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, weight = shared.value
         for rows in batches:
-            found = [sorted((numbers[t], x) for t, x in term_counts(v).items()) for v in rows["text"]]
-            yield pd.DataFrame({"id": rows["id"], "label": rows["label"], "h": rows["h"], "terms": [[t for t, _ in f] for f in found], "counts": [[x for _, x in f] for f in found]})
-
-    rows = examples.withColumn("h", F.xxhash64("text")).mapInPandas(
-        counts_of, "id long, label int, h long, terms array<int>, counts array<int>").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("h", "ascending")])
+            own = [sorted((numbers[t], x) for t, x in term_counts(v).items()) for v in rows.column("text").to_pylist()]
+            flat = np.array([x for r in own for x in r], np.int64).reshape(-1, 2)
+            start = np.append(0, np.cumsum([len(r) for r in own], dtype=np.int64))
+            w, _ = unit(start, (1 + np.log(flat[:, 1])) * weight[flat[:, 0]])
+            runs = [pa.ListArray.from_arrays(pa.array(start, pa.int32()), pa.array(x)) for x in (flat[:, 0].astype(np.int32), w)]
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("id", "label", "h")), *runs], ["id", "label", "h", "terms", "w"])
+
+    # the driver puts the runs together, no more: tasks make the index of them and search it
+    rows = examples.withColumn("h", F.xxhash64("text")).mapInArrow(
+        weights_of, "id long, label int, h long, terms array<int>, w array<float>").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("h", "ascending")])
     shared.unpersist()
-    at, counts = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
-    return fit(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(np.int64), at.offsets.to_numpy() - at.offsets[0].as_py(),
-               at.flatten().to_numpy(), counts.flatten().to_numpy(), terms, weight)
+    at, w = (rows.column(c).combine_chunks() for c in ("terms", "w"))
+    model = assemble(rows.column("id").to_numpy(), rows.column("label").to_numpy().astype(np.int64), at.offsets.to_numpy() - at.offsets[0].as_py(),
+                     at.flatten().to_numpy(), w.flatten().to_numpy(), terms, weight)
+    del rows, at, w
+    sent = model.shared = spark.sparkContext.broadcast(model)
+
+    def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(left_out_votes(sent.value, batch.column("id").to_pylist()), pa.float64())], ["id", "vote"])
+    size = len(model.labels)
+    votes = spark.range(0, size, 1, max(1, -(-size // POOL))).mapInArrow(votes_of, "id long, vote double").toArrow().sort_by("id") if size else None
+    if size:
+        calibrate(model, votes.column("vote").to_numpy())
+    return model
 
 
 def predict(docs: DataFrame, model: NearestExamples | None, text_col: str = "text", threshold: float = 0.7,
@@ -273,16 +394,19 @@ def predict(docs: DataFrame, model: NearestExamples | None, text_col: str = "tex
     when there was nothing to learn from) and no evidence.  Rows are scored one by one: repeated
     rows get equal results and an empty table stays empty.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # the terms of at most MAX_EXAMPLES texts
+    shared = (model.shared if model else None) or docs.sparkSession.sparkContext.broadcast(model)  # the terms of at most MAX_EXAMPLES texts
+    steps = model.steps if model else None
 
     @F.pandas_udf("struct<score:double,evidence:array<struct<example_id:long,cosine:double,label:int>>>")
     def near(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         m = shared.value
+        if m:
+            m.steps = steps
         for texts in batches:
             found = list(m.score(texts)) if m else [(0.0, [])] * len(texts)
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in (score, label, evidence)]
-    scored = docs.select(*keep, near(F.col(text_col)).alias("__toxic"))
-    return scored.select(*keep, F.col("__toxic.score").alias(score),
-                         F.when(F.col("__toxic.score") >= threshold, 1).otherwise(0).alias(label), F.col("__toxic.evidence").alias(evidence))
+    keep, found = without(docs, score, label, evidence), unused(docs, "__toxic")
+    scored = docs.select(*keep, near(F.col(text_col)).alias(found))
+    return scored.select(*keep, F.col(found)["score"].alias(score),
+                         F.when(F.col(found)["score"] >= threshold, 1).otherwise(0).alias(label), F.col(found)["evidence"].alias(evidence))

@@ -2,7 +2,9 @@ import corpus_pipeline as P
 import public_tokenizers
 import regex
 import sentencepiece
-from aerolith.llm import decontaminate, simhash, toxicity
+from pyspark.sql import functions as F
+
+from aerolith.llm import decontaminate, langid, simhash, toxicity
 from aerolith.llm.common import materialize, table
 from tests.conftest import SF01
 
@@ -58,3 +60,24 @@ def test_null_and_repeated_ids_are_rows_of_their_own(spark):
     clean = decontaminate.remove_contaminated(left, items)
     assert clean.columns == docs.columns
     assert sorted((str(r.doc_id), r.source) for r in clean.collect()) == [("3", "first"), ("5", "own"), ("7", "y"), ("None", "n2")]
+
+
+CLASHES = ["__lang", "__LANG_SCORE", "__score", "__toxic", "__evidence", "__label", "__ROW", "__decoded", "__langid", "__keep", "__id"]
+
+
+def test_columns_with_the_names_of_the_stages_own_stay(spark):
+    base = table(spark, SF01, "documents").limit(30)
+    docs = materialize(base.select("*", *[F.concat(F.lit(c), F.col("doc_id").cast("string")).alias(c) for c in CLASHES]))
+    rows = {r.doc_id: r for r in docs.collect()}
+    for name, stage in P.STAGES:
+        docs = stage(spark, docs, SF01)
+        assert docs.columns[:len(base.columns) + len(CLASHES)] == [*base.columns, *CLASHES], name
+        docs = materialize(docs, name)
+    left = docs.collect()
+    assert left and all(r[c] == rows[r.doc_id][c] for r in left for c in CLASHES)
+
+
+def test_added_columns_replace_those_of_another_case(spark):
+    docs = table(spark, SF01, "documents").limit(5).select("doc_id", "text", F.lit(1).alias("LANG_PRED"), F.lit(2).alias("Toxic_Score"))
+    assert langid.predict(docs, None).columns == ["doc_id", "text", "Toxic_Score", "lang_pred", "lang_score"]
+    assert toxicity.predict(docs, None).columns == ["doc_id", "text", "LANG_PRED", "toxic_score", "toxic_pred", "toxic_evidence"]

@@ -7,6 +7,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 from aerolith.llm import decontaminate, langid, ngram_lm, token_cache, toxicity
 from aerolith.llm.common import fresh_path, table
@@ -300,3 +301,31 @@ def test_rare_words_are_contexts(spark):
         got = ngram_lm.score_documents(docs, block_bytes=size, prior=k).collect()
         text = dict(rows)
         assert len(got) == len(rows) and all(r.score == pytest.approx(plain(ngram_lm.tokens(text[r.doc_id].encode())), abs=1e-9) for r in got)
+
+
+def test_blocks_of_like_examples_are_left_out():
+    """Four kinds of texts with common terms of their own: a text completes blocks of its kind only."""
+    rng = np.random.default_rng(9)
+    kinds = [[f"{k}{i}" for i in range(60)] for k in "abcd"]
+    examples = [(i, int(rng.random() < 0.3), Counter({kinds[i % 4][t]: 1 + int(rng.integers(3)) for t in np.flatnonzero(rng.random(60) < 0.4)})) for i in range(3000)]
+    m = toxicity.build(examples, {n: 0.5 + i % 7 / 4 for i, n in enumerate(x for k in kinds for x in k)}, k=5)
+    m.index.needed = m.index.seen = 0
+    found = list(m.searched(m.vector(c) for _, _, c in examples[:1024]))
+    assert 0 < m.index.needed < 0.5 * m.index.seen
+    full = np.stack([np.bincount(*m.vector(c), minlength=240) for _, _, c in examples if c])
+    for (ids, cos), q in zip(found, full):
+        assert np.allclose(cos, np.sort(full @ q)[::-1][:5]) and np.allclose(cos, full[ids] @ q)
+
+
+def test_examples_are_bounded_by_rows(spark):
+    docs = spark.createDataFrame([(1, f"text {i % 60}") for i in range(500)] + [(2, "other")], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), modulus=1, remainder=2, max_examples=7)
+    assert len(model.labels) == 7
+    every = toxicity.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int"), modulus=1, remainder=2)
+    assert len(every.labels) == 61
+
+
+def test_copies_take_one_place_in_the_language_sample(spark):
+    docs = spark.createDataFrame([(i, "the same words again" if i % 50 else f"other words {i}", "en") for i in range(2000)], "doc_id long, text string, lang string")
+    rows = langid.training_sample(docs, "text", "lang", F.lit(False), 400).collect()
+    assert len({r.text for r in rows}) == len(rows) == 41
