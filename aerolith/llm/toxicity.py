@@ -36,7 +36,7 @@ MAX_EXAMPLES = 20_000
 #: A term is common from this share of the examples on.
 COMMON_SHARE = 0.05
 #: Texts searched at once, texts from which those alike are put together, and kinds of examples.
-BATCH, POOL, KINDS = 64, 2048, 16
+BATCH, POOL, KINDS = 128, 2048, 16
 #: Blocks of the best bounds that each text completes first.
 FIRST = 24
 NEAREST, BLOCK, EVIDENCE, DISTANCE_FLOOR = 25, 64, 3, 0.05
@@ -73,9 +73,10 @@ class NearestExamples:
     steps: tuple[np.ndarray, np.ndarray] = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))  # calibration: vote -> probability
     shared: Broadcast | None = None      # these examples as sent to the tasks
     indexed: Index | None = None
+    begins: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
-        return {**self.__dict__, "shared": None, "indexed": None}
+        return {**self.__dict__, "shared": None, "indexed": None, "begins": None}
 
     @property
     def index(self) -> Index:
@@ -87,7 +88,33 @@ class NearestExamples:
         """Term numbers and normalised weights (1 + ln tf) * weight of a text."""
         get = self.terms.get
         at = np.fromiter([get(t, -1) for t in counts], np.int64, len(counts))
-        n = np.fromiter(counts.values(), np.int64, len(counts))
+        return self._weighted(at, np.fromiter(counts.values(), np.int64, len(counts)))
+
+    @property
+    def beginnings(self) -> np.ndarray:
+        """Per term that is a longer word, the number of its beginning; -1 for other terms."""
+        if self.begins is None:
+            get = self.terms.get
+            self.begins = np.fromiter((get("^" + t[:STEM], -1) if len(t) > STEM and t[0] != "^" else -1 for t in self.terms), np.int32, len(self.terms))
+        return self.begins
+
+    def vector_of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """``vector`` of a text's :func:`term_counts`; the beginnings of known words come by number."""
+        words = Counter(WORD.findall(text.lower())) if text else Counter()
+        get = self.terms.get
+        at = np.fromiter([get(t, -1) for t in words], np.int64, len(words))
+        n = np.fromiter(words.values(), np.int64, len(words))
+        begins = self.beginnings[at]  # of term -1: some number, replaced here
+        unknown = np.flatnonzero(at < 0)
+        if len(unknown):
+            names = list(words)
+            begins[unknown] = [get("^" + t[:STEM], -1) if len(t) > STEM else -1 for t in (names[i] for i in unknown.tolist())]
+        has = begins >= 0
+        stems, place = np.unique(begins[has], return_inverse=True)
+        stem_n = np.bincount(place, n[has], minlength=len(stems)).astype(np.int64)
+        return self._weighted(np.concatenate([at, stems]), np.concatenate([n, stem_n]))
+
+    def _weighted(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.argsort(at)[np.count_nonzero(at < 0):]
         at, n = at[order], n[order]
         w = (1 + np.log(n)) * self.weight[at]
@@ -128,7 +155,7 @@ class NearestExamples:
 
     def score(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[dict]]]:
         """Score and evidence of each text."""
-        for ids, cos in self.searched(self.vector(term_counts(t)) for t in texts):
+        for ids, cos in self.searched(self.vector_of(t) for t in texts):
             evidence = [{"example_id": int(self.example_ids[i]), "cosine": float(c), "label": int(self.labels[i])}
                         for i, c in zip(ids[:EVIDENCE], cos)]
             yield (self.calibrated(self.vote(ids, cos)) if len(ids) else self.base_rate), evidence
@@ -156,22 +183,22 @@ class Index:
         self.order = np.argsort(self._kind(given), kind="stable")  # given number of each place
         self.place = np.empty(n, np.int32)
         self.place[self.order] = np.arange(n, dtype=np.int32)
-        self.dense = np.zeros((blocks * BLOCK, len(names)), np.float32)
-        self.dense[:n] = given[self.order]
+        self.dense = np.zeros((len(names), blocks * BLOCK), np.float32)  # common term, place
+        self.dense[:, :n] = given[self.order].T
         del given
-        self.block_max = self.dense.reshape(blocks, BLOCK, -1).max(1).T.copy()  # common term, block: largest weight
+        self.block_max = self.dense.reshape(len(names), blocks, BLOCK).max(2)  # common term, block: largest weight
         e, t, x = self.place[example[~is_common]], at[~is_common], w[~is_common]
         del example, is_common
         order = np.argsort(t, kind="stable")
         # per rare term: start of its run; in runs: places and weights
-        self.rare = (np.append(0, np.cumsum(np.bincount(t, minlength=n_terms))), e[order], x[order])
+        self.rare = (np.append(0, np.cumsum(np.bincount(t, minlength=n_terms))), e[order].astype(np.int64), x[order])
         self.n, self.needed, self.seen = n, 0, 0  # pairs of text and block that were completed, and all
 
     def _kind(self, common: np.ndarray) -> np.ndarray:
         return (common @ self.centres.T).argmax(1) if len(self.centres) else np.zeros(len(common), np.int64)
 
     def _common_of(self, queries) -> np.ndarray:
-        out = np.zeros((len(queries), self.dense.shape[1]), np.float32)
+        out = np.zeros((len(queries), len(self.dense)), np.float32)
         for i, (at, w) in enumerate(queries):
             rows = self.common[at]
             out[i, rows[rows >= 0]] = w[rows >= 0]
@@ -199,6 +226,8 @@ class Index:
         best = part.reshape(len(queries), n_blocks, BLOCK).max(2)
         bound = best + common @ self.block_max * np.float32(1 + 1e-5)
         about, done, wanted = part.astype(np.float32), np.zeros(n_blocks, bool), bound > 0
+        used = np.flatnonzero(common.any(0))  # texts of one kind have few of all common terms
+        weight, dense = common[:, used], self.dense[used]
         for first in (True, False):
             least = np.zeros(len(queries))
             if n_blocks >= k:
@@ -212,7 +241,7 @@ class Index:
             done[blocks] = True
             for low, high in _runs(blocks):  # neighbouring blocks are one product
                 own = slice(low * BLOCK, high * BLOCK)
-                about[:, own] += common @ self.dense[own].T
+                about[:, own] += weight @ dense[:, own]
         self.needed, self.seen = self.needed + int(done.sum()) * len(queries), self.seen + wanted.size
         out = []
         best = about.reshape(len(queries), n_blocks, BLOCK).max(2)
@@ -221,7 +250,7 @@ class Index:
             kth = np.partition(best[i], -k)[-k] if n_blocks >= k else 0.0
             at = np.flatnonzero(row > max(0.0, kth - 1e-5))  # single precision: completed again below
             terms = np.flatnonzero(common[i])
-            cos = part[i, at] + self.dense[np.ix_(at, terms)].astype(float) @ common[i, terms].astype(float)
+            cos = part[i, at] + common[i, terms].astype(float) @ self.dense[np.ix_(terms, at)].astype(float)
             ids = self.order[at]
             top = np.lexsort((ids, -cos))[:k]
             out.append((ids[top], cos[top]))
