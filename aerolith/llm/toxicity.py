@@ -36,7 +36,7 @@ MAX_EXAMPLES = 20_000
 #: A term is common from this share of the examples on.
 COMMON_SHARE = 0.05
 #: Texts searched at once, texts from which those alike are put together, and kinds of examples.
-BATCH, POOL, KINDS = 128, 2048, 16
+BATCH, POOL, KINDS = 64, 2048, 16
 #: Blocks of the best bounds that each text completes first.
 FIRST = 24
 NEAREST, BLOCK, EVIDENCE, DISTANCE_FLOOR = 25, 64, 3, 0.05
@@ -78,6 +78,10 @@ class NearestExamples:
     def __getstate__(self) -> dict:
         return {**self.__dict__, "shared": None, "indexed": None, "begins": None}
 
+    def forget(self) -> None:
+        """End of a task: a worker that waits for another one holds no index."""
+        self.indexed = self.begins = None
+
     @property
     def index(self) -> Index:
         if self.indexed is None:
@@ -407,6 +411,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def votes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(left_out_votes(sent.value, batch.column("id").to_pylist()), pa.float64())], ["id", "vote"])
+        sent.value.forget()
     size = len(model.labels)
     votes = spark.range(0, size, 1, max(1, -(-size // POOL))).mapInArrow(votes_of, "id long, vote double").toArrow().sort_by("id") if size else None
     if size:
@@ -434,6 +439,8 @@ def predict(docs: DataFrame, model: NearestExamples | None, text_col: str = "tex
         for texts in batches:
             found = list(m.score(texts)) if m else [(0.0, [])] * len(texts)
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
+        if m:
+            m.forget()
 
     keep, found = without(docs, score, label, evidence), unused(docs, "__toxic")
     scored = docs.select(*keep, near(F.col(text_col)).alias(found))
