@@ -390,7 +390,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def weights_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, weight = shared.value
-        for rows in batches:
+        for rows in (b.slice(s, BATCH) for b in batches for s in range(0, b.num_rows, BATCH)):
             own = [sorted((numbers[t], x) for t, x in term_counts(v).items()) for v in rows.column("text").to_pylist()]
             flat = np.array([x for r in own for x in r], np.int64).reshape(-1, 2)
             start = np.append(0, np.cumsum([len(r) for r in own], dtype=np.int64))
