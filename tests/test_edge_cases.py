@@ -225,7 +225,7 @@ def test_global_series_without_key(spark):
     from aerolith.operators.stats import elliptic_envelope, iqr_outliers, zscore_anomalies
     assert iqr_outliers(df, ["aqi"], by=()).count() == 1
     assert zscore_anomalies(series(spark, range(20)), ["aqi"], by=()).count() == 20
-    assert elliptic_envelope(series(spark, range(20)).withColumn("b", F.col("aqi") * F.col("aqi")), "aqi", "b",
+    assert elliptic_envelope(series(spark, range(20)).withColumn("b", F.col("aqi") * F.col("aqi")), ["aqi", "b"],
                              by=(), steps=1).count() == 20
 
 

@@ -1,6 +1,8 @@
 """One small case for each fault that let rows or values go wrong."""
 
 import datetime as dt
+import shutil
+import uuid
 
 import numpy as np
 import pytest
@@ -54,18 +56,22 @@ def test_ingest_dedupes_the_first_batch_and_keeps_stored_rows(spark):
     assert got == [("None", 1, 7.0), ("None", 2, 6.0), ("a", 1, 4.0), ("a", 2, 3.0)]
 
 
-def test_lost_stream_state_is_an_error(spark, monkeypatch):
-    seen = {}
-    monkeypatch.setattr(T, "_run", lambda builder, checkpoint: seen.update(step=builder))
-    class Stream:  # takes the place of a stream whose second batch comes after its state was lost
-        writeStream = property(lambda self: self)
-        def foreachBatch(self, step):
-            return step
-    gone = scratch_path(spark, "no-such-state")
-    T.stream_freshness(Stream(), gone, gone + "-out", "chk")
-    batch = spark.createDataFrame([("a", dt.datetime(2024, 1, 1))], "city string, timestamp timestamp_ntz")
-    with pytest.raises(Exception, match="(?i)path.*exist"):
-        seen["step"](batch, 1)
+def test_lost_stream_state_is_an_error(spark):
+    src, (out, chk) = scratch_path(spark, f"lost-{uuid.uuid4().hex[:8]}"), T.fresh_dirs(spark, "lost")
+
+    def more(minute):
+        rows = [("a", dt.datetime(2024, 1, 1, 0, minute))]
+        spark.createDataFrame(rows, "city string, timestamp timestamp_ntz").coalesce(1).write.mode("append").parquet(src)
+
+    def run():
+        stream = T.event_stream(spark, src, spark.read.parquet(src).schema).withColumn("event_time", T.event_time("timestamp"))
+        T.run_to_parquet(T.stream_freshness(stream), out, chk)
+    more(1)
+    run()
+    more(2)
+    shutil.move(f"{chk.removeprefix('file:')}/state", f"{chk.removeprefix('file:')}-lost-state")
+    with pytest.raises(Exception, match="(?i)state"):
+        run()
 
 
 def frame(spark, n=60):
