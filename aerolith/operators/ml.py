@@ -98,8 +98,10 @@ def _inputs(features: Sequence[str]) -> list:
 
 
 def score_batch(fitted: dict, df: DataFrame, key: Sequence[str]) -> DataFrame:
-    """M7: every model over the whole table; long (key, model, prediction) clipped, rounded, labelled."""
-    outs = []
+    """M7: every model over the whole table; long (key, model, prediction) clipped, rounded, labelled.
+
+    Without a model there are no predictions: an empty table, which leaves every row to M8's rule."""
+    outs = [] if fitted else [df.where(F.lit(False)).select(*key, F.lit("").alias("model"), F.lit(0.0).alias("prediction"))]
     for name, pm in fitted.items():
         p = pm.transform(df).select(*key, F.lit(name).alias("model"), clip("prediction").alias("prediction"))
         outs.append(p)
@@ -135,10 +137,18 @@ def with_rule_fallback(predictions: DataFrame, rows: DataFrame, key: Sequence[st
 
 
 def needs_training(runs: DataFrame, as_of: Column, hours: int = 24, ts: str = "trained_at",
-                   by: Sequence[str] = ()) -> DataFrame:
-    """M9: true when no artefact is younger than ``hours`` (strict: exactly 24 h old -> retrain)."""
+                   by: Sequence[str] = (), models: Sequence[str] | None = None) -> DataFrame:
+    """M9: true when no artefact is younger than ``hours`` (strict: exactly 24 h old -> retrain).
+
+    ``models`` lists the wanted models (values of the one column in ``by``): one row for each, and one
+    that has no run needs training."""
     young = F.count_if(F.col(ts) > as_of - F.expr(f"INTERVAL {int(hours)} HOURS"))
-    return runs.groupBy(*by).agg(F.max(ts).alias("latest_run"), (young == 0).alias("needs_training"))
+    out = runs.groupBy(*by).agg(F.max(ts).alias("latest_run"), (young == 0).alias("needs_training"))
+    if models is None:
+        return out
+    (name,) = by
+    wanted = runs.sparkSession.createDataFrame([(m,) for m in dict.fromkeys(models)], f"`{name}` string")
+    return wanted.join(out, name, "left").withColumn("needs_training", F.coalesce("needs_training", F.lit(True)))
 
 
 def r2_drop_gate(runs: DataFrame, threshold: float = 0.05, by: Sequence[str] = ("model_name",),

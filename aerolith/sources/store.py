@@ -17,12 +17,13 @@ def read_readings(spark: SparkSession, path: str, fmt: str = "parquet", ts: str
     """Load history; parquet keeps its stored schema, CSV columns are taken by header name.
 
     Columns of the declared schema are cast to its types and added as NULL when the file has none;
-    other columns of the file stay as text.  NaN measures become NULL.
+    other columns of the file stay as text.  A CSV cell that is no value of its type becomes NULL (A13
+    counts them), and NaN measures do.
     """
     if fmt == "csv":
         raw = spark.read.option("header", True).csv(path)
         declared = {f.name: f for f in READING_SCHEMA.fields}
-        have = [F.col(f"`{c}`").cast(declared[c].dataType).alias(c) if c in declared else F.col(f"`{c}`") for c in raw.columns]
+        have = [F.col(f"`{c}`").try_cast(declared[c].dataType).alias(c) if c in declared else F.col(f"`{c}`") for c in raw.columns]
         absent = [F.lit(None).cast(f.dataType).alias(n) for n, f in declared.items() if n not in raw.columns]
         df = raw.select(*have, *absent)
     else:

@@ -115,3 +115,28 @@ def test_a_tree_receives_about_twice_its_sample(spark):
     sizes = [r["count"] for r in candidates.groupBy("city", "tree").count().collect()]
     assert len(sizes) == trees and sample <= min(sizes) and max(sizes) <= 3 * sample
     assert C.isolation_forest(df, ["v"], ["id"], n_trees=trees, sample_size=sample).count() == n
+
+
+def test_no_model_leaves_every_row_to_the_rule(spark):
+    df = spark.createDataFrame([(1, dt.datetime(2024, 1, 1, 8), 50.0)], "id long, timestamp timestamp_ntz, aqi double")
+    none = M.score_batch({}, df, ["id"])
+    assert none.columns == M.score_batch({"m": _Constant()}, df, ["id"]).columns and none.count() == 0
+    assert M.ensemble(none, ["id"]).count() == 0
+
+
+class _Constant:
+    def transform(self, df):
+        return df.withColumn("prediction", F.lit(7.0))
+
+
+def test_a_wanted_model_without_a_run_needs_training(spark):
+    runs = spark.createDataFrame([("old", dt.datetime(2024, 1, 1)), ("new", dt.datetime(2024, 1, 9))], "model_name string, trained_at timestamp_ntz")
+    got = M.needs_training(runs, F.lit(dt.datetime(2024, 1, 9, 1)).cast("timestamp_ntz"), by=["model_name"], models=["new", "never", "old", "never"])
+    assert {r.model_name: r.needs_training for r in got.collect()} == {"new": False, "never": True, "old": True} and got.count() == 3
+
+
+def test_a_bad_csv_cell_is_null(spark):
+    path = fresh(spark, "csv")
+    spark.createDataFrame([("x",)], "v string").selectExpr("'a' AS city", "'2024-01-01 00:00:00' AS timestamp", "'n/a' AS aqi", "'3.5' AS pm2_5").write.option("header", True).csv(path)
+    row = S.read_readings(spark, path, "csv").first()
+    assert row.aqi is None and row.pm2_5 == 3.5 and row.city == "a"
