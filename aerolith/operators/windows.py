@@ -269,50 +269,67 @@ def future_point(df: DataFrame, by=("city",), ts: str = "timestamp", hours: int
 # --- W5 (time-based frames) ---------------------------------------------------------------------------------
 
 
+def _whole_hours(df: DataFrame, ts: str) -> Column:
+    """Whole hours since a fixed time, by elapsed time whatever the session time zone."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        since = F.col(ts) - F.expr("TIMESTAMP_NTZ'0001-01-01 00:00:00'")
+        return F.extract(F.lit("DAY"), since).cast("long") * 24 + F.extract(F.lit("HOUR"), since)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    return F.floor((micros - F.pmod(micros, F.lit(3_600_000_000))) / 3_600_000_000).cast("long")
+
+
 def time_rolling_stats(df: DataFrame, col: str = "aqi", hours: Sequence[int] = (3, 24), by=("city",),
                        ts: str = "timestamp", chunk: str = "day", scale: int | None = None) -> DataFrame:
     """W5, hour-based form: count / mean / sample std / min / max over ``RANGE BETWEEN
     INTERVAL h HOURS PRECEDING AND CURRENT ROW``.
 
-    Windows are partitioned by (key, ``chunk`` of time); each chunk also receives
-    the rows of the preceding ``max(hours)`` that its frames reach (a time halo),
-    so results are exact while a window task holds one chunk of one key.  With
-    ``scale`` (e.g. 100 for values with two decimals) sums run on exact integers
-    and mean / variance are one division each, independent of summation order.
+    Time is cut into blocks of h hours.  A frame is the rows of its own block up to the row and the last rows of
+    the block before, so both parts are running aggregates, one forwards and one backwards: each row is
+    touched a fixed number of times, however many rows a frame holds, where a sliding frame aggregates all its rows
+    for every row.  Each row is copied into the next block, shifted by h hours, so that one window task
+    holds two blocks of one key.  ``chunk`` changes nothing: a block is as long as the frame.  Nothing is
+    subtracted, so far values and NaN stay inside their frames.  With ``scale`` (e.g. 100 for values with
+    two decimals) sums run on exact integers and mean / variance are one division each, independent of
+    summation order.  Rows without a time are a frame of their own.
     """
-    by = list(by)
-    unit = {"hour": 1, "day": 24}[chunk]
-    span = max(hours)
-    ch = F.date_trunc(chunk, F.col(ts))
-    copies = [F.struct(ch.alias("c"), F.lit(False).alias("h"))]
-    for k in range(1, -(-span // unit) + 1):
-        nxt = ch + F.expr(f"INTERVAL {k * unit} HOURS")
-        cond = F.col(ts) >= nxt - F.expr(f"INTERVAL {span} HOURS")
-        copies.append(F.when(cond, F.struct(nxt.alias("c"), F.lit(True).alias("h"))))
-    d = (df.withColumn("__cp", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
-           .withColumn("__ch", F.col("__cp.c")).withColumn("__halo", F.col("__cp.h")).drop("__cp"))
-    v = f"CAST(round(`{col}` * {int(scale)}) AS BIGINT)" if scale else f"`{col}`"
-    part = ", ".join([f"`{c}`" for c in by] + ["__ch"])
-    out = {}
+    by, names = list(by), []
+    v = F.round(F.col(col) * int(scale)).cast("long") if scale else F.col(col)
+    mean_type = df.select(F.avg(col).alias("m")).schema["m"].dataType
+    d = df
     for h in hours:
-        w = f"OVER (PARTITION BY {part} ORDER BY `{ts}` RANGE BETWEEN INTERVAL {int(h)} HOURS PRECEDING AND CURRENT ROW)"
-        out[f"__n{h}"] = F.expr(f"count({v}) {w}")
-        out[f"{col}_troll_min_{h}h"] = F.expr(f"min(`{col}`) {w}")
-        out[f"{col}_troll_max_{h}h"] = F.expr(f"max(`{col}`) {w}")
+        hours_before = F.expr(f"INTERVAL {int(h)} HOURS")
+        block = F.floor(_whole_hours(df, ts) / int(h)).cast("long")
+        copies = [F.struct(block.alias("b"), F.col(ts).alias("t"), F.lit(False).alias("old")),
+                  F.when(F.col(ts).isNotNull(), F.struct((block + 1).alias("b"), (F.col(ts) + hours_before).alias("t"), F.lit(True).alias("old")))]
+        d = d.withColumn("__cp", F.explode(F.filter(F.array(*copies), lambda x: x.isNotNull())))
+        d = d.withColumns({"__b": F.col("__cp.b"), "__t": F.col("__cp.t"), "__old": F.col("__cp.old")}).drop("__cp")
+        part = Window.partitionBy(*by, "__b")
+        out = {}
+        for name, order, mine in (("f", F.col("__t"), ~F.col("__old")), ("p", F.col("__t").desc(), F.col("__old"))):
+            w = part.orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+            x, n = F.when(mine, v), F.when(mine, F.col(col))
+            out |= {f"__{name}n": F.count(x).over(w), f"__{name}s": F.coalesce(F.sum(x).over(w), F.lit(0)),
+                    f"__{name}l": F.min(n).over(w), f"__{name}h": F.max(n).over(w)}
+            if scale:
+                out[f"__{name}q"] = F.coalesce(F.sum(x * x).over(w), F.lit(0))
+            else:
+                out[f"__{name}v"] = F.var_pop(x).over(w)
+        d = d.withColumns(out).filter(~F.col("__old"))
+        n, total = F.col("__fn") + F.col("__pn"), F.col("__fs") + F.col("__ps")
         if scale:
-            out[f"__s{h}"] = F.expr(f"sum({v}) {w}")
-            out[f"__q{h}"] = F.expr(f"sum({v} * {v}) {w}")
+            mean = F.try_divide(total.cast("double"), n.cast("double") * float(scale))
+            num = (n * (F.col("__fq") + F.col("__pq")) - total * total).cast("double")
+            var = num / (n * (n - 1)).cast("double") / float(scale * scale)
         else:
-            out[f"{col}_troll_mean_{h}h"] = F.expr(f"avg(`{col}`) {w}")
-            out[f"{col}_troll_std_{h}h"] = F.expr(f"stddev_samp(`{col}`) {w}")
-    d = d.withColumns(out).filter(~F.col("__halo"))
-    if scale:
-        k = float(scale)
-        fin = {}
-        for h in hours:
-            n, s1, s2 = F.col(f"__n{h}"), F.col(f"__s{h}"), F.col(f"__q{h}")
-            fin[f"{col}_troll_mean_{h}h"] = F.try_divide(s1.cast("double"), n.cast("double") * k)
-            num = (n * s2 - s1 * s1).cast("double")
-            fin[f"{col}_troll_std_{h}h"] = F.when(n > 1, F.sqrt(num / (n * (n - 1)).cast("double") / (k * k)))
-        d = d.withColumns(fin).drop(*[f"__s{h}" for h in hours], *[f"__q{h}" for h in hours])
-    return d.withColumnsRenamed({f"__n{h}": f"{col}_troll_n_{h}h" for h in hours}).drop("__ch", "__halo")
+            mean = F.when(n > 0, total / n).cast(mean_type)
+            halves = [(F.col(f"__{x}n").cast("double"), F.col(f"__{x}s").cast("double"), F.coalesce(F.col(f"__{x}v"), F.lit(0.0))) for x in "fp"]
+            apart = F.when((F.col("__fn") > 0) & (F.col("__pn") > 0), F.col("__fs").cast("double") / F.col("__fn") - F.col("__ps").cast("double") / F.col("__pn")).otherwise(0.0)
+            squares = halves[0][0] * halves[0][2] + halves[1][0] * halves[1][2] + apart * apart * halves[0][0] * halves[1][0] / n
+            var = squares / (n - 1)
+        own = {f"{col}_troll_n_{h}h": n, f"{col}_troll_min_{h}h": F.least("__fl", "__pl"), f"{col}_troll_max_{h}h": F.greatest("__fh", "__ph"),
+               f"{col}_troll_mean_{h}h": mean, f"{col}_troll_std_{h}h": F.when(n > 1, F.sqrt(var))}
+        names.append(list(own))
+        d = d.withColumns(own).drop("__b", "__t", "__old", *out)
+    # scaled: all counts and extremes come before all means and deviations
+    order = [x for own in names for x in own[:3]] + [x for own in names for x in own[3:]] if scale else [x for own in names for x in own]
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`") for c in order])

@@ -140,3 +140,25 @@ def test_a_bad_csv_cell_is_null(spark):
     spark.createDataFrame([("x",)], "v string").selectExpr("'a' AS city", "'2024-01-01 00:00:00' AS timestamp", "'n/a' AS aqi", "'3.5' AS pm2_5").write.option("header", True).csv(path)
     row = S.read_readings(spark, path, "csv").first()
     assert row.aqi is None and row.pm2_5 == 3.5 and row.city == "a"
+
+
+def test_hour_frames_run_on_running_aggregates_only(spark):
+    from aerolith.operators.windows import time_rolling_stats
+    start = dt.datetime(1969, 12, 31, 20)
+    rows = [("a" if k % 3 else None, start + dt.timedelta(minutes=20 * (k // 2)), None if k % 11 == 0 else (k * 37 % 500) / 4) for k in range(240)]
+    rows += [("a", None, 1.0), ("a", None, 3.0), ("a", start + dt.timedelta(hours=9), 7.0)]
+    df = spark.createDataFrame(rows, "city string, timestamp timestamp_ntz, aqi double")
+    for kw in ({"scale": 100}, {}):
+        out = time_rolling_stats(df, "aqi", (3, 24), **kw)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "unboundedpreceding" in plan.lower() and "INTERVAL '-" not in plan and "-INTERVAL" not in plan  # a sliding frame costs rows times frame
+        got = out.collect()
+        assert len(got) == len(rows)
+        for r in got:
+            for h in (3, 24):
+                own = [v for c, t, v in rows if c == r.city and v is not None and
+                       (t is None if r.timestamp is None else t is not None and r.timestamp - dt.timedelta(hours=h) <= t <= r.timestamp)]
+                assert r[f"aqi_troll_n_{h}h"] == len(own)
+                assert (r[f"aqi_troll_min_{h}h"], r[f"aqi_troll_max_{h}h"]) == ((min(own), max(own)) if own else (None, None))
+                assert r[f"aqi_troll_mean_{h}h"] == (pytest.approx(np.mean(own)) if own else None)
+                assert r[f"aqi_troll_std_{h}h"] == (pytest.approx(np.std(own, ddof=1), abs=1e-9) if len(own) > 1 else None)
