@@ -213,13 +213,17 @@ def _inverses(cov: pd.Series) -> pd.DataFrame:
 
 
 def _with_distance(rows: DataFrame, est: DataFrame, keys: Sequence[str], cols: Sequence[str], into: str) -> DataFrame:
-    """Rows with the squared Mahalanobis distance from their group's estimate; groups without an inverse are dropped."""
+    """Rows with the squared Mahalanobis distance from their group's estimate; groups without an inverse are dropped.
+
+    The distance comes out of a generator: the optimizer copies no filter on it below, where each mention would be
+    a distance computed again, in a method too long to be compiled.
+    """
     able = est.withColumn("__inv", _inverted("__cov")["inverse"]).where("__inv IS NOT NULL").drop("__cov")
     out = attach(rows, able, keys).withColumns({f"__z{i}": F.col(c) - F.get("__mean", F.lit(i)) for i, c in enumerate(cols)})
     total = F.lit(0.0)
     for at, (i, j) in enumerate(_pairs(len(cols))):
         total = total + (1.0 if i == j else 2.0) * F.get("__inv", F.lit(at)) * F.col(f"__z{i}") * F.col(f"__z{j}")
-    return out.withColumn(into, total).drop("__mean", "__inv", *[f"__z{i}" for i in range(len(cols))])
+    return out.select(*rows.columns, F.explode(F.array(total)).alias(into))
 
 
 def _first_estimates(d: DataFrame, by: Sequence[str], cols: Sequence[str]) -> DataFrame:
@@ -273,10 +277,12 @@ def elliptic_envelope(df: DataFrame, cols: Sequence[str] = ENVELOPE_COLUMNS, by:
     d = df.na.drop(subset=cols)
     enough = d.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > min_rows).drop("__n")
     d = attach(d, enough, by, "left_semi")
-    est = _location_scatter(d, by, cols)
+    values = d.select(*by, *cols)
+    if steps:  # many passes follow: each reads these columns, and not the table and what they are derived from
+        values = values.repartition(df.sparkSession.sparkContext.defaultParallelism).checkpoint(eager=True)
+    est = _location_scatter(values, by, cols)
     if steps:
         keys = [*by, "__start"]
-        values = d.select(*by, *cols)
         starts = values.withColumn("__start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
         est = _first_estimates(values, by, cols).checkpoint(eager=True)
         for _ in range(steps):
@@ -290,7 +296,7 @@ def elliptic_envelope(df: DataFrame, cols: Sequence[str] = ENVELOPE_COLUMNS, by:
         scale = quantile_columns(near, by, "__d", [0.5], ["__cut"]).withColumn("__scale", F.col("__cut") / chi2_quantile(0.5, p)).drop("__cut")
         est = _location_scatter(attach(near, scale, by).where(F.col("__d") <= F.col("__scale") * chi2_quantile(REWEIGHT, p)), by, cols).checkpoint(eager=True)
     scored = _with_distance(d, est, by, cols, "mahalanobis")
-    cut = quantile_columns(scored, by, "mahalanobis", [1 - contamination], ["threshold"])
+    cut = quantile_columns(_with_distance(values, est, by, cols, "mahalanobis"), by, "mahalanobis", [1 - contamination], ["threshold"])
     return attach(scored, cut, by).withColumn("is_outlier", F.col("mahalanobis") > F.col("threshold"))
 
 

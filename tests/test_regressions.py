@@ -162,3 +162,16 @@ def test_hour_frames_run_on_running_aggregates_only(spark):
                 assert (r[f"aqi_troll_min_{h}h"], r[f"aqi_troll_max_{h}h"]) == ((min(own), max(own)) if own else (None, None))
                 assert r[f"aqi_troll_mean_{h}h"] == (pytest.approx(np.mean(own)) if own else None)
                 assert r[f"aqi_troll_std_{h}h"] == (pytest.approx(np.std(own, ddof=1), abs=1e-9) if len(own) > 1 else None)
+
+
+def test_envelope_distance_is_computed_once_a_row(spark):
+    from aerolith.operators import stats as X
+    rows = spark.createDataFrame([("a", float(k), float(k * k % 17)) for k in range(40)], "city string, x double, y double")
+    est = X._location_scatter(rows, ["city"], ["x", "y"]).checkpoint(eager=True)
+    far = X._with_distance(rows, est, ["city"], ["x", "y"], "dist").where(F.col("dist").isNotNull() & ~F.isnan("dist") & (F.col("dist") > 1))
+    plan = far._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("__inv#") - plan.count("AS __inv#") < 12  # a filter pushed below it repeats its three products per mention
+    data = np.array([(r.x, r.y) for r in rows.collect()])
+    centred, inverse = data - data.mean(0), np.linalg.inv(np.cov(data.T, bias=True))
+    want = np.einsum("ij,jk,ik->i", centred, inverse, centred)
+    assert sorted(r.dist for r in far.collect()) == pytest.approx(sorted(want[want > 1]))
