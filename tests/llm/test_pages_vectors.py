@@ -214,3 +214,17 @@ def test_recall_on_noise_at_the_threshold(spark):
     got = pq_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
     want = dict((i, n) for i, n, _ in plain_links(rows, 0.93))
     assert sum(r.n_links for r in got) >= 0.97 * sum(want.values()) and all(r.n_links <= want[r.vec_id] for r in got)
+
+
+def test_line_differences_run_on_pages_with_a_main_element(spark):
+    story = [f"<p>Paragraph {k} of the story, which says something of its own at length.</p>" for k in range(3)]
+    teaser = "<article><h2>Read on</h2></article>"
+    menu = "".join(f"<div>Section {k} with a long and unmarked description of all that it has to offer</div>" for k in range(9))
+    pages = [(1, "http://h/a", f"<main>{''.join(story)}{teaser}</main>"), (2, "http://h/menu/b", f"<main>{menu}<article>{story[0]}</article></main>"),
+             (3, "http://h/menu/c", f"<main>{menu}<article>{story[1]}</article></main>"), (4, "http://h/d", "<article><p>shared</p><p>d</p></article>"),
+             (5, "http://h/e", "<article><p>shared</p><p>e</p></article>"), (6, "http://h/f", "<div>same</div><div>own f</div>"),
+             (7, "http://h/g", "<div>same</div><div>own g</div>"), (8, None, None), (9, "http://h/i", "<article></article><div>x</div>")]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    text = [f"Paragraph {k} of the story, which says something of its own at length." for k in range(3)]
+    # the story beside a teaser; the article beside a long menu, which the nearest page shares; an article's shared lines
+    assert got == {1: "\n\n".join([*text, "Read on"]), 2: text[0], 3: text[1], 4: "shared\n\nd", 5: "shared\n\ne", 6: "own f", 7: "own g", 8: "", 9: ""}
