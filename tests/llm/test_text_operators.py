@@ -1,9 +1,12 @@
+import pickle
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -329,3 +332,48 @@ def test_copies_take_one_place_in_the_language_sample(spark):
     docs = spark.createDataFrame([(i, "the same words again" if i % 50 else f"other words {i}", "en") for i in range(2000)], "doc_id long, text string, lang string")
     rows = langid.training_sample(docs, "text", "lang", F.lit(False), 400).collect()
     assert len({r.text for r in rows}) == len(rows) == 41
+
+
+def test_counts_by_number_equal_term_counts():
+    texts = [None, "", *ODD, "Running runner runs RUNNING straße İstanbul naïveté_x ^caret", "unknownword unknown", "running " * 9]
+    names = sorted({t for x in texts[:-2] for t in toxicity.term_counts(x)})
+    vocabulary = toxicity.Vocabulary(pa.array(names), np.ones(len(names)))
+    start, at, n = vocabulary.counts(texts)
+    for i, text in enumerate(texts):
+        own = slice(start[i], start[i + 1])
+        assert list(zip([names[t] for t in at[own]], n[own])) == sorted((t, c) for t, c in toxicity.term_counts(text).items() if t in set(names))
+    assert [len(x) for x in toxicity.Vocabulary(pa.array([], pa.string()), np.zeros(0)).counts(texts)[1:]] == [0, 0]
+
+
+def test_driver_holds_no_example(spark):
+    """The examples' vectors and index are pieces that tasks make and hold; the driver's model has none of them."""
+    rng = random.Random(4)
+    docs = spark.createDataFrame([(i, " ".join(f"word{rng.randrange(9000)}" for _ in range(60))) for i in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, modulus=1, remainder=2)
+    shared, model.shared = model.shared, None
+    assert model.index is None and len(shared[2]) > 1 and sum(len(p.value.w) for p in shared[2]) > 3000 * 60
+    assert len(pickle.dumps(model)) < 3000 * 60 * 8  # below one copy of the vectors
+    model.shared = shared
+    top = {r.doc_id: r.toxic_evidence[0] for r in toxicity.predict(docs, model).collect()}
+    assert all(e.example_id == i and e.cosine == pytest.approx(1) for i, e in top.items())
+
+
+def test_index_of_pieces_needs_little_more_than_its_postings():
+    """Making the index of 6,000 examples peaks below 2.5 times their terms and weights (4.1 before)."""
+    rng = np.random.default_rng(3)
+    runs = [np.sort(rng.choice(50_000, 200, replace=False)) for _ in range(6000)]
+    w = np.full(6000 * 200, 200 ** -0.5, np.float32)
+    layout, pieces = toxicity.Layout(50_000), []
+    for s in range(0, 6000, 2000):
+        pieces.append(toxicity.piece_of(np.arange(s, s + 2000), np.arange(2001) * 200, np.concatenate(runs[s:s + 2000]).astype(np.int32), w[:400_000]))
+        layout.add(pieces[-1])
+    tracemalloc.start()
+    index = toxicity.Index(pieces, layout.sizes, layout.names(), layout.postings, 6000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert index.start[-1] == len(w) and peak < 2.5 * 8 * len(w)
+    queries = [(r, np.full(200, 200 ** -0.5)) for r in runs[::100]]
+    for (ids, cos), (at, _), i in zip(index.nearest_of(queries, 5), queries, range(0, 6000, 100)):
+        want = np.sort([len(np.intersect1d(at, r)) / 200 for r in runs])[::-1][:5]
+        assert ids[0] == i and np.allclose(cos, want)
