@@ -228,3 +228,25 @@ def test_line_differences_run_on_pages_with_a_main_element(spark):
     text = [f"Paragraph {k} of the story, which says something of its own at length." for k in range(3)]
     # the story beside a teaser; the article beside a long menu, which the nearest page shares; an article's shared lines
     assert got == {1: "\n\n".join([*text, "Read on"]), 2: text[0], 3: text[1], 4: "shared\n\nd", 5: "shared\n\ne", 6: "own f", 7: "own g", 8: "", 9: ""}
+
+
+def test_line_differences_decide_inside_the_main_element(spark):
+    menu = "<div><a href=/x>Contents</a> <a href=/y>Archive</a></div>"
+    note = "<div>You are reading our magazine</div>"
+    quote = "<p>A paragraph that two stories of this host share.</p><ul><li>an item</ul>"
+
+    def body(k):
+        return f"<p>Story {k} says something of its own, and does so in full length.</p>"
+    pages = [(1, "http://h/a", f"<article>{menu}{note}<h1>One</h1>{quote}{body(1)}<p><a href=/n>Next</a></p></article>"),
+             (2, "http://h/b", f"<article>{menu}{note}<h1>Two</h1>{quote}{body(2)}<p><a href=/n>Next</a></p></article>"),
+             (3, "http://m/a", f"<main>{menu}{note}{quote}{body(3)}</main>"), (4, "http://m/b", f"<main>{menu}{note}{quote}{body(4)}<div>in a box</div></main>"),
+             (5, "http://c/a", f"<article>{menu}{note}</article>"), (6, "http://c/b", f"<article>{menu}{note}</article>"),
+             (7, "http://v/a", "<main><div>A long first part of one text in two versions</div><div>v1</div></main>"),
+             (8, "http://v/b", "<main><div>A long first part of one text in two versions</div><div>v2</div></main>"),
+             (9, "http://s/a", f"<article>{menu}{note}{body(9)}</article>")]
+    got = {r.page_id: r.text.split("\n\n") for r in H.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    shared = ["A paragraph that two stories of this host share.", "an item"]
+    story = {k: f"Story {k} says something of its own, and does so in full length." for k in (1, 2, 3, 4, 9)}
+    template = ["Contents Archive", "You are reading our magazine"]
+    assert got == {1: ["One", *shared, story[1]], 2: ["Two", *shared, story[2]], 3: [*shared, story[3]], 4: [*shared, story[4], "in a box"], 5: template, 6: template,
+                   7: ["A long first part of one text in two versions", "v1"], 8: ["A long first part of one text in two versions", "v2"], 9: [*template, story[9]]}
