@@ -216,6 +216,69 @@ def test_recall_on_noise_at_the_threshold(spark):
     assert sum(r.n_links for r in got) >= 0.97 * sum(want.values()) and all(r.n_links <= want[r.vec_id] for r in got)
 
 
+def unit_noise(rng, n, dim=64, near=0):
+    """Unit vectors in all directions, the last ``near`` of them at cosines of 0.88 to 0.98 to the first."""
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    if near:
+        away = rng.normal(size=(near, dim))
+        away -= (away * x[:near]).sum(1)[:, None] * x[:near]
+        cosine = rng.uniform(0.88, 0.98, near)[:, None]
+        x[-near:] = cosine * x[:near] + np.sqrt(1 - cosine ** 2) * away / np.linalg.norm(away, axis=1)[:, None]
+    return x.astype(np.float32)
+
+
+@pytest.mark.parametrize("reach", [1.0, 0.6])
+def test_links_of_two_blocks_equal_brute_force(reach):
+    rng = np.random.default_rng(8)
+    x = unit_noise(rng, 4096, near=1200)
+    x[:40] = x[0] + 0.01 * rng.normal(size=(40, 64))  # a group where all link with all
+    q = pq_dedup.fit(pq_dedup.unit(x), 16 * pq_dedup.LIST_ROWS)
+    assert len(q.centroids) == 16
+    place = rng.permutation(len(x))
+
+    def members(rows):
+        u = pq_dedup.unit(x[rows])
+        lists = q.distances(u).argmin(1)
+        return pq_dedup.Members(q, lists, *q.encode(u - q.centroids[lists]), x[rows], 0.93, reach)
+    u = pq_dedup.unit(x)
+    want = u @ u.T >= 0.93
+    np.fill_diagonal(want, False)
+    copies = rng.integers(1, 4, len(x))
+    for a, b in [(place, place), (place[:2048], place[2048:])]:
+        ma = members(a)
+        mb = ma if a is b else members(b)
+        assert len(ma.lists) > 8
+        linked, up, down = pq_dedup.links(ma, mb, copies[a], copies[b], 0.93)
+        if a is b:
+            assert linked.tolist() == (want[np.ix_(a, a)] @ copies[a]).tolist()
+            some = np.argwhere(want[np.ix_(a, a)])
+        else:
+            across = want[np.ix_(a, b)]
+            assert linked.tolist() == [*(across @ copies[b]), *(across.T @ copies[a])]
+            some = np.argwhere(across) + [0, len(a)]
+        assert forest(len(linked), up, down).tolist() == forest(len(linked), some[:, 0], some[:, 1]).tolist()
+        met = sum(len(rows) * len(others) for rows, others, _ in pq_dedup.meeting(ma, mb))
+        assert reach == 1.0 or met < 0.8 * len(a) * len(b)  # lists out of reach are not compared
+
+
+def test_scratch_of_embeddings_does_not_grow_with_the_lists_probed(spark, monkeypatch):
+    x = unit_noise(np.random.default_rng(9), 3000)
+    df = spark.createDataFrame([(i, [float(v) for v in r], 1) for i, r in enumerate(x)], "vec_id long, embedding array<float>, label int").cache()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    store, root = fs.FileSystem.from_uri(folder)
+
+    def held():
+        return sum(f.size for f in store.get_file_info(fs.FileSelector(root, recursive=True)) if f.is_file)
+    before, most = held(), []
+    for name in ("remove_folder", "connected_components"):  # all is written before these
+        monkeypatch.setattr(pq_dedup, name, lambda *a, f=getattr(pq_dedup, name), **b: (most.append(held()), f(*a, **b))[1])
+    got = pq_dedup.near_duplicates(df).collect()
+    most.append(held())
+    assert len(got) == len(x) and max(most) - before < 3 * x.nbytes
+    df.unpersist()
+
+
 def test_line_differences_run_on_pages_with_a_main_element(spark):
     story = [f"<p>Paragraph {k} of the story, which says something of its own at length.</p>" for k in range(3)]
     teaser = "<article><h2>Read on</h2></article>"
