@@ -34,7 +34,7 @@ SAMPLE, MAX_LISTS, SUBSPACES, CODES, ROUNDS = 20_000, 256, 8, 64, 8
 REACH = 0.6
 #: A block has at most so many vectors and numbers; up to these, the table is cut into about so many blocks of at
 #: least so many vectors.  A list has about so many vectors of a full block.
-BLOCK_ROWS, BLOCK_NUMBERS, BLOCKS, LEAST_ROWS, LIST_ROWS = 1 << 17, 1 << 23, 24, 256, 512
+BLOCK_ROWS, BLOCK_NUMBERS, BLOCKS, LEAST_ROWS, LIST_ROWS = 1 << 16, 1 << 22, 24, 256, 512
 #: Vectors that meet in one matrix product, vectors looked at together elsewhere, and links kept before they become a forest.
 TILE, SLICE_ROWS, HELD_LINKS = (1024, 4096), 8192, 1 << 20
 #: Tasks that the pairs of blocks are dealt to.
